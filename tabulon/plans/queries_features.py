@@ -8,7 +8,7 @@ from tabulon.operators import features as E
 from tabulon.operators import profile as P
 from tabulon.operators.splits import hash_bucket, hash_split, stratified_split
 from tabulon.plans.catalog import query, table
-from tabulon.plans.queries_profile import LINEITEM, MEASURES, each, profile_sql, rounded
+from tabulon.plans.queries_profile import LINEITEM, kind_sql, rounded
 
 BUCKET = "(('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8))::BIGINT % 100)"
 
@@ -285,15 +285,9 @@ SELECTABLE = {**{c: LINEITEM[c] for c in LINEITEM if c != "l_shipdate"}, "price_
 WITH_COPY = "(SELECT *, l_extendedprice * 1.1 AS price_copy FROM lineitem)"
 
 
-def kinds(types, source):
-    from tabulon.plans.queries_profile import kind_sql
-
-    return kind_sql(types, source)
-
-
 @query(
     "select_features",
-    f"""WITH d AS {WITH_COPY}, k AS ({kinds(SELECTABLE, 'd')}),
+    f"""WITH d AS {WITH_COPY}, k AS ({kind_sql(SELECTABLE, 'd')}),
     r AS (SELECT abs(corr(l_extendedprice, price_copy)) AS r FROM d)
     SELECT "column", NOT (kind IN ('constant', 'id') OR ("column" = 'price_copy' AND r > 0.95)) AS selected,
     CASE WHEN kind IN ('constant', 'id') THEN kind WHEN "column" = 'price_copy' AND r > 0.95
