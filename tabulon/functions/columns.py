@@ -11,9 +11,10 @@ FLOATING = (T.FloatType, T.DoubleType)
 DATETIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
 COMPLEX = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
-# Columns handled by one aggregation. Wider tables are split so that generated code stays below
-# the JVM's method size limit.
-COLUMNS_PER_PASS = 60
+# Aggregate expressions handled by one pass. More are split by column, which keeps the generated
+# code small enough to be compiled; each pass reads only its own columns, so a columnar file is
+# still read once.
+EXPRESSIONS_PER_PASS = 60
 
 
 def family(dtype: T.DataType) -> str:
@@ -56,7 +57,7 @@ def number(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("double")
 
 
-def chunks(items: Sequence, size: int = COLUMNS_PER_PASS) -> list[list]:
+def chunks(items: Sequence, size: int = EXPRESSIONS_PER_PASS) -> list[list]:
     return [list(items[i : i + size]) for i in range(0, len(items), size)]
 
 
@@ -74,11 +75,11 @@ def long_aggregate(
 ) -> DataFrame:
     """One row per column: `column` plus every metric.
 
-    All columns are aggregated in the same pass over the data; the single result row is turned
-    into rows afterwards. A metric must have the same type for every column.
+    Columns are aggregated together; the single result row is turned into rows afterwards. A
+    metric must have the same type for every column.
     """
     frames = []
-    for part in chunks(columns):
+    for part in chunks(columns, max(1, EXPRESSIONS_PER_PASS // len(metrics))):
         flat = [
             make(name).alias(f"m{i}_{metric}")
             for i, name in enumerate(part)

@@ -319,13 +319,14 @@ def text_features(df: DataFrame, key: str, column: str) -> DataFrame:
     idf = ln((documents + 1) / (df + 1)). The term table goes through `lookup`: a term found in
     most documents is a hot key.
     """
-    terms = (
+    terms = materialize(
         df.select(col(key), F.explode(tokens(F.lower(col(column)))).alias("term"))
         .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
+        .agg(F.count("*").alias("tf")),
+        "terms",
     )
     docs = df.agg(F.count(col(column)).alias("n")).scalar()
-    frequency = materialize(terms.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    frequency = materialize(terms.groupBy("term").agg(F.count("*").alias("df")), "frequency")
     out = lookup(terms, frequency, ["term"], stored=True)
     idf = F.ln((docs + 1) / (F.col("df") + 1))
     return out.select(key, "term", "tf", "df", (F.col("tf") * idf).alias("tfidf"))

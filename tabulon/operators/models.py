@@ -48,6 +48,8 @@ SEED = 42
 RESULT = "task string, model string, status string, reason string, metric string, value double"
 METRIC = {"classification": "accuracy", "regression": "rmse", "clustering": "silhouette"}
 FOLDS = 3
+# Class labels are held on the driver by the library's indexer and models.
+MAX_CLASSES = 1000
 
 
 def detect_task(sessions: DataFrame, target_kinds: DataFrame) -> DataFrame:
@@ -71,6 +73,10 @@ def detect_task(sessions: DataFrame, target_kinds: DataFrame) -> DataFrame:
 def prepare(df: DataFrame, target: str | None, features: Sequence[str], classes: bool) -> PipelineModel:
     """Fitted assembly: `label` (string targets indexed, most frequent first) and `features`."""
     stages = []
+    if target is not None and classes:
+        seen = df.select(col(target)).where(col(target).isNotNull()).distinct()
+        if seen.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+            raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
     if target is not None and classes and family(df.schema[target].dataType) == "string":
         stages.append(StringIndexer(inputCol=target, outputCol="label", handleInvalid="skip"))
     stages.append(VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"))
@@ -169,6 +175,12 @@ def tuned(task: str, estimator: Estimator, grid: Sequence[dict], how: str = "hol
     )
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Use every core for the many passes of fitting when the input has few large partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def train_all(
     train: DataFrame, valid: DataFrame, models: Mapping[str, Estimator], task: str
 ) -> tuple[dict[str, Model], DataFrame]:
@@ -177,7 +189,7 @@ def train_all(
     Returns the fitted models and `task, model, status, reason, metric, value`. Both inputs are
     kept for the repeated passes of iterative fitting and released afterwards.
     """
-    train, valid = train.persist(), valid.persist()
+    train, valid = _spread(train).persist(), _spread(valid).persist()
     fitted, rows = {}, []
     try:
         for name, estimator in models.items():

@@ -38,13 +38,62 @@ def _constants(df: DataFrame, columns: Sequence[str], make) -> Column:
     return out
 
 
-def _distinct(df: DataFrame, exact: bool):
-    def count(c: str) -> Column:
-        if family(df.schema[c].dataType) == "complex":
-            return F.lit(None).cast("long")
-        return F.count_distinct(present(df, c)) if exact else F.approx_count_distinct(present(df, c))
+def _value_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`column, value` per non-null cell of columns of one type family."""
+    rows = [F.struct(F.lit(c).alias("column"), _comparable(df, c).alias("value")) for c in columns]
+    return df.select(F.inline(F.array(*rows))).where("value is not null")
 
-    return count
+
+def _comparable(df: DataFrame, c: str) -> Column:
+    """The value in its family's common type, without merging different values."""
+    dtype = df.schema[c].dataType
+    fam = family(dtype)
+    if fam == "integral":
+        return col(c).cast("long")
+    if fam == "datetime":
+        return col(c).cast("timestamp_ntz") if dtype.typeName() != "timestamp" else col(c)
+    return present(df, c) if dtype.typeName() in ("float", "double") else col(c).cast("string")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`column, distinct_count`, exact; null for complex columns.
+
+    Cells of one family are grouped by (column, value): narrow keys, combined before the shuffle,
+    instead of one aggregation whose keys hold every column.
+    """
+    groups: dict[str, list[str]] = {}
+    for c in columns:
+        fam = family(df.schema[c].dataType)
+        if fam != "complex":
+            name = df.schema[c].dataType.typeName() if fam in ("floating", "datetime") else fam
+            groups.setdefault(name, []).append(c)
+    counted = [
+        _value_groups(df, part).distinct().groupBy("column").agg(F.count("*").alias("distinct_count"))
+        for part in groups.values()
+    ]
+    every = literal_rows(
+        df.sparkSession,
+        [(c, None if family(df.schema[c].dataType) == "complex" else 0) for c in columns],
+        "column string, zero long",
+    )
+    if not counted:
+        return every.select("column", F.col("zero").alias("distinct_count"))
+    # One row per column on both sides.
+    return every.join(F.broadcast(union_all(counted)), "column", "left").select(
+        "column", F.coalesce("distinct_count", "zero").alias("distinct_count")
+    )
+
+
+def _with_distinct(df: DataFrame, columns: Sequence[str], metrics: dict, exact: bool) -> DataFrame:
+    """`long_aggregate` of the metrics, with `distinct_count` added."""
+    if exact:
+        counts = distinct_counts(df, columns)
+        return long_aggregate(df, columns, metrics).join(F.broadcast(counts), "column")
+    approx = lambda c: (
+        F.lit(None).cast("long")
+        if family(df.schema[c].dataType) == "complex" else F.approx_count_distinct(present(df, c))
+    )
+    return long_aggregate(df, columns, {**metrics, "distinct_count": approx})
 
 
 def _text_length(df: DataFrame):
@@ -80,14 +129,11 @@ def column_kinds(df: DataFrame, exact: bool = True) -> DataFrame:
     (string, or integer with at most 20 values); numeric.
     """
     columns = df.columns
-    stats = long_aggregate(
+    stats = _with_distinct(
         df,
         columns,
-        {
-            "non_null": lambda c: F.count(present(df, c)),
-            "distinct_count": _distinct(df, exact),
-            "mean_length": _text_length(df),
-        },
+        {"non_null": lambda c: F.count(present(df, c)), "mean_length": _text_length(df)},
+        exact,
     )
     return stats.select(
         "column",
@@ -222,10 +268,8 @@ def text_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def cardinality(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Distinct non-null values per column and their share of the non-null rows."""
-    stats = long_aggregate(
-        df,
-        list(columns or df.columns),
-        {"non_null": lambda c: F.count(present(df, c)), "distinct_count": _distinct(df, exact)},
+    stats = _with_distinct(
+        df, list(columns or df.columns), {"non_null": lambda c: F.count(present(df, c))}, exact
     )
     return stats.withColumn(
         "distinct_share", F.try_divide(F.col("distinct_count"), F.col("non_null"))
@@ -478,9 +522,9 @@ def recommend_types(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """The full profile, one row per column.
 
-    One pass computes counts, kinds and moments for every column; one computes the quartiles; one
-    counts the values outside the outlier bounds; one finds the modes of the string columns. The
-    partial results have one row per column and are joined on the column name.
+    One pass computes counts and moments for every column; one the distinct values; one the
+    quartiles; one counts the values outside the outlier bounds; one finds the modes of the string
+    columns. The partial results have one row per column and are joined on the column name.
     """
     columns = df.columns
     numbers = numeric_columns(df)
@@ -492,13 +536,12 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
         agg(F.to_date(col(c))).cast("string")
         if family(df.schema[c].dataType) == "datetime" else F.lit(None).cast("string")
     )
-    stats = long_aggregate(
+    stats = _with_distinct(
         df,
         columns,
         {
             "rows": lambda c: F.count("*"),
             "non_null": lambda c: F.count(present(df, c)),
-            "distinct_count": _distinct(df, exact),
             "mean_length": _text_length(df),
             "mean": as_number(F.avg),
             "std": as_number(F.stddev_samp),
@@ -508,6 +551,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
             "first_day": as_day(F.min),
             "last_day": as_day(F.max),
         },
+        exact,
     )
     stats = stats.select(
         "column",

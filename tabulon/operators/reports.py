@@ -55,6 +55,7 @@ def missing_artifacts(claims: DataFrame, files: DataFrame) -> DataFrame:
     The listing is reduced to the claimed paths first, and claims meet it by lookup, so that one
     path claimed by very many reports does not become one task.
     """
+    claims = materialize(claims, "claims")
     claimed = claims.groupBy("path").agg(F.count("*").alias("_n"))
     present = claimed.join(files.select("path").distinct(), "path", "left_semi")
     out = lookup(claims, present.select("path", F.lit(True).alias("_there")), ["path"])

@@ -249,7 +249,7 @@ def classification_metrics(spark, sf):
 
 @query(
     "ranking_metrics",
-    """WITH e AS (SELECT CAST(event_type = 'purchase' AS INTEGER) AS y, value AS s, value / (value + 200) AS p FROM events),
+    """WITH e AS (SELECT CAST(event_type = 'purchase' AS INTEGER) AS y, value AS s, least(greatest(value / (value + 200), 1e-15), 1 - 1e-15) AS p FROM events),
     r AS (SELECT y, s, p, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS mid FROM e),
     n AS (SELECT count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM e)
     SELECT any_value(pos) AS positives, any_value(neg) AS negatives,

@@ -16,6 +16,7 @@ from tabulon.operators import sessions as S
 from tabulon.operators.splits import hash_split
 from tabulon.plans.catalog import query, table
 from tabulon.plans.queries_features import case_split
+from tabulon.plans.run import run
 from tabulon.sources import readers, sinks
 from tabulon.sources.workbooks import parse_workbooks
 from tabulon.session import scratch_path
@@ -605,3 +606,22 @@ def upstream_context(spark, sf):
         o.groupBy(by).agg(tag("e", F.max("o_orderkey"))),
         o.where("o_orderstatus = 'F'").groupBy(by).agg(tag("f", F.min("o_orderkey"))),
     )
+
+
+@query("run_classification")
+def run_classification(spark, sf):
+    """All three stages on `customer`, from the path in a task record to the ranked models."""
+    info = {
+        "data_path": "customer.parquet", "task_type": "classification", "target_column": "c_mktsegment",
+        "agents_to_call": ["ModelTrainingAgent"],
+    }
+    return run(spark, info, scratch_path(spark, "run"), base=sf).leaderboard
+
+
+@query("run_regression")
+def run_regression(spark, sf):
+    """All three stages on `lineitem`, predicting the price."""
+    info = {
+        "data_path": "lineitem.parquet", "target_column": "l_extendedprice", "agents_to_call": ["EdaAgent", "ModelTrainingAgent"],
+    }
+    return run(spark, info, scratch_path(spark, "run"), base=sf).leaderboard
