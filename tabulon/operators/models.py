@@ -175,21 +175,22 @@ def tuned(task: str, estimator: Estimator, grid: Sequence[dict], how: str = "hol
     )
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Use every core for the many passes of fitting when the input has few large partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def train_all(
-    train: DataFrame, valid: DataFrame, models: Mapping[str, Estimator], task: str
+    train: DataFrame,
+    valid: DataFrame,
+    models: Mapping[str, Estimator],
+    task: str,
+    partitions: int | None = None,
 ) -> tuple[dict[str, Model], DataFrame]:
     """Fit and evaluate every candidate; a failing one becomes a row with its reason.
 
     Returns the fitted models and `task, model, status, reason, metric, value`. Both inputs are
-    kept for the repeated passes of iterative fitting and released afterwards.
+    kept for the repeated passes of iterative fitting and released afterwards. Give `partitions`
+    when the input comes in fewer pieces than there are cores.
     """
-    train, valid = _spread(train).persist(), _spread(valid).persist()
+    if partitions:
+        train, valid = train.repartition(partitions), valid.repartition(partitions)
+    train, valid = train.persist(), valid.persist()
     fitted, rows = {}, []
     try:
         for name, estimator in models.items():

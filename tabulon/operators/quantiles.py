@@ -76,21 +76,26 @@ def _pass(df: DataFrame, columns: list[str], probs: Sequence[float], accuracy: i
         ]
     ).first()
 
+    # The bracket is wider than the sketch's error by n / accuracy ranks. Where that is less than a
+    # few ranks, the two neighbours of a quantile could lie outside; such columns have few values.
+    few = [c for i, c in enumerate(columns) if sketch[f"v{i}"]["n"] <= 4 * accuracy]
+    if few:
+        frames = [_percentile(df, few, probs)]
+        rest = [c for c in columns if c not in few]
+        return union_all([*frames, _pass(df, rest, probs, accuracy)]) if rest else frames[0]
+
     slots, requested = [], []
     for i, name in enumerate(columns):
         s = sketch[f"v{i}"]
         for j, p in enumerate(probs):
             slot = len(requested)
-            requested.append((slot, name, float(p), s["n"], (s["n"] - 1) * p if s["n"] else None))
-            if s["n"]:
-                low = s["min"] if cuts[j] <= 0 else s["cuts"][j]
-                high = s["max"] if cuts[len(probs) + j] >= 1 else s["cuts"][len(probs) + j]
-                slots.append((slot, F.col(f"v{i}"), low, high))
+            requested.append((slot, name, float(p), (s["n"] - 1) * p))
+            low = s["min"] if cuts[j] <= 0 else s["cuts"][j]
+            high = s["max"] if cuts[len(probs) + j] >= 1 else s["cuts"][len(probs) + j]
+            slots.append((slot, F.col(f"v{i}"), low, high))
     wanted = literal_rows(
-        df.sparkSession, requested, "slot int, column string, prob double, n long, at double"
+        df.sparkSession, requested, "slot int, column string, prob double, at double"
     )
-    if not slots:
-        return wanted.select("column", "prob", F.lit(None).cast("double").alias("value"))
 
     below = values.agg(*[F.count_if(v < low).alias(f"b{k}") for k, v, low, _ in slots]).select(
         F.inline(
@@ -136,7 +141,7 @@ def _pass(df: DataFrame, columns: list[str], probs: Sequence[float], accuracy: i
         )
     )
     exact = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("at") - F.floor("at"))
-    missed = (F.col("n") > 0) & (F.col("v0").isNull() | F.col("v1").isNull())
+    missed = F.col("v0").isNull() | F.col("v1").isNull()
     failure = F.raise_error(F.lit("quantile outside its bracket; raise accuracy")).cast("double")
     return wanted.join(F.broadcast(picked), "slot", "left").select(
         "column", "prob", F.when(missed, failure).otherwise(exact).alias("value")

@@ -325,6 +325,11 @@ def least_squares(spark, sf):
     )
 
 
+def cores(spark) -> int:
+    """The given tables are single files with one row group, that is, one partition."""
+    return spark.sparkContext.defaultParallelism
+
+
 def splits_of(spark, sf, name, key, target, features, classes):
     d = hash_split(table(spark, sf, name).select(key, target, *features) if target else table(spark, sf, name).select(key, *features), key)
     model = M.prepare(d.where("split = 'train'"), target, features, classes)
@@ -344,25 +349,25 @@ def events_data(spark, sf):
 @query("classification_models")
 def classification_models(spark, sf):
     train, valid = events_data(spark, sf)
-    return M.compare(M.train_all(train, valid, M.candidates("classification", train), "classification")[1], "classification")
+    return M.compare(M.train_all(train, valid, M.candidates("classification", train), "classification", cores(spark))[1], "classification")
 
 
 @query("classification_models_many_classes")
 def classification_models_many_classes(spark, sf):
     train, valid = splits_of(spark, sf, "orders", "o_orderkey", "o_orderpriority", ["o_totalprice", "o_custkey"], True)
-    return M.compare(M.train_all(train, valid, M.candidates("classification", train), "classification")[1], "classification")
+    return M.compare(M.train_all(train, valid, M.candidates("classification", train), "classification", cores(spark))[1], "classification")
 
 
 @query("regression_models")
 def regression_models(spark, sf):
     train, valid = splits_of(spark, sf, "lineitem", "l_orderkey", "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], False)
-    return M.compare(M.train_all(train, valid, M.regression_models(), "regression")[1], "regression")
+    return M.compare(M.train_all(train, valid, M.regression_models(), "regression", cores(spark))[1], "regression")
 
 
 @query("clustering_models")
 def clustering_models(spark, sf):
     train, valid = splits_of(spark, sf, "customer", "c_custkey", None, ["c_acctbal", "c_nationkey"], False)
-    return M.compare(M.train_all(train, valid, M.clustering_models((2, 3)), "clustering")[1], "clustering")
+    return M.compare(M.train_all(train, valid, M.clustering_models((2, 3)), "clustering", cores(spark))[1], "clustering")
 
 
 @query("tuned_holdout")

@@ -615,7 +615,7 @@ def run_classification(spark, sf):
         "data_path": "customer.parquet", "task_type": "classification", "target_column": "c_mktsegment",
         "agents_to_call": ["ModelTrainingAgent"],
     }
-    return run(spark, info, scratch_path(spark, "run"), base=sf).leaderboard
+    return run(spark, info, scratch_path(spark, "run"), base=sf, partitions=spark.sparkContext.defaultParallelism).leaderboard
 
 
 @query("run_regression")
@@ -624,4 +624,4 @@ def run_regression(spark, sf):
     info = {
         "data_path": "lineitem.parquet", "target_column": "l_extendedprice", "agents_to_call": ["EdaAgent", "ModelTrainingAgent"],
     }
-    return run(spark, info, scratch_path(spark, "run"), base=sf).leaderboard
+    return run(spark, info, scratch_path(spark, "run"), base=sf, partitions=spark.sparkContext.defaultParallelism).leaderboard

@@ -42,7 +42,9 @@ class Results:
         )
 
 
-def run(spark: SparkSession, info: Mapping, out: str, base: str = "") -> Results:
+def run(
+    spark: SparkSession, info: Mapping, out: str, base: str = "", partitions: int | None = None
+) -> Results:
     """Run the stages `info` asks for, with everything they need, and write their results to `out`.
 
     Every stage leaves a status report, also when it fails; later stages then do not run.
@@ -53,7 +55,7 @@ def run(spark: SparkSession, info: Mapping, out: str, base: str = "") -> Results
     steps = {STAGES[0]: _profile, STAGES[1]: _features, STAGES[2]: _models}
     for stage in stages:
         try:
-            status = steps[stage](spark, info, target, out, base, results)
+            status = steps[stage](spark, info, target, out, base, results, partitions)
         except Exception as failure:
             lines = str(failure).strip().splitlines() or [type(failure).__name__]
             status = _failed(spark, stage, lines[0][:300])
@@ -70,7 +72,7 @@ def _failed(spark: SparkSession, stage: str, reason: str) -> DataFrame:
     )
 
 
-def _profile(spark, info, target, out, base, results) -> DataFrame:
+def _profile(spark, info, target, out, base, results, partitions) -> DataFrame:
     df = load_dataset(spark, info, base)
     fatal = guard(df, target).where("fatal").select("problem").first()
     if fatal:
@@ -80,7 +82,7 @@ def _profile(spark, info, target, out, base, results) -> DataFrame:
     return profile_status(df, results.profile, target)
 
 
-def _features(spark, info, target, out, base, results) -> DataFrame:
+def _features(spark, info, target, out, base, results, partitions) -> DataFrame:
     raw = load_dataset(spark, info, base)
     # Equal rows share a key, so copies never end up on both sides of a split.
     keyed = hash_split(raw.withColumn(KEY, F.md5(F.to_json(F.struct(*raw.columns)))), KEY).drop(KEY)
@@ -94,7 +96,7 @@ def _features(spark, info, target, out, base, results) -> DataFrame:
     return R.feature_report(results.plan, features, paths)
 
 
-def _models(spark, info, target, out, base, results) -> DataFrame:
+def _models(spark, info, target, out, base, results, partitions) -> DataFrame:
     session = literal_rows(
         spark,
         [(0, info.get("task_type"), info.get("task_intent"), target)],
@@ -108,7 +110,7 @@ def _models(spark, info, target, out, base, results) -> DataFrame:
     features = list(results.status[STAGES[1]].first()["selected_features"])
     assembly = M.prepare(train, target, features, task == "classification")
     train, valid = M.prepared(assembly, train, target), M.prepared(assembly, valid, target)
-    fitted, rows = M.train_all(train, valid, M.candidates(task, train), task)
+    fitted, rows = M.train_all(train, valid, M.candidates(task, train), task, partitions)
     M.compare(rows, task).write.mode("overwrite").parquet(f"{out}/leaderboard")
     results.leaderboard = spark.read.parquet(f"{out}/leaderboard")
     best = results.leaderboard.where("is_best").select("model").first()
