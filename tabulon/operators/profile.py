@@ -25,6 +25,7 @@ from tabulon.session import materialize
 TOKEN_BREAK = r"[ \t\n\r\f]+"
 TEXT_LENGTH = 50
 FEW_VALUES = 20
+DIGEST_FROM = 80
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 TIMESTAMP_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 TYPE_SHARE = 0.99
@@ -45,14 +46,21 @@ def _value_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _comparable(df: DataFrame, c: str) -> Column:
-    """The value in its family's common type, without merging different values."""
+    """The value in its family's common type, without merging different values.
+
+    Long texts are represented by their SHA-256 digest, so that whole texts are not shuffled.
+    """
     dtype = df.schema[c].dataType
     fam = family(dtype)
     if fam == "integral":
         return col(c).cast("long")
     if fam == "datetime":
         return col(c).cast("timestamp_ntz") if dtype.typeName() != "timestamp" else col(c)
-    return present(df, c) if dtype.typeName() in ("float", "double") else col(c).cast("string")
+    if dtype.typeName() in ("float", "double"):
+        return present(df, c)
+    text = col(c).cast("string")
+    digest = F.concat(F.lit("\u0000"), F.sha2(text, 256))
+    return F.when(F.length(text) > DIGEST_FROM, digest).otherwise(text)
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -365,8 +373,8 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     span = values.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi")).alias("s")).scalar()
     placed = values.select("value", span.alias("s"))
     width = (F.col("s.hi") - F.col("s.lo")) / bins
-    at = F.floor((F.col("value") - F.col("s.lo")) / F.nullif(width, F.lit(0.0)))
-    bin_no = F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int")
+    at = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("s.lo"), width)), F.lit(0))
+    bin_no = F.least(at, F.lit(bins - 1)).cast("int")
     return (
         placed.groupBy(bin_no.alias("bin"), "s")
         .count()

@@ -96,8 +96,10 @@ def _number(v: float) -> str:
     return f"{float(v)!r}D"
 
 
-def _projection(columns: dict[str, str]) -> SQLTransformer:
-    body = ", ".join(f"{sql} AS {_name(c)}" for c, sql in columns.items())
+def _projection(replaced: list[str], made: dict[str, str]) -> SQLTransformer:
+    """Drop `replaced`, add `made`, and pass every other column through, whatever it is."""
+    rest = f"* EXCEPT ({', '.join(map(_name, replaced))})" if replaced else "*"
+    body = ", ".join([rest, *[f"{sql} AS {_name(c)}" for c, sql in made.items()]])
     return SQLTransformer(statement=f"SELECT {body} FROM __THIS__")
 
 
@@ -125,11 +127,8 @@ def fit_transforms(train: DataFrame, plan: DataFrame, tables: str) -> PipelineMo
     if gaps:
         modes = {r["column"]: r["mode"] for r in categorical_summary(train, gaps).collect()}
     first = {}
-    for c in train.columns:
-        todo = steps.get(c, [])
-        if "drop" in todo:
-            continue
-        sql = _name(c)
+    for c in having("standardize", "impute_mode"):
+        todo, sql = steps[c], _name(c)
         if "standardize" in todo:
             sql = _present_sql(train, c)
             q = quart.get(c)
@@ -142,7 +141,7 @@ def fit_transforms(train: DataFrame, plan: DataFrame, tables: str) -> PipelineMo
         elif "impute_mode" in todo and modes.get(c) is not None:
             sql = f"coalesce({sql}, CAST({_text(modes[c])} AS {train.schema[c].dataType.simpleString()}))"
         first[c] = sql
-    stages.append(_projection(first))
+    stages.append(_projection([*having("drop"), *first], first))
     cleaned = stages[0].transform(train)
 
     scaled = having("standardize")
@@ -154,8 +153,9 @@ def fit_transforms(train: DataFrame, plan: DataFrame, tables: str) -> PipelineMo
         )
         scale = {r["column"]: (r["mean"], r["std"]) for r in stats.collect()}
     second = {}
-    for c in cleaned.columns:
-        todo, sql = steps.get(c, []), _name(c)
+    rewritten = having("standardize", "one_hot", "date_parts", "text_size", "to_number")
+    for c in rewritten:
+        todo, sql = steps[c], _name(c)
         if "standardize" in todo:
             mean, std = scale[c]
             second[c] = f"({sql} - {_number(mean)}) / {_number(std)}" if std else f"{sql} * 0D"
@@ -177,9 +177,7 @@ def fit_transforms(train: DataFrame, plan: DataFrame, tables: str) -> PipelineMo
             second[f"{c}_tokens"] = f"coalesce(size({words}), 0)"
         elif "to_number" in todo:
             second[c] = f"CAST({sql} AS INT)"
-        else:
-            second[c] = sql
-    stages.append(_projection(second))
+    stages.append(_projection(rewritten, second))
 
     for c in having("frequency_encode"):
         path = f"{tables}/{c}"
@@ -192,8 +190,7 @@ def fit_transforms(train: DataFrame, plan: DataFrame, tables: str) -> PipelineMo
         stages.append(TableEncoder(inputCol=c, outputCol=f"{c}_freq", tablePath=path, default=0.0))
     encoded = having("frequency_encode")
     if encoded:
-        kept = [c for c in second if c not in encoded] + [f"{c}_freq" for c in encoded]
-        stages.append(_projection({c: _name(c) for c in kept}))
+        stages.append(_projection(encoded, {}))
     return PipelineModel(stages)
 
 
