@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# The limits of a rendered report and the marker of cut maps.
+# The limits of a rendered report and the notes on what was cut.
 MAX_ITEMS = 15
 MAX_TEXT = 300
 MAX_CHARS = 6000
 OMITTED = "__omitted__"
+CUT_NOTE = "... [truncated, %d chars total]"
+ITEMS_NOTE = "... %d more items omitted"
+KEYS_NOTE = "%d more keys omitted"
 
 
 def cut_text(text: Column, limit: int = MAX_TEXT) -> Column:
     """A text of at most `limit` characters, followed by its full length when it was cut."""
-    note = F.concat(F.lit("... [truncated, "), F.length(text).cast("string"), F.lit(" chars total]"))
-    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), note)).otherwise(text)
+    cut = F.concat(F.left(text, F.lit(limit)), F.format_string(CUT_NOTE, F.length(text)))
+    return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
 def _json(value: Column, dtype: T.DataType, items: int, chars: int) -> Column:
@@ -25,7 +28,7 @@ def _json(value: Column, dtype: T.DataType, items: int, chars: int) -> Column:
     elif isinstance(dtype, T.ArrayType):
         parts = F.transform(F.slice(value, 1, items), lambda v: _json(v, dtype.elementType, items, chars))
         more = F.size(value) - items
-        note = F.concat(F.lit('"... '), more.cast("string"), F.lit(' more items omitted"'))
+        note = F.format_string(f'"{ITEMS_NOTE}"', more)
         out = _enclose("[", F.when(more > 0, F.array_append(parts, note)).otherwise(parts), "]")
     elif isinstance(dtype, T.MapType):
         entries = F.map_entries(value)
@@ -34,7 +37,7 @@ def _json(value: Column, dtype: T.DataType, items: int, chars: int) -> Column:
             lambda e: F.concat(quote(e["key"].cast("string")), F.lit(":"), _json(e["value"], dtype.valueType, items, chars)),
         )
         more = F.size(entries) - items
-        note = F.concat(F.lit(f'"{OMITTED}":"'), more.cast("string"), F.lit(' more keys omitted"'))
+        note = F.format_string(f'"{OMITTED}":"{KEYS_NOTE}"', more)
         out = _enclose("{", F.when(more > 0, F.array_append(parts, note)).otherwise(parts), "}")
     elif isinstance(dtype, T.StructType):
         parts = [
@@ -42,7 +45,7 @@ def _json(value: Column, dtype: T.DataType, items: int, chars: int) -> Column:
             for f in dtype.fields[:items]
         ]
         if len(dtype.fields) > items:
-            parts.append(F.lit(f'"{OMITTED}":"{len(dtype.fields) - items} more keys omitted"'))
+            parts.append(F.lit(f'"{OMITTED}":"{KEYS_NOTE % (len(dtype.fields) - items)}"'))
         out = _enclose("{", F.array(*parts), "}")
     elif isinstance(dtype, (T.BooleanType, T.IntegralType)):
         out = value.cast("string")
@@ -68,7 +71,7 @@ def render(
 ) -> DataFrame:
     """Add `rendered` and `is_truncated`: bounded JSON, cut as a whole at `total` characters."""
     text = bounded_json(df, column, items, chars)
-    note = F.concat(F.lit("\n... [truncated, "), F.length("_text").cast("string"), F.lit(" chars total]"))
+    note = F.format_string("\n" + CUT_NOTE, F.length("_text"))
     over = F.length("_text") > total
     return (
         df.withColumn("_text", text)

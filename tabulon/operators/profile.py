@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.columns import (
@@ -25,7 +28,7 @@ from tabulon.session import materialize
 TOKEN_BREAK = r"[ \t\n\r\f]+"
 TEXT_LENGTH = 50
 FEW_VALUES = 20
-DIGEST_FROM = 80
+DIGEST_FROM, DIGEST_MARK = 80, "\u0000"
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 TIMESTAMP_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 TYPE_SHARE = 0.99
@@ -59,7 +62,7 @@ def _comparable(df: DataFrame, c: str) -> Column:
     if dtype.typeName() in ("float", "double"):
         return present(df, c)
     text = col(c).cast("string")
-    digest = F.concat(F.lit("\u0000"), F.sha2(text, 256))
+    digest = F.concat(F.lit(DIGEST_MARK), F.sha2(text, 256))
     return F.when(F.length(text) > DIGEST_FROM, digest).otherwise(text)
 
 
@@ -210,32 +213,45 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def all_value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """`column, value, count` for the non-null values of several columns, in one shuffle."""
-    rows = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), present(df, c).cast("string").alias("value"))
-            for c in columns
-        ]
-    )
-    return df.select(F.inline(rows)).where("value is not null").groupBy("column", "value").count()
-
-
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct values, mode (ties: smallest value), its count and its share per string column."""
-    counts = all_value_counts(df, list(columns or columns_of(df, "string", "boolean")))
+    """Distinct values, mode, its count and its share per string column.
+
+    Ties go to the smallest value (among long texts: to the smallest digest). Long texts are counted
+    by digest, and only the winning one is fetched; without long texts that last step finds nothing
+    to join and is dropped at run time.
+    """
+    columns = list(columns or columns_of(df, "string", "boolean"))
+    counts = _value_groups(df, columns).groupBy("column", "value").count()
     best = F.min(F.struct((-F.col("count")).alias("n"), "value"))
-    return (
+    top = (
         counts.groupBy("column")
         .agg(F.count("*").alias("distinct_count"), F.sum("count").alias("n"), best.alias("best"))
         .select(
             "column",
             "distinct_count",
-            F.col("best.value").alias("mode"),
+            F.col("best.value").alias("_key"),
             (-F.col("best.n")).alias("mode_count"),
             (-F.col("best.n") / F.col("n")).alias("mode_share"),
         )
     )
+    cells = df.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("column"), _comparable(df, c).alias("_key"), col(c).cast("string").alias("text")
+                    )
+                    for c in columns
+                ]
+            )
+        )
+    )
+    # At most one row per column.
+    digests = top.where(F.startswith("_key", F.lit(DIGEST_MARK))).select("column", "_key")
+    texts = cells.join(F.broadcast(digests), ["column", "_key"]).groupBy("column").agg(F.min("text").alias("text"))
+    return top.join(F.broadcast(texts), "column", "left").select(
+        "column", "distinct_count", F.coalesce("text", "_key").alias("mode"), "mode_count", "mode_share"
+    )
 
 
 def datetime_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -427,6 +443,23 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return union_all(frames)
 
 
+def wide_correlations(df: DataFrame, columns: Sequence[str], method: str = "spearman") -> DataFrame:
+    """Pairs as in `correlations`, by the library's matrix: for many columns, and for rank correlation.
+
+    Rows with a missing value are left out. The matrix has one cell per column pair.
+    """
+    complete = df.select(*[number(df, c).alias(c) for c in columns]).na.drop()
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(complete).select("v")
+    matrix = Correlation.corr(vectors, "v", method).first()[0].toArray()
+    pairs = [
+        (a, b, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+        if i < j
+    ]
+    return literal_rows(df.sparkSession, pairs, "a string, b string, r double")
+
+
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """Chi-square of the a-by-b table and Cramér's V, over rows where both are present.
 

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabulon.operators.lookup import lookup
 from tabulon.session import materialize
 
+# Fixed value: the reason of a failed report that gives none.
+NO_REASON = "no reason given"
+
 # Stand-ins for escaped backslashes and quotes while strings are cut out of a JSON text; raw
 # control characters cannot occur inside valid JSON strings.
 BACKSLASH, QUOTE = "\u0001", "\u0002"
@@ -77,7 +80,7 @@ def validate_reports(expected: DataFrame, reports: DataFrame, files: DataFrame,
     )
     doc = F.try_parse_json("report")
     status = F.try_variant_get(doc, "$.pipeline_status", "string")
-    why = F.coalesce(F.try_variant_get(doc, "$.pipeline_status_reason", "string"), F.lit("no reason given"))
+    why = F.coalesce(F.try_variant_get(doc, "$.pipeline_status_reason", "string"), F.lit(NO_REASON))
     is_object = F.substring(F.regexp_replace("report", r"^\s+", ""), 1, 1) == "{"
     has_gaps = F.coalesce("_gaps", F.lit(0)) > 0
     outcome = (

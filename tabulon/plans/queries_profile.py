@@ -273,6 +273,22 @@ def correlations(spark, sf):
     return rounded(P.correlations(table(spark, sf, "lineitem"), CORRELATED))
 
 
+RANKS = ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in ("p_size", "p_retailprice", "p_partkey")
+)
+
+
+@query(
+    "rank_correlations",
+    f"WITH r AS (SELECT {RANKS} FROM part) " + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM r"
+        for a, b in (("p_size", "p_retailprice"), ("p_size", "p_partkey"), ("p_retailprice", "p_partkey"))
+    ),
+)
+def rank_correlations(spark, sf):
+    return rounded(P.wide_correlations(table(spark, sf, "part"), ["p_size", "p_retailprice", "p_partkey"]))
+
+
 @query(
     "cramers_v",
     """WITH o AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS o FROM lineitem GROUP BY 1, 2),

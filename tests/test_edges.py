@@ -18,9 +18,10 @@ from tabulon.operators import reports as D
 from tabulon.operators import sessions as S
 from tabulon.operators import transforms as R
 from tabulon.operators.baselines import group_baseline
-from tabulon.plans.queries_tables import workbook
+from tabulon.plans.queries_tables import turn_slots, workbook
 from tabulon.plans.run import run
 from tabulon.sources import readers, sinks
+from tabulon.streaming.slots import folded_sessions, start_fold
 
 SCHEMA = "id long, x double, c string, when timestamp, list array<int>, none string, flag boolean"
 
@@ -67,6 +68,14 @@ def test_profile_without_numbers_or_strings(spark):
     assert P.profile(spark.createDataFrame([("q",)], "a string")).first()["mode"] == "q"
 
 
+def test_mode_of_long_texts(spark):
+    long, other = "w" * 5000, "v" * 4999
+    df = spark.createDataFrame([(long, "x"), (other, "x"), (long, "y"), (None, "y")], "t string, s string")
+    got = by_column(P.categorical_summary(df))
+    assert (got["t"]["mode"], got["t"]["mode_count"], got["t"]["distinct_count"]) == (long, 2, 2)
+    assert (got["s"]["mode"], got["s"]["mode_count"]) == ("x", 2)
+
+
 def test_histogram_of_constant(spark):
     got = P.histogram(spark.createDataFrame([(2.0,)] * 3, "x double"), "x", 4).collect()
     assert [(r["bin"], r["count"]) for r in got] == [(0, 3)]
@@ -315,6 +324,18 @@ def test_bounded_render(spark):
     assert cut["is_truncated"] and cut["rendered"].startswith(out["rendered"][:50] + "\n... [truncated, ")
 
 
+def test_stream_fold_over_several_batches(spark, load, tmp_path):
+    turns = turn_slots(load("conversations"))
+    source, out, state = (str(tmp_path / n) for n in ("turns", "out", "state"))
+    for part in (turns.where("turn % 2 = 1"), turns.where("turn % 2 = 0")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(turns.schema).parquet(source)
+        start_fold(stream, out, state).awaitTermination()
+    got, want = folded_sessions(spark, out), S.fold_slots(turns)
+    assert got.count() == want.count() > 0
+    assert got.select(*want.columns).exceptAll(want).count() == 0
+
+
 def test_upsert_keeps_latest(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, t int, v string")
     new = spark.createDataFrame([(1, 2, "c"), (2, 4, "d"), (3, 1, "e")], "k int, t int, v string")
