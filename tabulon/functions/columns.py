@@ -72,8 +72,9 @@ def long_aggregate(
     df: DataFrame,
     columns: Sequence[str],
     metrics: Mapping[str, Callable[[str], Column]],
+    fixed: Mapping[str, Callable[[str], str]] | None = None,
 ) -> DataFrame:
-    """One row per column: `column` plus every metric.
+    """One row per column: `column`, the `fixed` texts, and every metric.
 
     Columns are aggregated together; the single result row is turned into rows afterwards. A
     metric must have the same type for every column.
@@ -89,6 +90,7 @@ def long_aggregate(
             *[
                 F.struct(
                     F.lit(name).alias("column"),
+                    *[F.lit(make(name)).alias(text) for text, make in (fixed or {}).items()],
                     *[F.col(f"m{i}_{metric}").alias(metric) for metric in metrics],
                 )
                 for i, name in enumerate(part)

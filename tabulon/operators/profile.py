@@ -34,12 +34,12 @@ TIMESTAMP_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 TYPE_SHARE = 0.99
 
 
-def _constants(df: DataFrame, columns: Sequence[str], make) -> Column:
-    """A fixed per-column text, chosen by the `column` value."""
-    out = F.lit(None).cast("string")
-    for c in columns:
-        out = F.when(F.col("column") == c, F.lit(make(c))).otherwise(out)
-    return out
+def _types(df: DataFrame) -> dict:
+    """The fixed facts about a column that its kind and its profile row start from."""
+    return {
+        "physical_type": lambda c: df.schema[c].dataType.simpleString(),
+        "family": lambda c: family(df.schema[c].dataType),
+    }
 
 
 def _value_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -96,15 +96,15 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _with_distinct(df: DataFrame, columns: Sequence[str], metrics: dict, exact: bool) -> DataFrame:
-    """`long_aggregate` of the metrics, with `distinct_count` added."""
+    """`long_aggregate` of the metrics, with the column's types and `distinct_count` added."""
     if exact:
         counts = distinct_counts(df, columns)
-        return long_aggregate(df, columns, metrics).join(F.broadcast(counts), "column")
+        return long_aggregate(df, columns, metrics, _types(df)).join(F.broadcast(counts), "column")
     approx = lambda c: (
         F.lit(None).cast("long")
         if family(df.schema[c].dataType) == "complex" else F.approx_count_distinct(present(df, c))
     )
-    return long_aggregate(df, columns, {**metrics, "distinct_count": approx})
+    return long_aggregate(df, columns, {**metrics, "distinct_count": approx}, _types(df))
 
 
 def _text_length(df: DataFrame):
@@ -116,8 +116,8 @@ def _text_length(df: DataFrame):
     return length
 
 
-def _kind(df: DataFrame, columns: Sequence[str]) -> Column:
-    fam = _constants(df, columns, lambda c: family(df.schema[c].dataType))
+def _kind() -> Column:
+    fam = F.col("family")
     keyish = fam.isin("integral", "string")
     return (
         F.when(fam == "complex", "complex")
@@ -148,8 +148,8 @@ def column_kinds(df: DataFrame, exact: bool = True) -> DataFrame:
     )
     return stats.select(
         "column",
-        _constants(df, columns, lambda c: df.schema[c].dataType.simpleString()).alias("physical_type"),
-        _kind(df, columns).alias("kind"),
+        "physical_type",
+        _kind().alias("kind"),
         "non_null",
         "distinct_count",
     )
@@ -295,9 +295,8 @@ def cardinality(df: DataFrame, columns: Sequence[str] | None = None, exact: bool
     stats = _with_distinct(
         df, list(columns or df.columns), {"non_null": lambda c: F.count(present(df, c))}, exact
     )
-    return stats.withColumn(
-        "distinct_share", F.try_divide(F.col("distinct_count"), F.col("non_null"))
-    )
+    share = F.try_divide(F.col("distinct_count"), F.col("non_null"))
+    return stats.select("column", "non_null", "distinct_count", share.alias("distinct_share"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -596,12 +595,12 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     )
     stats = stats.select(
         "column",
-        _constants(df, columns, lambda c: df.schema[c].dataType.simpleString()).alias("physical_type"),
-        _kind(df, columns).alias("kind"),
+        "physical_type",
+        _kind().alias("kind"),
         "rows",
         (F.col("rows") - F.col("non_null")).alias("missing"),
         F.try_divide(F.col("rows") - F.col("non_null"), F.col("rows")).alias("missing_share"),
-        *[c for c in stats.columns if c not in ("column", "rows", "non_null", "mean_length")],
+        *[c for c in stats.columns if c not in ("column", "physical_type", "family", "rows", "non_null", "mean_length")],
     )
     null = F.lit(None)
     if numbers:
