@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -53,6 +56,27 @@ def _local_root(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"tabulon-{application}-")
 
 
+@cache
+def _package_archive() -> str:
+    """The package as a zip file, for workers that do not have it installed."""
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tabulon-package-")) / "tabulon.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    return str(archive)
+
+
+@cache
+def _ship(application: str) -> None:
+    SparkContext.getOrCreate().addPyFile(_package_archive())
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark hand this package to the Python workers, once per application."""
+    _ship(spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{scratch_root(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
@@ -64,6 +88,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     Cuts the lineage in a way that survives lost executors, and gives the optimizer the real size
     of the table, so later joins are planned from facts.
     """
+    ship_package(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
