@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabulon.llm import line_dedup, packing, quality, sentencepiece, toxicity
+from tabulon.llm import line_dedup, ngram_join, packing, quality, sentencepiece, toxicity
 from tabulon.llm.common import id_remainder, labelled, stored
 from tabulon.operators.lookup import fits_broadcast
 from tabulon.plans.catalog import table
@@ -96,3 +96,31 @@ def op10(spark, sf):
     return line_dedup.drop_boilerplate(table(spark, sf, "documents")).select(
         "doc_id", "source", "lines_dropped", "text"
     )
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, string_split_regex(trim(text, E' \n\t\r'), '[ \n\t\r]+') AS w FROM documents
+    WHERE trim(coalesce(text, ''), E' \n\t\r') <> ''),
+grams AS (
+    SELECT DISTINCT doc_id, unnest(list_transform(
+        range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY ALL),
+links AS (
+    SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+    WHERE 10 * common >= 8 * (s.n + t.n - common)),
+reach AS (SELECT a AS id, a AS other FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1),
+counts AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT d.doc_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, d.doc_id) AS component_id,
+    coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN least l ON l.id = d.doc_id LEFT JOIN counts c ON c.id = d.doc_id
+"""
+
+
+@query("op5_ngram_jaccard_join", NEAR_SQL)
+def op5(spark, sf):
+    return ngram_join.near_duplicates(table(spark, sf, "documents")).drop("text_key")
