@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabulon.llm import line_dedup, ngram_join, packing, quality, sentencepiece, toxicity
+from tabulon.llm import embedding_dedup, line_dedup, ngram_join, packing, quality, sentencepiece, toxicity
 from tabulon.llm.common import id_remainder, labelled, stored
 from tabulon.operators.lookup import fits_broadcast
 from tabulon.plans.catalog import table
@@ -124,3 +124,25 @@ FROM documents d LEFT JOIN least l ON l.id = d.doc_id LEFT JOIN counts c ON c.id
 @query("op5_ngram_jaccard_join", NEAR_SQL)
 def op5(spark, sf):
     return ngram_join.near_duplicates(table(spark, sf, "documents")).drop("text_key")
+
+
+VECTOR_SQL = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT a AS id, a AS other FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1),
+counts AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+    coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN least l ON l.id = e.vec_id LEFT JOIN counts c ON c.id = e.vec_id
+"""
+
+
+@query("op4_embedding_near_dedup", VECTOR_SQL)
+def op4(spark, sf):
+    return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
