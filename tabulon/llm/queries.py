@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabulon.llm import embedding_dedup, line_dedup, ngram_join, packing, quality, sentencepiece, toxicity
+from tabulon.llm import ann, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, sentencepiece, toxicity
 from tabulon.llm.common import id_remainder, labelled, stored
 from tabulon.operators.lookup import fits_broadcast
 from tabulon.plans.catalog import table
@@ -146,3 +146,15 @@ FROM embeddings e LEFT JOIN least l ON l.id = e.vec_id LEFT JOIN counts c ON c.i
 @query("op4_embedding_near_dedup", VECTOR_SQL)
 def op4(spark, sf):
     return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query("op9_nearest_neighbours")
+def op9(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query("op8_personal_data")
+def op8(spark, sf):
+    found = pii.with_personal_data(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.withColumns(pii.span_counts("base_spans")).drop("text", "masked", "base_spans")
