@@ -13,6 +13,7 @@ on open bins, whatever the corpus size.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,50 +25,69 @@ from tabulon.llm.common import stored
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = f"{PIECE_SCHEMA}, bin long, place long, used long, is_open boolean"
-#: Words kept by a worker with their ids; the memory this takes does not grow with the corpus.
-MEMO_WORDS = 400_000
+#: Entries of a worker's memories; what they take does not grow with the corpus.
+MEMO_ENTRIES = 400_000
+
+
+class Memory(dict):
+    """Remembers the results of a function, in two generations: the older goes when the younger is full."""
+
+    def __init__(self, compute, most: int = MEMO_ENTRIES):
+        super().__init__()
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(256 + rest.index(b)) if b in rest else chr(b) for b in range(256)]
 
 
 class WordTokenizer:
-    """Ids of whole texts, equal to encoding them in one call, with words remembered.
+    """Ids of whole texts as 32-bit little-endian bytes, equal to encoding them in one call.
 
-    The vocabulary's pre-tokeniser always cuts at white space, so the ids of a text are those of its
-    space-separated words. That holds for letter case and normal form only when no character can
-    combine with or depend on its neighbours; texts outside that range are encoded whole.
+    The vocabulary's pre-tokeniser cuts a text at blanks and into runs of letters, digits and runs of
+    symbols; the ids of a text are those of its units, so words and units are remembered. Texts with
+    characters whose letter case, normal form or class may depend on more than themselves, and texts
+    with special tokens, are encoded whole.
     """
 
-    special = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]|İ|<\|")
+    special = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
+    units = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, list[int]] = {}
+        self.letters = _byte_letters()
+        self.of_unit = Memory(self._unit)
+        self.of_word = Memory(lambda word: b"".join(map(self.of_unit.__getitem__, self.units.findall(word))))
 
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list(words)
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[word] = code.ids
+    def _unit(self, unit: str) -> bytes:
+        coded = "".join([self.letters[b] for b in unit.encode()])
+        return _packed([t.id for t in self.tokenizer.model.tokenize(coded)])
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> bytes:
         if not text:
-            return []
-        if self.special.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        words = text.lower().split()
-        memo, ids = self.memo, []
-        try:
-            for word in words:
-                ids += memo[word]
-        except KeyError:
-            self._learn(set(words))
-            memo, ids = self.memo, []
-            for word in words:
-                ids += memo[word]
-        return ids
+            return b""
+        if self.special.search(text) or "<|" in text:
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.of_word.__getitem__, text.lower().split()))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -80,24 +100,23 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def cut(ids: list[int], size: int) -> Iterator[tuple[int, int, int]]:
-    """Start, length and checksum of the pieces of a document."""
-    codes = np.asarray(ids, dtype="<u4")
-    for start in range(0, len(codes), size):
-        part = codes[start : start + size]
-        yield start, len(part), zlib.crc32(part.tobytes())
+def cut(ids: bytes, size: int) -> Iterator[tuple[int, int, int]]:
+    """Start, length and checksum of the pieces of a document of 32-bit ids."""
+    for start in range(0, len(ids), 4 * size):
+        part = ids[start : start + 4 * size]
+        yield start // 4, len(part) // 4, zlib.crc32(part)
 
 
 def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     """One row per piece of at most `size` tokens; a null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path).encode
+        encode, end = tokenizer(path).encode, _packed([end_id])
         for batch in batches:
             rows = [
                 (doc, k, start, length, crc)
                 for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"])
-                for k, (start, length, crc) in enumerate(cut([*encode(text), end_id], size))
+                for k, (start, length, crc) in enumerate(cut(encode(text) + end, size))
             ]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
