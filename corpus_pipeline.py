@@ -5,36 +5,57 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import line_dedup, packing, quality
+from tabulon.llm import line_dedup, ngram_join, packing, pii, quality
 from tabulon.llm.common import stored
 from tabulon.llm.queries import train_rows
 from tabulon.plans.catalog import table
+from tabulon.session import ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, with the number of characters of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose quality score is one half or more."""
+    """Keeps the documents whose quality score is one half or more; nothing else about them changes."""
+    ship_package(spark)
     measured = quality.with_statistics(docs.select("doc_id", "text")).drop("text")
     model = quality.fit(train_rows(measured, table(spark, sf_dir, "labels"), "quality", 3, 1))
     return quality.with_scores(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes boilerplate lines; every document stays."""
-    return line_dedup.drop_boilerplate(docs.select(*COLUMNS)).withColumn(
-        "n_chars", F.length("text").cast("long")
-    ).select(*COLUMNS)
+    """Removes boilerplate lines; every document stays, if need be with an empty text."""
+    return _documents(line_dedup.drop_boilerplate(docs.select(*COLUMNS)))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, and all that have no words."""
+    ship_package(spark)
+    return ngram_join.drop_near_duplicates(docs.select(*COLUMNS))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and secrets by their kind; every document stays and a null text stays null."""
+    ship_package(spark)
+    found = pii.with_personal_data(docs.select(*COLUMNS))
+    return _documents(found.withColumn("text", F.when(F.col("text").isNotNull(), F.col("masked"))))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: one row per piece of a document, with its place."""
+    ship_package(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
     ("quality", quality_stage),
     ("line_dedup", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("personal_data", personal_data_stage),
     ("packing", packing_stage),
 ]
 
