@@ -19,13 +19,16 @@ def id_remainder(column: str, modulus: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, name: str, id_column: str = "doc_id") -> DataFrame:
-    """`docs` rows with a label 0 or 1 in the column `label`; of repeated labels the larger one counts."""
+    """`docs` rows with a label 0 or 1 in the column `label`; of repeated labels the larger one counts.
+
+    A column of `docs` that is already called `label` gives way.
+    """
     known = (
         labels.where(F.col(name).isin(0, 1) & F.col(id_column).isNotNull())
-        .groupBy(F.col(id_column).alias("_id"))
+        .groupBy(F.col(id_column).alias("_labelled_id"))
         .agg(F.max(F.col(name).cast("int")).alias("label"))
     )
-    return docs.join(known, docs[id_column] == known["_id"]).drop("_id")
+    return docs.drop("label").join(known, F.col(id_column) == F.col("_labelled_id")).drop("_labelled_id")
 
 
 def mix32(x: np.ndarray) -> np.ndarray:

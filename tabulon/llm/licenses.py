@@ -2,7 +2,7 @@
 
 DataFrame functions only. A line is a notice of the template it is most similar to, if the cosine is
 `threshold` or more. Words are runs of a-z and 0-9 of the lower-case text; a word of the templates
-weighs ln((1 + files) / (1 + files with it)) + 1, any other word 1.
+weighs ln((1 + files) / (1 + files with it)) + 1, any other word their mean.
 
 Most lines are ruled out by a word test that cannot lose a notice: for every template the lightest
 words are left out as long as they could not reach the threshold by themselves, and a line without
@@ -76,6 +76,7 @@ def notices(files: DataFrame, threshold: float = 0.7, templates=TEMPLATES) -> Da
     vocabulary = sorted({w for c in counted for w in c})
     total, frequency = document_frequencies(files, vocabulary)
     idf = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) + 1 for w in vocabulary}
+    other = sum(idf.values()) / max(len(idf), 1)
     weights = [{w: n * idf[w] for w, n in c.items()} for c in counted]
     norms = [math.sqrt(sum(x * x for x in w.values())) for w in weights]
     # One row for each word of each template: bounded by the templates given.
@@ -98,7 +99,7 @@ def notices(files: DataFrame, threshold: float = 0.7, templates=TEMPLATES) -> Da
         counts.join(idfs, "word", "left")
         .groupBy(*key)
         .agg(
-            F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("idf", F.lit(1.0)), 2))).alias("norm"),
+            F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"),
             F.sum("n").alias("line_words"),
         )
     )
@@ -114,7 +115,7 @@ def notices(files: DataFrame, threshold: float = 0.7, templates=TEMPLATES) -> Da
 
 def folder(path: Column) -> Column:
     """The directory of a path, without a slash at its end; the empty text is the root."""
-    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), "")
 
 
 def _ancestors(directory: Column) -> Column:
@@ -165,16 +166,16 @@ def scan(files: DataFrame, threshold: float = 0.7, file_share: float = 0.5, temp
     nearest_side = F.broadcast(nearest) if fits_broadcast(nearest) else nearest
     joined = (
         files.withColumn("_dir", folder(F.col("path")))
-        .join(own_side.select(F.col("path").alias("_path"), "own"), F.col("path") == F.col("_path"), "left")
-        .join(nearest_side.withColumnRenamed("dir", "_near"), F.col("_dir") == F.col("_near"), "left")
+        .join(own_side.select(F.col("path").alias("_path"), F.col("own").alias("_own")), F.col("path") == F.col("_path"), "left")
+        .join(nearest_side.select(F.col("dir").alias("_near"), F.col("from").alias("_from")), F.col("_dir") == F.col("_near"), "left")
     )
-    has = F.col("own").isNotNull()
+    has = F.col("_own").isNotNull()
     return joined.withColumns(
         {
-            "license": F.coalesce("own.license", "from.license"),
-            "origin": F.when(has, "header").when(F.col("from").isNotNull(), "inherited").otherwise("none"),
-            "cosine": F.col("own.cosine"),
-            "line_no": F.col("own.line_no"),
-            "source_path": F.when(~has, F.col("from.path")),
+            "license": F.coalesce("_own.license", "_from.license"),
+            "origin": F.when(has, "header").when(F.col("_from").isNotNull(), "inherited").otherwise("none"),
+            "cosine": F.col("_own.cosine"),
+            "line_no": F.col("_own.line_no"),
+            "source_path": F.when(~has, F.col("_from.path")),
         }
-    ).drop("_dir", "_path", "_near", "own", "from")
+    ).drop("_dir", "_path", "_near", "_own", "_from")

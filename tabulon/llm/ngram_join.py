@@ -283,17 +283,17 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, re
     Of repeated rows (equal id and text) of a group, one stays.
     """
     found = stored(near_duplicates(docs, threshold, n, recall), "near-duplicates")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key")).distinct()
     gone = stored(gone, "gone")
     gone = F.broadcast(gone) if fits_broadcast(gone) else gone
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    left = docs.withColumn("_text_key", key).join(gone, same, "left_anti")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (F.col("_near_text") == F.col("_near_key"))
+    left = docs.withColumn("_near_text", key).join(gone, same, "left_anti")
     repeated = (
         found.where("kept AND n_links > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
-        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+        .select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key"))
     )
     if not repeated.isEmpty():
-        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_near_text"])
         left = left.join(repeated, same, "left_anti").unionByName(once)
-    return left.drop("_text_key")
+    return left.drop("_near_text")

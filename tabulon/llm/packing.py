@@ -160,11 +160,11 @@ class OpenBins:
             self._put(bin_id, free - length)
         return bin_id, self.size - free
 
-    def place_all(self, lengths: list[int], waiting: int = 1024) -> list[tuple[int, int]]:
-        """Places items in the order given, but for `waiting` items at a time, of which the longest go first."""
+    def place_all(self, lengths: list[int]) -> list[tuple[int, int]]:
+        """Places items in the order given, but that of as many as bins can be open the longest go first."""
         out: list[tuple[int, int]] = [(0, 0)] * len(lengths)
-        for start in range(0, len(lengths), waiting):
-            for i in sorted(range(start, min(start + waiting, len(lengths))), key=lambda i: -lengths[i]):
+        for start in range(0, len(lengths), self.most):
+            for i in sorted(range(start, min(start + self.most, len(lengths))), key=lambda i: -lengths[i]):
                 out[i] = self.place(lengths[i])
         return out
 

@@ -183,7 +183,7 @@ lines AS (
 lw AS (SELECT path, line_no, word, count(*) AS n FROM (
     SELECT path, line_no, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM lines) GROUP BY ALL),
 sizes AS (
-    SELECT path, line_no, sqrt(sum((n * coalesce(idf, 1)) ** 2)) AS norm, sum(n) AS line_words
+    SELECT path, line_no, sqrt(sum((n * coalesce(idf, (SELECT avg(idf) FROM idf))) ** 2)) AS norm, sum(n) AS line_words
     FROM lw LEFT JOIN idf USING (word) GROUP BY ALL),
 near AS (
     SELECT path, line_no, template, license, line_words, sum(n * idf * share) / any_value(norm) AS cosine
