@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
         "text_key",
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("leader").isNull(), F.col("doc_id")).otherwise(F.col("leader.doc_id")).alias("component_id"),
-        F.coalesce(same, F.lit(True)).alias("kept"),
+        F.when(F.col("leader").isNull(), True).otherwise(same).alias("kept"),
     )
 
 
