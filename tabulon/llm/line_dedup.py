@@ -2,7 +2,8 @@
 
 A line is boilerplate on a host when it is on more than `max_ratio` of the host's pages, and on at
 least `min_pages` of them, so that the lines of a host with a handful of pages are not taken for
-boilerplate. Those lines are removed from the host's pages.
+boilerplate. Those lines are removed from the host's pages. Pages of a host with the same text count
+as one, in both numbers, so that a page that was stored many times is not taken for boilerplate.
 
 Each page contributes each of its lines once, as a digest, and counts are combined before the
 shuffle, so a host with a third of all pages costs no more than its own share. A host has at most
@@ -33,17 +34,15 @@ def boilerplate(
     docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5
 ) -> DataFrame:
     """(host, digest, pages, host_pages) of every boilerplate line; blank lines are never counted."""
-    rows = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
+    lines = F.array_distinct(F.transform(F.filter(lines_of(F.col(text)), lambda x: F.trim(x) != ""), digest))
+    pages = (
+        docs.select(F.col(host).alias("host"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("page"), lines.alias("lines"))
+        .groupBy("host", "page")
+        .agg(F.first("lines").alias("lines"))
+    )
+    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     counts = (
-        rows.select(
-            "host",
-            F.explode(
-                F.array_distinct(
-                    F.transform(F.filter(lines_of("text"), lambda x: F.trim(x) != ""), digest)
-                )
-            ).alias("digest"),
-        )
+        pages.select("host", F.explode("lines").alias("digest"))
         .groupBy("host", "digest")
         .agg(F.count("*").alias("pages"))
         .where(F.col("pages") >= min_pages)
@@ -60,8 +59,8 @@ def drop_boilerplate(
     """`docs`, all rows and columns, with boilerplate lines removed from `text`.
 
     A page of which nothing remains keeps its row, with an empty text. A null text stays null. Pages
-    with a null host form a host of their own. Repeated rows count as pages. The number of removed
-    lines is added as `lines_dropped` (replacing a column of that name).
+    with a null host form a host of their own, pages with a null text count as one page. The number of
+    removed lines is added as `lines_dropped` (replacing a column of that name).
     """
     found = stored(boilerplate(docs, host, text, max_ratio, min_pages).select("host", "digest"), "boilerplate")
     per_host = found.groupBy("host").agg(F.collect_set("digest").alias("_drop")).withColumnRenamed("host", "_host")

@@ -72,12 +72,13 @@ def op7(spark, sf):
 
 LINES_SQL = r"""
 WITH lines AS (
-    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+    SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
         generate_subscripts(string_split(text, chr(10)), 1) AS at
     FROM documents),
-totals AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
+totals AS (
+    SELECT source, count(DISTINCT text) + max((text IS NULL)::INTEGER) AS host_pages FROM documents GROUP BY source),
 counts AS (
-    SELECT source, trim(line, ' ') AS line, count(DISTINCT doc_id) AS pages
+    SELECT source, trim(line, ' ') AS line, count(DISTINCT text) AS pages
     FROM lines WHERE trim(line, ' ') <> '' GROUP BY ALL),
 boilerplate AS (
     SELECT source, line FROM counts JOIN totals USING (source) WHERE pages >= 5 AND pages > host_pages * 0.1),

@@ -141,7 +141,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
             for text, label in zip(batch["text"], batch["label"]):
                 counted[label].update(words_of(text))
             words = list(counted[0].keys() | counted[1].keys())
-            yield pd.DataFrame({"word": words, **{f"n{k}": [counted[k][w] for w in words] for k in (0, 1)}})
+            if words:
+                yield pd.DataFrame({"word": words, **{f"n{k}": [counted[k][w] for w in words] for k in (0, 1)}})
 
     return _summed(rows.select("text", "label"), run, "word")
 
@@ -157,8 +158,9 @@ def gram_counts(words: DataFrame) -> DataFrame:
                     n = counted.setdefault(g, [0, 0])
                     n[0] += a
                     n[1] += b
-            table = np.array(list(counted.values()), dtype=np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"gram": list(counted), "n0": table[:, 0], "n1": table[:, 1]})
+            if counted:
+                table = np.array(list(counted.values()), dtype=np.int64)
+                yield pd.DataFrame({"gram": list(counted), "n0": table[:, 0], "n1": table[:, 1]})
 
     return _summed(words, run, "gram")
 

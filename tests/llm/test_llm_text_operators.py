@@ -31,8 +31,8 @@ ODD = [
 
 
 def plain_line_dedup(rows, ratio, least):
-    hosts = Counter(s for _, _, s in rows)
-    pages = Counter((s, x) for _, t, s in rows if t is not None for x in {y.strip(" ") for y in t.split("\n")} if x)
+    hosts = Counter(s for _, s in {(t, s) for _, t, s in rows})
+    pages = Counter((s, x) for t, s in {(t, s) for _, t, s in rows} if t is not None for x in {y.strip(" ") for y in t.split("\n")} if x)
     bad = {k for k, n in pages.items() if n >= least and n > hosts[k[0]] * ratio}
     return sorted(
         (
@@ -46,12 +46,13 @@ def plain_line_dedup(rows, ratio, least):
 def test_lines_are_dropped_by_their_share_of_pages(spark):
     rows = ODD + [(100 + i, f"menu\nown line {i}\n menu \nfoot {i % 3}", "site") for i in range(12)]
     rows += [(200 + i, "menu\nrare", "other") for i in range(4)]  # too few pages to tell
-    rows += [(300 + i, "all the same", None) for i in range(6)]
+    rows += [(300 + i, "all the same", None) for i in range(6)]  # one page, stored many times
+    rows += [(400 + i, f"shared\n{i // 2}", "twice") for i in range(12)]
     got = line_dedup.drop_boilerplate(docs_of(spark, rows), max_ratio=0.3)
     assert got.columns == [x.split()[0] for x in DOCS.split(", ")] + ["lines_dropped"]
     found = sorted(((r["doc_id"], r["source"], r["text"]) for r in got.collect()), key=str)
     assert found == plain_line_dedup(rows, 0.3, 5)
-    assert {r["text"] for r in got.where("doc_id >= 300").collect()} == {""}
+    assert {r["text"] for r in got.where("doc_id >= 300").collect()} == {"all the same", *"012345"}
 
 
 def test_line_dedup_of_nothing(spark):
