@@ -63,15 +63,18 @@ def _found(text: Column, *patterns: str) -> Column:
 def extract_slots(text: Column) -> dict[str, Column]:
     """Slots stated in a message, null where not stated.
 
-    Read are `name: value` lines, phrases such as "target column is Quality", "type of data is
+    Read are `name: value` pairs (the value is the rest of the line, or what comes before the next
+    pair), phrases such as "target column is Quality", "type of data is
     csv", "task type is classification", a path with a known file ending, and the bare words for
     task types and intents.
     """
     types, tasks = "|".join(DATA_TYPES), "|".join(TASK_TYPES)
+    names = "data_path|data_type|task_type|target_column|task_intent"
+    pair = lambda name: rf"(?m){name}\s*:[ \t]*(\S.*?)[ \t]*(?:\r?$|[,;][ \t]*(?=(?:{names})\s*:))"
     path = r"([A-Za-z0-9_.~:/\\-]+\.(?:csv|parquet|xlsx|txt|json))\b"
     intent = _found(text, r"task_intent\s*:\s*([a-z_]+)", r"\b(full[ _]pipeline|model[ _]training|feature[ _]engineering|eda)\b")
     return {
-        "data_path": _found(text, r"data_path\s*:\s*(\S+)", path),
+        "data_path": _found(text, pair("data_path"), r"data path is [\"'`]([^\"'`\n]+)[\"'`]", path),
         "data_type": F.lower(
             _found(
                 text, rf"data_type\s*:\s*({types})\b", rf"type of data is (?:an? )?({types})\b",
@@ -79,6 +82,8 @@ def extract_slots(text: Column) -> dict[str, Column]:
             )
         ),
         "task_type": F.lower(_found(text, rf"task_type\s*:\s*({tasks})\b", rf"task type is ({tasks})\b", rf"\b({tasks})\b")),
-        "target_column": _found(text, r"target_column\s*:\s*(\w+)", r"target column is (\w+)"),
+        "target_column": _found(
+            text, pair("target_column"), r"target column is [\"'`]([^\"'`\n]+)[\"'`]", r"target column is (\w+(?:-\w+)*)"
+        ),
         "task_intent": F.replace(F.lower(intent), F.lit(" "), F.lit("_")),
     }

@@ -48,14 +48,13 @@ SEED = 42
 RESULT = "task string, model string, status string, reason string, metric string, value double"
 METRIC = {"classification": "accuracy", "regression": "rmse", "clustering": "silhouette"}
 FOLDS = 3
-# Class labels are held on the driver by the library's indexer and models.
-MAX_CLASSES = 1000
 
 
 def detect_task(sessions: DataFrame, target_kinds: DataFrame) -> DataFrame:
     """`session_id, task`: the stated task type, else the intent, else the target column's kind.
 
-    `target_kinds` holds `column, kind, distinct_count` of the profiled table: one row per column.
+    `target_kinds` holds `column, physical_type, kind` of the profiled table: one row per column. A target is
+    never an id: one that looks like it is a number to be estimated, or else a class.
     """
     known = ("classification", "regression", "clustering")
     stated = F.when(F.lower("task_type").isin(*known), F.lower("task_type"))
@@ -64,21 +63,23 @@ def detect_task(sessions: DataFrame, target_kinds: DataFrame) -> DataFrame:
         F.when(F.col("target_column").isNull() | (F.col("target_column") == ""), "clustering")
         .when(F.col("kind").isin("categorical", "boolean"), "classification")
         .when(F.col("kind") == "numeric", "regression")
+        .when(F.col("kind") == "id", F.when(F.col("physical_type") == "string", "classification").otherwise("regression"))
     )
-    kinds = target_kinds.select(F.col("column").alias("target_column"), "kind")
+    kinds = target_kinds.select(F.col("column").alias("target_column"), "physical_type", "kind")
     joined = sessions.join(F.broadcast(kinds), "target_column", "left")
     return joined.select("session_id", F.coalesce(stated, intent, by_kind, F.lit("unknown")).alias("task"))
 
 
 def prepare(df: DataFrame, target: str | None, features: Sequence[str], classes: bool) -> PipelineModel:
-    """Fitted assembly: `label` (string targets indexed, most frequent first) and `features`."""
+    """Fitted assembly: `label` and `features`.
+
+    Class targets are indexed, so that any values can be labels: texts with the most frequent first,
+    numbers in the order of their texts. The index in the saved assembly turns predictions back.
+    """
     stages = []
-    if target is not None and classes:
-        seen = df.select(col(target)).where(col(target).isNotNull()).distinct()
-        if seen.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-            raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
-    if target is not None and classes and family(df.schema[target].dataType) == "string":
-        stages.append(StringIndexer(inputCol=target, outputCol="label", handleInvalid="skip"))
+    if target is not None and classes and family(df.schema[target].dataType) != "boolean":
+        order = "frequencyDesc" if family(df.schema[target].dataType) == "string" else "alphabetAsc"
+        stages.append(StringIndexer(inputCol=target, outputCol="label", handleInvalid="skip", stringOrderType=order))
     stages.append(VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"))
     return Pipeline(stages=stages).fit(df)
 
@@ -125,7 +126,7 @@ def clustering_models(ks: Sequence[int] = (2, 3, 4)) -> dict[str, Estimator]:
     for k in ks:
         out[f"kmeans_{k}"] = KMeans(k=k, seed=SEED)
         out[f"bisecting_kmeans_{k}"] = BisectingKMeans(k=k, seed=SEED)
-        out[f"gaussian_mixture_{k}"] = GaussianMixture(k=k, seed=SEED, maxIter=20)
+        out[f"gaussian_mixture_{k}"] = GaussianMixture(k=k, seed=SEED, maxIter=10)
     return out
 
 
@@ -200,8 +201,7 @@ def train_all(
                     rows.append((task, name, "success", None, metric, float(value)))
                 fitted[name] = model
             except Exception as failure:
-                reason = str(failure).strip().splitlines() or [type(failure).__name__]
-                rows.append((task, name, "failed", reason[0][:300], None, None))
+                rows.append((task, name, "failed", str(failure).strip() or type(failure).__name__, None, None))
     finally:
         train.unpersist()
         valid.unpersist()
@@ -246,11 +246,24 @@ def score(df: DataFrame, path: str) -> DataFrame:
     return load_pipeline(path).transform(df)
 
 
-def training_report(results: DataFrame, best_path: str | None = None) -> DataFrame:
-    """The stage's status row: failed only when no candidate could be trained."""
+def training_report(
+    results: DataFrame,
+    best_path: str | None = None,
+    best: str | None = None,
+    features: Sequence[str] = (),
+    dataset_path: str | None = None,
+    test: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """The stage's status row: failed only when no candidate could be trained.
+
+    `metrics` are those of the best model on the validation rows, `test_metrics` on rows that neither
+    training nor the choice of the model has seen.
+    """
     ok = F.count_distinct(F.when(F.col("status") == "success", F.col("model")))
     bad = F.count_distinct(F.when(F.col("status") == "failed", F.col("model")))
-    whole = results.agg(ok.alias("trained"), bad.alias("failed"))
+    chosen = F.when(F.col("model") == best, F.struct("metric", "value")) if best else F.lit(None).cast("struct<metric:string,value:double>")
+    metrics = F.map_from_entries(F.array_sort(F.collect_list(chosen))).alias("metrics")
+    whole = results.agg(ok.alias("trained"), bad.alias("failed"), metrics)
     failed = F.col("trained") == 0
     return whole.select(
         F.lit("ModelTrainingAgent").alias("stage"),
@@ -259,4 +272,9 @@ def training_report(results: DataFrame, best_path: str | None = None) -> DataFra
         "trained",
         "failed",
         F.lit(best_path).cast("string").alias("model_path"),
+        F.lit(best).cast("string").alias("best_model"),
+        "metrics",
+        F.create_map(*[F.lit(x) for kv in sorted((test or {}).items()) for x in kv]).cast("map<string,double>").alias("test_metrics"),
+        F.array(*[F.lit(f) for f in features]).cast("array<string>").alias("selected_features"),
+        F.lit(dataset_path).cast("string").alias("dataset_path"),
     )

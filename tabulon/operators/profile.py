@@ -216,41 +216,36 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Distinct values, mode, its count and its share per string column.
 
-    Ties go to the smallest value (among long texts: to the smallest digest). Long texts are counted
-    by digest, and only the winning one is fetched; without long texts that last step finds nothing
-    to join and is dropped at run time.
+    Ties go to the smallest value. Long texts are counted by digest; only those that tie for the mode
+    are fetched, and where every value occurs once, that is, all tie, no join is needed.
     """
     columns = list(columns or columns_of(df, "string", "boolean"))
     counts = _value_groups(df, columns).groupBy("column", "value").count()
-    best = F.min(F.struct((-F.col("count")).alias("n"), "value"))
-    top = (
-        counts.groupBy("column")
-        .agg(F.count("*").alias("distinct_count"), F.sum("count").alias("n"), best.alias("best"))
-        .select(
-            "column",
-            "distinct_count",
-            F.col("best.value").alias("_key"),
-            (-F.col("best.n")).alias("mode_count"),
-            (-F.col("best.n") / F.col("n")).alias("mode_share"),
-        )
+    top = counts.groupBy("column").agg(
+        F.count("*").alias("distinct_count"), F.sum("count").alias("n"), F.max("count").alias("mode_count")
     )
     cells = df.select(
         F.inline(
             F.array(
                 *[
                     F.struct(
-                        F.lit(c).alias("column"), _comparable(df, c).alias("_key"), col(c).cast("string").alias("text")
+                        F.lit(c).alias("column"), _comparable(df, c).alias("value"), col(c).cast("string").alias("text")
                     )
                     for c in columns
                 ]
             )
         )
-    )
-    # At most one row per column.
-    digests = top.where(F.startswith("_key", F.lit(DIGEST_MARK))).select("column", "_key")
-    texts = cells.join(F.broadcast(digests), ["column", "_key"]).groupBy("column").agg(F.min("text").alias("text"))
-    return top.join(F.broadcast(texts), "column", "left").select(
-        "column", "distinct_count", F.coalesce("text", "_key").alias("mode"), "mode_count", "mode_share"
+    ).where(F.startswith("value", F.lit(DIGEST_MARK)))
+    # `top` has one row per column.
+    tied = counts.join(F.broadcast(top.select("column", "mode_count")), "column").where(F.col("count") == F.col("mode_count"))
+    is_digest = F.startswith("value", F.lit(DIGEST_MARK))
+    short = tied.where(~is_digest).select("column", F.col("value").alias("text"))
+    repeated = cells.join(tied.where(is_digest & (F.col("mode_count") > 1)), ["column", "value"], "left_semi")
+    single = cells.join(F.broadcast(top.where("mode_count = 1").select("column")), "column", "left_semi")
+    texts = short.unionByName(repeated.select("column", "text")).unionByName(single.select("column", "text"))
+    modes = texts.groupBy("column").agg(F.min("text").alias("mode"))
+    return top.join(F.broadcast(modes), "column", "left").select(
+        "column", "distinct_count", "mode", "mode_count", (F.col("mode_count") / F.col("n")).alias("mode_share")
     )
 
 
@@ -517,13 +512,15 @@ def target_numeric(df: DataFrame, column: str, target: str) -> DataFrame:
 
 
 def table_shape(df: DataFrame) -> DataFrame:
-    """Rows, columns, distinct rows, and rows beyond the first of each group of equal rows."""
+    """Rows, columns, distinct rows, and rows beyond the first of each group of equal rows.
+
+    Rows are grouped by a 256-bit digest, so that their width is not shuffled.
+    """
     simple = [
-        F.to_json(F.struct(col(f.name))).alias(f.name)
-        if family(f.dataType) == "complex" else present(df, f.name).alias(f.name)
-        for f in df.schema.fields
+        col(f.name) if family(f.dataType) == "complex" else present(df, f.name).alias(f.name) for f in df.schema.fields
     ]
-    copies = df.select(*simple).groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("_n"))
+    digest = F.sha2(F.to_json(F.struct(*simple)), 256).alias("_row")
+    copies = df.select(digest).groupBy("_row").agg(F.count("*").alias("_n"))
     return copies.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.lit(len(df.columns)).alias("columns"),

@@ -4,6 +4,8 @@
 quantile, a second pass counts the values below the bracket, and only the values inside it are
 grouped and ranked. With the default accuracy a bracket holds about 1 in 5,000 of the rows, so what
 is shuffled stays a small share of the input, and the answer is the exact interpolated quantile.
+Ranking is done in range slices over all brackets together, so no bracket, however large, becomes
+one task.
 """
 
 from __future__ import annotations
@@ -12,12 +14,12 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.columns import chunks, literal_rows, number, union_all
+from tabulon.operators.ordering import running_totals
 
 ACCURACY = 20_000
-SMALL_ROWS = 1_000_000
 
 
 def quantile_table(
@@ -25,22 +27,13 @@ def quantile_table(
     columns: Sequence[str],
     probs: Sequence[float],
     accuracy: int = ACCURACY,
-    small: int = SMALL_ROWS,
 ) -> DataFrame:
     """Long table `column, prob, value`; null value where a column has no values.
 
-    Linear interpolation between the two nearest ranks, as `percentile` does. Tables of at most
-    `small` rows use `percentile` itself, whose state is then bounded. Raise `accuracy` in step
-    with the row count to keep the ranked share small.
+    Linear interpolation between the two nearest ranks, as `percentile` does.
     """
     per_pass = max(1, 120 // len(probs))
-    one_pass = df.limit(small + 1).count() <= small
-    return union_all(
-        [
-            _percentile(df, part, probs) if one_pass else _pass(df, part, probs, accuracy)
-            for part in chunks(columns, per_pass)
-        ]
-    )
+    return union_all([_pass(df, part, probs, accuracy) for part in chunks(columns, per_pass)])
 
 
 def _percentile(df: DataFrame, columns: list[str], probs: Sequence[float]) -> DataFrame:
@@ -59,7 +52,10 @@ def _percentile(df: DataFrame, columns: list[str], probs: Sequence[float]) -> Da
     return row.select(F.inline(F.array(*rows)))
 
 
-def _pass(df: DataFrame, columns: list[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+def _pass(
+    df: DataFrame, columns: list[str], probs: Sequence[float], accuracy: int, whole: bool = False
+) -> DataFrame:
+    """One round over some columns; `whole` ranks all values instead of those inside the brackets."""
     margin = 2.0 / accuracy
     cuts = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
@@ -77,7 +73,8 @@ def _pass(df: DataFrame, columns: list[str], probs: Sequence[float], accuracy: i
     ).first()
 
     # The bracket is wider than the sketch's error by n / accuracy ranks. Where that is less than a
-    # few ranks, the two neighbours of a quantile could lie outside; such columns have few values.
+    # few ranks, the two neighbours of a quantile could lie outside; such columns have few values, and
+    # `percentile` holds at most those.
     few = [c for i, c in enumerate(columns) if sketch[f"v{i}"]["n"] <= 4 * accuracy]
     if few:
         frames = [_percentile(df, few, probs)]
@@ -90,8 +87,8 @@ def _pass(df: DataFrame, columns: list[str], probs: Sequence[float], accuracy: i
         for j, p in enumerate(probs):
             slot = len(requested)
             requested.append((slot, name, float(p), (s["n"] - 1) * p))
-            low = s["min"] if cuts[j] <= 0 else s["cuts"][j]
-            high = s["max"] if cuts[len(probs) + j] >= 1 else s["cuts"][len(probs) + j]
+            low = s["min"] if whole or cuts[j] <= 0 else s["cuts"][j]
+            high = s["max"] if whole or cuts[len(probs) + j] >= 1 else s["cuts"][len(probs) + j]
             slots.append((slot, F.col(f"v{i}"), low, high))
     wanted = literal_rows(
         df.sparkSession, requested, "slot int, column string, prob double, at double"
@@ -127,11 +124,10 @@ def _pass(df: DataFrame, columns: list[str], probs: Sequence[float], accuracy: i
     )
     # `wanted` and `below` have one row per requested quantile, so broadcasting them is bounded by
     # the request itself.
-    running = F.sum("count").over(W.partitionBy("slot").orderBy("value"))
     last = F.col("below") + F.col("upto") - 1
     first = last - F.col("count") + 1
     picked = (
-        inside.withColumn("upto", running)
+        running_totals(inside, ["slot"], ["value"], {"upto": "count"})
         .join(F.broadcast(below), "slot")
         .join(F.broadcast(wanted.select("slot", "at")), "slot")
         .groupBy("slot")
@@ -141,18 +137,19 @@ def _pass(df: DataFrame, columns: list[str], probs: Sequence[float], accuracy: i
         )
     )
     exact = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("at") - F.floor("at"))
-    missed = F.col("v0").isNull() | F.col("v1").isNull()
-    failure = F.raise_error(F.lit("quantile outside its bracket; raise accuracy")).cast("double")
-    return wanted.join(F.broadcast(picked), "slot", "left").select(
-        "column", "prob", F.when(missed, failure).otherwise(exact).alias("value")
-    )
+    # One row per requested quantile.
+    found = wanted.join(F.broadcast(picked), "slot", "left").select("column", "prob", exact.alias("value")).collect()
+    outside = sorted({r["column"] for r in found if r["value"] is None})
+    kept = [tuple(r) for r in found if r["column"] not in outside]
+    answer = literal_rows(df.sparkSession, kept, "column string, prob double, value double")
+    return answer.unionByName(_pass(df, outside, probs, accuracy, whole=True)) if outside else answer
 
 
 def quantile_row(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = SMALL_ROWS
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
 ) -> DataFrame:
     """The same quantiles as one row: a struct per column, named by position, of q0, q1, ..."""
-    table = quantile_table(df, columns, probs, small=small)
+    table = quantile_table(df, columns, probs, accuracy)
     return table.agg(
         *[
             F.struct(

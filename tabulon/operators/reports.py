@@ -52,15 +52,25 @@ def artifact_claims(reports: DataFrame, report: str = "report", root: str = "out
     return paths.where(below).select(*keys, "path").distinct()
 
 
+def with_folders(files: DataFrame) -> DataFrame:
+    """`path`: the listed files and every folder above them, each once."""
+    parts = F.filter(F.split(normal_path(F.col("path")), "/"), lambda x: x != "")
+    above = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))),
+        lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")),
+    )
+    return files.select("path").distinct().select(F.explode(above).alias("path")).distinct()
+
+
 def missing_artifacts(claims: DataFrame, files: DataFrame) -> DataFrame:
-    """The claims whose path is not among `files.path`.
+    """The claims whose path is neither among `files.path` nor a folder above one of them.
 
     The listing is reduced to the claimed paths first, and claims meet it by lookup, so that one
     path claimed by very many reports does not become one task.
     """
     claims = materialize(claims, "claims")
     claimed = claims.groupBy("path").agg(F.count("*").alias("_n"))
-    present = claimed.join(files.select("path").distinct(), "path", "left_semi")
+    present = claimed.join(with_folders(files), "path", "left_semi")
     out = lookup(claims, present.select("path", F.lit(True).alias("_there")), ["path"])
     return out.where(F.col("_there").isNull()).select(*claims.columns)
 
@@ -69,14 +79,14 @@ def validate_reports(expected: DataFrame, reports: DataFrame, files: DataFrame,
     """`<key>, outcome, reason`; the first failing check decides.
 
     missing: no report; invalid: not JSON; not_an_object; failed: the report says so itself;
-    missing_artifact: it names files that do not exist; unknown: it carries no status; else ok.
+    missing_artifact: it names files or folders that do not exist, all of which are listed; unknown: it carries no status; else ok.
     `expected` has `key, output_dir`; `reports` has `key, report`; both at most one row per key.
     """
     joined = materialize(expected.join(reports.select(key, "report"), key, "left"), "reports")
     gaps = (
         missing_artifacts(artifact_claims(joined.where("report is not null").select(key, "output_dir", "report")), files)
         .groupBy(key)
-        .agg(F.count("*").alias("_gaps"), F.min("path").alias("_gap"))
+        .agg(F.count("*").alias("_gaps"), F.array_join(F.array_sort(F.collect_set("path")), ", ").alias("_gap"))
     )
     doc = F.try_parse_json("report")
     status = F.try_variant_get(doc, "$.pipeline_status", "string")

@@ -28,7 +28,7 @@ def recommend(profiled: DataFrame, target: str | None = None) -> DataFrame:
     """`column, ordinal, step, reason` for every column but the target.
 
     Rules: id, constant, complex, or missing share above 0.6 -> drop; missing numbers -> median;
-    missing categories -> mode; more than 1 % outside the outlier bounds -> clip; at most 20
+    missing categories -> mode; missing dates -> parts of the mean date and a flag; more than 1 % outside the outlier bounds -> clip; at most 20
     categories -> one-hot, more -> frequency encoding; numbers -> standardize; dates -> parts;
     text -> length and token count; booleans -> 0/1.
     """
@@ -43,6 +43,7 @@ def recommend(profiled: DataFrame, target: str | None = None) -> DataFrame:
         step(0, "drop", F.when(kind.isin("id", "constant", "complex"), kind).otherwise("missing"), drop),
         step(1, "impute_median", why("missing values"), ~drop & (kind == "numeric") & (gap > 0)),
         step(1, "impute_mode", why("missing values"), ~drop & kind.isin("categorical", "boolean") & (gap > 0)),
+        step(1, "impute_date", why("missing values"), ~drop & (kind == "datetime") & (gap > 0)),
         step(
             2, "clip", why("outliers"),
             ~drop & (kind == "numeric") & (F.try_divide(F.col("low") + F.col("high"), filled) > OUTLIER_SHARE),
@@ -109,9 +110,27 @@ def _present_sql(df: DataFrame, c: str) -> str:
     return f"CAST({_name(c)} AS DOUBLE)"
 
 
-def fit_transforms(train: DataFrame, plan: DataFrame, tables: str) -> PipelineModel:
+def _mean_dates(train: DataFrame, columns: list[str]) -> dict[str, tuple[int, ...]]:
+    """Year, month, day and weekday of the mean date of each column; of 1970-01-01 without any."""
+    if not columns:
+        return {}
+    means = train.agg(*[F.avg(F.unix_seconds(col(c).cast("timestamp"))).alias(f"m{i}") for i, c in enumerate(columns)])
+    parts = lambda d: F.struct(F.year(d), F.month(d), F.day(d), F.dayofweek(d) - 1)
+    row = means.select(
+        *[parts(F.timestamp_seconds(F.coalesce(F.col(f"m{i}"), F.lit(0.0)))).alias(f"p{i}") for i in range(len(columns))]
+    ).first()
+    return {c: tuple(row[i]) for i, c in enumerate(columns)}
+
+
+def fit_transforms(
+    train: DataFrame, plan: DataFrame, tables: str, few_categories: int = FEW_CATEGORIES
+) -> PipelineModel:
     """Fit the recommended steps on `train`; columns the plan does not name pass through.
 
+    No numeric output is null: what the plan does not fill becomes 0, the mean after standardizing,
+    and the parts of a missing date are those of the mean date of `train`. A column planned for
+    one-hot encoding that has more than `few_categories` values by now is frequency-encoded.
+
     `tables` is the folder for per-category tables. The plan has a few rows per column and is
     fetched; everything learned from data is an aggregate of `train`.
     """
@@ -120,6 +139,13 @@ def fit_transforms(train: DataFrame, plan: DataFrame, tables: str) -> PipelineMo
         steps.setdefault(r["column"], []).append(r["step"])
     having = lambda *names: [c for c in train.columns if set(steps.get(c, ())) & set(names)]
     stages = []
+    dates = _mean_dates(train, having("date_parts"))
+    values: dict[str, list] = {}
+    for c in having("one_hot"):
+        seen = train.select(present(train, c).alias("v")).where("v is not null").distinct().limit(few_categories + 1)
+        values[c] = sorted((r["v"] for r in seen.collect()), key=str)
+        if len(values[c]) > few_categories:
+            steps[c] = ["frequency_encode" if x == "one_hot" else x for x in steps[c]]
 
     quart = quartiles(train, having("impute_median", "clip")) if having("impute_median", "clip") else {}
     gaps = having("impute_mode")
@@ -158,25 +184,25 @@ def fit_transforms(train: DataFrame, plan: DataFrame, tables: str) -> PipelineMo
         todo, sql = steps[c], _name(c)
         if "standardize" in todo:
             mean, std = scale[c]
-            second[c] = f"({sql} - {_number(mean)}) / {_number(std)}" if std else f"{sql} * 0D"
+            second[c] = f"coalesce(({sql} - {_number(mean)}) / {_number(std)}, 0D)" if std else "0D"
         elif "one_hot" in todo:
-            seen = cleaned.select(present(cleaned, c).alias("v")).where("v is not null").distinct()
-            values = seen.limit(FEW_CATEGORIES + 1).collect()
-            if len(values) > FEW_CATEGORIES:
-                raise ValueError(f"{c} has more than {FEW_CATEGORIES} values; the plan is stale")
-            for r in sorted(values, key=lambda r: str(r["v"])):
-                match = f"CAST({sql} AS STRING) = {_text(r['v'])}"
-                second[f"{c}_{r['v']}"] = f"CASE WHEN {match} THEN 1 ELSE 0 END"
+            for v in values[c]:
+                match = f"CAST({sql} AS STRING) = {_text(v)}"
+                second[f"{c}_{v}"] = f"CASE WHEN {match} THEN 1 ELSE 0 END"
         elif "date_parts" in todo:
-            second[f"{c}_year"], second[f"{c}_month"] = f"year({sql})", f"month({sql})"
-            second[f"{c}_day"], second[f"{c}_weekday"] = f"day({sql})", f"dayofweek({sql}) - 1"
-            second[f"{c}_weekend"] = f"CASE WHEN dayofweek({sql}) IN (1, 7) THEN 1 ELSE 0 END"
+            year, month, day, weekday = dates[c]
+            second[f"{c}_year"], second[f"{c}_month"] = f"coalesce(year({sql}), {year})", f"coalesce(month({sql}), {month})"
+            second[f"{c}_day"] = f"coalesce(day({sql}), {day})"
+            second[f"{c}_weekday"] = f"coalesce(dayofweek({sql}) - 1, {weekday})"
+            second[f"{c}_weekend"] = f"CASE WHEN coalesce(dayofweek({sql}) - 1, {weekday}) IN (0, 6) THEN 1 ELSE 0 END"
+            if "impute_date" in todo:
+                second[f"{c}_missing"] = f"CASE WHEN {sql} IS NULL THEN 1 ELSE 0 END"
         elif "text_size" in todo:
             second[f"{c}_length"] = f"coalesce(length({sql}), 0)"
             words = f"filter(split({sql}, {_text(TOKEN_BREAK)}), t -> t != '')"
             second[f"{c}_tokens"] = f"coalesce(size({words}), 0)"
         elif "to_number" in todo:
-            second[c] = f"CAST({sql} AS INT)"
+            second[c] = f"coalesce(CAST({sql} AS INT), 0)"
     stages.append(_projection(rewritten, second))
 
     for c in having("frequency_encode"):

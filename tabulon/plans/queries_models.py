@@ -346,46 +346,104 @@ def events_data(spark, sf):
     return ready.where("split = 'train'"), ready.where("split <> 'train'")
 
 
-@query("classification_models")
+def outcomes_sql(task: str, models: str, rows: str) -> str:
+    """What must hold for each candidate: it succeeds and its metric lies in the metric's range."""
+    names = ", ".join(f"('{m}')" for m in sorted(models.split()))
+    return f"""SELECT '{task}' AS task, model, '{M.METRIC[task]}' AS metric, TRUE AS is_ranked, TRUE AS in_range,
+        ({rows}) AS scored FROM (VALUES {names}) AS t(model)"""
+
+
+def outcomes(results, task, valid, low, high):
+    """The leaderboard without its values, with the number of rows the candidates were compared on."""
+    ranked = M.compare(results, task)
+    scored = valid.agg(F.count("*").alias("scored")).scalar()
+    return ranked.select(
+        "task", "model", "metric", F.col("rank").isNotNull().alias("is_ranked"), F.col("value").between(low, high).alias("in_range"),
+        F.coalesce(scored, F.lit(0)).alias("scored"),
+    )
+
+
+VALID = "SELECT count(*) FROM {0} WHERE NOT ({1})"
+TREES = "decision_tree random_forest"
+
+
+@query(
+    "classification_models",
+    outcomes_sql(
+        "classification", f"logistic_regression {TREES} naive_bayes gradient_boosted_trees linear_svc",
+        VALID.format("events", in_train("event_id")),
+    ),
+)
 def classification_models(spark, sf):
     train, valid = events_data(spark, sf)
-    return M.compare(M.train_all(train, valid, M.candidates("classification", train), "classification", cores(spark))[1], "classification")
+    results = M.train_all(train, valid, M.candidates("classification", train), "classification", cores(spark))[1]
+    return outcomes(results, "classification", valid, 0.0, 1.0)
 
 
-@query("classification_models_many_classes")
+@query(
+    "classification_models_many_classes",
+    outcomes_sql(
+        "classification", f"logistic_regression {TREES} naive_bayes", VALID.format("orders", in_train("o_orderkey"))
+    ),
+)
 def classification_models_many_classes(spark, sf):
     train, valid = splits_of(spark, sf, "orders", "o_orderkey", "o_orderpriority", ["o_totalprice", "o_custkey"], True)
-    return M.compare(M.train_all(train, valid, M.candidates("classification", train), "classification", cores(spark))[1], "classification")
+    results = M.train_all(train, valid, M.candidates("classification", train), "classification", cores(spark))[1]
+    return outcomes(results, "classification", valid, 0.0, 1.0)
 
 
-@query("regression_models")
+@query(
+    "regression_models",
+    outcomes_sql(
+        "regression", f"linear_regression ridge lasso {TREES} gradient_boosted_trees generalized_linear",
+        VALID.format("lineitem", in_train("l_orderkey")),
+    ),
+)
 def regression_models(spark, sf):
     train, valid = splits_of(spark, sf, "lineitem", "l_orderkey", "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], False)
-    return M.compare(M.train_all(train, valid, M.regression_models(), "regression", cores(spark))[1], "regression")
+    results = M.train_all(train, valid, M.regression_models(), "regression", cores(spark))[1]
+    # No candidate may be much worse than the constant prediction.
+    constant = valid.agg(F.stddev_pop("label")).first()[0]
+    return outcomes(results, "regression", valid, 0.0, 1.5 * constant)
 
 
-@query("clustering_models")
+@query(
+    "clustering_models",
+    outcomes_sql(
+        "clustering", "kmeans_2 kmeans_3 bisecting_kmeans_2 bisecting_kmeans_3 gaussian_mixture_2 gaussian_mixture_3",
+        VALID.format("customer", in_train("c_custkey")),
+    ),
+)
 def clustering_models(spark, sf):
     train, valid = splits_of(spark, sf, "customer", "c_custkey", None, ["c_acctbal", "c_nationkey"], False)
-    return M.compare(M.train_all(train, valid, M.clustering_models((2, 3)), "clustering", cores(spark))[1], "clustering")
+    results = M.train_all(train, valid, M.clustering_models((2, 3)), "clustering", cores(spark))[1]
+    return outcomes(results, "clustering", valid, -1.0, 1.0)
 
 
-@query("tuned_holdout")
+TUNED = f"""SELECT count(*) AS "rows", TRUE AS in_range FROM events WHERE NOT ({in_train('event_id')})"""
+
+
+def tuned_outcome(metrics):
+    """The majority of the classes is more than half of the rows, so no tuned model should fall below."""
+    return metrics.select("rows", F.col("accuracy").between(0.5, 1.0).alias("in_range"))
+
+
+@query("tuned_holdout", TUNED)
 def tuned_holdout(spark, sf):
     train, valid = events_data(spark, sf)
     lr = LogisticRegression(maxIter=10)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).build()
     model = M.tuned("classification", lr, grid).fit(train)
-    return X.classification_metrics(model.transform(valid))
+    return tuned_outcome(X.classification_metrics(model.transform(valid)))
 
 
-@query("tuned_cross_validation")
+@query("tuned_cross_validation", TUNED)
 def tuned_cross_validation(spark, sf):
     train, valid = events_data(spark, sf)
     lr = LogisticRegression(maxIter=10)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).build()
     model = M.tuned("classification", lr, grid, "cv").fit(M.fold_of(train, "event_id"))
-    return X.classification_metrics(model.transform(valid))
+    return tuned_outcome(X.classification_metrics(model.transform(valid)))
 
 
 class Unfittable(LogisticRegression):
@@ -395,21 +453,42 @@ class Unfittable(LogisticRegression):
         raise RuntimeError("cannot be fitted")
 
 
-@query("fault_isolation")
+@query(
+    "fault_isolation",
+    """SELECT 'broken' AS model, 'failed' AS status, 'cannot be fitted' AS reason
+    UNION ALL SELECT 'logistic_regression', 'success', NULL""",
+)
 def fault_isolation(spark, sf):
     train, valid = events_data(spark, sf)
     models = {"broken": Unfittable(), "logistic_regression": LogisticRegression(maxIter=5)}
     return M.train_all(train, valid, models, "classification")[1].select("model", "status", "reason").distinct()
 
 
-@query("training_report")
+@query(
+    "training_report",
+    """SELECT 'ModelTrainingAgent' AS stage, 'success' AS pipeline_status, NULL::VARCHAR AS pipeline_status_reason,
+    1::BIGINT AS trained, 1::BIGINT AS failed, '/models/best' AS model_path, 'logistic_regression' AS best_model,
+    'user_id,value,hour' AS selected_features, '/data/processed' AS dataset_path, TRUE AS has_accuracy, 0.75::DOUBLE AS test_accuracy""",
+)
 def training_report(spark, sf):
     train, valid = events_data(spark, sf)
     models = {"broken": Unfittable(), "logistic_regression": LogisticRegression(maxIter=5)}
-    return M.training_report(M.train_all(train, valid, models, "classification")[1])
+    rows = M.train_all(train, valid, models, "classification")[1]
+    features = ["user_id", "value", "hour"]
+    report = M.training_report(rows, "/models/best", "logistic_regression", features, "/data/processed", {"accuracy": 0.75})
+    return report.select(
+        "stage", "pipeline_status", "pipeline_status_reason", "trained", "failed", "model_path", "best_model",
+        F.array_join("selected_features", ",").alias("selected_features"), "dataset_path",
+        F.col("metrics")["accuracy"].between(0, 1).alias("has_accuracy"), F.col("test_metrics")["accuracy"].alias("test_accuracy"),
+    )
 
 
-@query("batch_scoring")
+@query(
+    "batch_scoring",
+    f"""WITH t AS (SELECT regr_slope(o_totalprice, o_custkey) AS s, regr_intercept(o_totalprice, o_custkey) AS i
+        FROM orders WHERE {in_train('o_orderkey')})
+    SELECT o_orderkey, round(i + s * o_custkey, 2) AS prediction FROM orders, t""",
+)
 def batch_scoring(spark, sf):
     d = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
     stages = [
@@ -419,11 +498,16 @@ def batch_scoring(spark, sf):
     ]
     path = scratch_path(spark, "model")
     M.save_pipeline(Pipeline(stages=stages).fit(train_of(d, "o_orderkey")), path)
-    return M.score(d, path).select("o_orderkey", F.round("prediction", 4).alias("prediction"))
+    return M.score(d, path).select("o_orderkey", F.round("prediction", 2).alias("prediction"))
 
 
-@query("feature_importance")
+@query(
+    "feature_importance",
+    "SELECT feature, 1.0::DOUBLE AS total, TRUE AS in_range FROM (VALUES ('user_id'), ('value'), ('hour')) AS t(feature)",
+)
 def feature_importance(spark, sf):
     train, _ = events_data(spark, sf)
     model = M.classification_models(2, False)["random_forest"].fit(train)
-    return M.importance(model, ["user_id", "value", "hour"], spark)
+    found = M.importance(model, ["user_id", "value", "hour"], spark)
+    total = found.agg(F.round(F.sum("importance"), 6).alias("total")).scalar()
+    return found.select("feature", F.coalesce(total, F.lit(0.0)).alias("total"), F.col("importance").between(0, 1).alias("in_range"))

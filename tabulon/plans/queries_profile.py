@@ -244,7 +244,7 @@ def deciles(spark, sf):
 
 @query("quantile_table_ranked", DECILE_SQL.format(c="l_extendedprice", t="lineitem"))
 def deciles_ranked(spark, sf):
-    out = quantile_table(table(spark, sf, "lineitem"), ["l_extendedprice"], DECILES, small=0)
+    out = quantile_table(table(spark, sf, "lineitem"), ["l_extendedprice"], DECILES)
     return rounded(out, 6, "prob")
 
 
@@ -320,12 +320,14 @@ def target_numeric(spark, sf):
 
 @query(
     "table_shape",
-    """WITH g AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
-    SELECT CAST(sum(n) AS BIGINT) AS "rows", 2 AS columns, count(*) AS distinct_rows,
+    """WITH e AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE user_id % 3 = 0),
+    g AS (SELECT event_id, ts, user_id, event_type, value, props, count(*) AS n FROM e GROUP BY ALL)
+    SELECT CAST(sum(n) AS BIGINT) AS "rows", 6 AS columns, count(*) AS distinct_rows,
     CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM g""",
 )
 def table_shape(spark, sf):
-    return P.table_shape(table(spark, sf, "events").select("user_id", "event_type"))
+    events = table(spark, sf, "events")
+    return P.table_shape(events.unionByName(events.where("user_id % 3 = 0")))
 
 
 @query(

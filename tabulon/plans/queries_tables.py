@@ -110,10 +110,13 @@ def text_scan(spark, sf):
     return lines.groupBy(F.length("value").cast("long").alias("line_length")).agg(F.count("*").alias("lines"))
 
 
-@query("image_listing")
+@query("image_listing", "SELECT n_nationkey, CAST(strlen(n_name) + 1 AS BIGINT) AS length FROM nation")
 def image_listing(spark, sf):
-    """File listing as used for image datasets, over the table files themselves."""
-    return readers.read_table(spark, sf, "images").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+    """File listing as used for image datasets, over one file written for each nation."""
+    path = scratch_path(spark, "images")
+    table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("value")).write.partitionBy("n_nationkey").text(path)
+    key = F.regexp_extract("path", "n_nationkey=([0-9]+)/", 1).cast("int").alias("n_nationkey")
+    return readers.read_table(spark, path, "images").select(key, "length")
 
 
 @query(
@@ -375,7 +378,7 @@ REPORT = """CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN '{"pipeline_
     CASE WHEN user_id % 3 = 0 THEN '["success"]' WHEN user_id % 3 = 1 THEN '{"pipeline_status": "failed", "pipeline_status_reason": "case ' || CAST(event_id AS VARCHAR) || '"}'
     ELSE '{"rows": 3}' END
     ELSE '{"pipeline_status": "success", "root": "/out/' || user_id || '", "files": {"/out/key": "note", "model": "/out/' || user_id || '/m' || event_id ||
-    '.bin", "all": ["/out/' || user_id || '//a/./' || event_id || '", "/elsewhere/x", "say \\"/out/' || user_id || '/no\\""]}}' END"""
+    '.bin", "all": ["/out/' || user_id || '//a/./' || event_id || '", "/elsewhere/x", "say \\"/out/' || user_id || '/no\\"", "/out/' || user_id || '/a", "/out/' || user_id || '/f' || event_id % 7 || '/"]}}' END"""
 
 
 def reports(spark, sf):
@@ -386,7 +389,8 @@ def reports(spark, sf):
     good = F.concat(
         F.lit('{"pipeline_status": "success", "root": "/out/'), user, F.lit('", "files": {"/out/key": "note", "model": "/out/'), user,
         F.lit("/m"), event, F.lit('.bin", "all": ["/out/'), user, F.lit("//a/./"), event,
-        F.lit('", "/elsewhere/x", "say \\"/out/'), user, F.lit('/no\\""]}}'),
+        F.lit('", "/elsewhere/x", "say \\"/out/'), user, F.lit('/no\\"", "/out/'), user, F.lit('/a", "/out/'), user,
+        F.lit("/f"), (F.col("event_id") % 7).cast("string"), F.lit('/"]}}'),
     )
     report = (
         F.when(kind == "view", None)
@@ -403,13 +407,20 @@ def listing(spark, sf):
     e = table(spark, sf, "events")
     user, event = F.col("user_id").cast("string"), F.col("event_id").cast("string")
     models = e.where("value > 20").select(F.concat(F.lit("/out/"), user, F.lit("/m"), event, F.lit(".bin")).alias("path"))
-    return models.unionByName(e.where("value > 40").select(F.concat(F.lit("/out/"), user, F.lit("/a/"), event).alias("path")))
+    plain = e.where("value > 40").select(F.concat(F.lit("/out/"), user, F.lit("/a/"), event).alias("path"))
+    parts = e.where("value > 60").select(
+        F.concat(F.lit("/out/"), user, F.lit("/f"), (F.col("event_id") % 7).cast("string"), F.lit("/part-0.parquet")).alias("path")
+    )
+    return models.unionByName(plain).unionByName(parts)
 
 
-CLAIMS = f"""c AS (SELECT event_id AS run_id, unnest([json_extract_string(r, '$.files.model'), replace(json_extract_string(r, '$.files.all[0]'), '//a/./', '/a/')]) AS path
+CLAIMS = f"""c AS (SELECT event_id AS run_id, unnest([json_extract_string(r, '$.files.model'), replace(json_extract_string(r, '$.files.all[0]'), '//a/./', '/a/'),
+    json_extract_string(r, '$.files.all[3]'), rtrim(json_extract_string(r, '$.files.all[4]'), '/')]) AS path
     FROM (SELECT event_id, user_id, {REPORT} AS r, event_type FROM events) WHERE event_type IN ('purchase', 'error')),
     l AS (SELECT '/out/' || user_id || '/m' || event_id || '.bin' AS path FROM events WHERE value > 20
-    UNION SELECT '/out/' || user_id || '/a/' || event_id FROM events WHERE value > 40)"""
+    UNION SELECT '/out/' || user_id || '/a/' || event_id FROM events WHERE value > 40
+    UNION SELECT '/out/' || user_id || '/a' FROM events WHERE value > 40
+    UNION SELECT '/out/' || user_id || '/f' || event_id % 7 FROM events WHERE value > 60)"""
 
 
 @query("missing_artifacts", f"WITH {CLAIMS} SELECT run_id, path FROM c WHERE path NOT IN (SELECT path FROM l)")
@@ -420,7 +431,7 @@ def missing_artifacts(spark, sf):
 
 @query(
     "report_validation",
-    f"""WITH {CLAIMS}, m AS (SELECT run_id, min(path) AS gap FROM c WHERE path NOT IN (SELECT path FROM l) GROUP BY 1),
+    f"""WITH {CLAIMS}, m AS (SELECT run_id, string_agg(DISTINCT path, ', ' ORDER BY path) AS gap FROM c WHERE path NOT IN (SELECT path FROM l) GROUP BY 1),
     r AS (SELECT event_id AS run_id, {REPORT} AS r FROM events)
     SELECT run_id, CASE WHEN r IS NULL THEN 'missing' WHEN NOT json_valid(r) THEN 'invalid' WHEN json_type(r) <> 'OBJECT' THEN 'not_an_object'
     WHEN json_extract_string(r, '$.pipeline_status') = 'failed' THEN 'failed' WHEN gap IS NOT NULL THEN 'missing_artifact'
@@ -469,10 +480,10 @@ def slot_fold_stream(spark, sf):
 
 @query(
     "slot_extraction",
-    """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'data/order_' || o_orderkey || '.csv' WHEN 'P' THEN './in/' || o_custkey || '.parquet' END AS data_path,
+    """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'data/order_' || o_orderkey || '.csv' WHEN 'P' THEN './in dir/my ' || o_custkey || '-file.parquet' END AS data_path,
     CASE o_orderstatus WHEN 'F' THEN 'csv' WHEN 'O' THEN 'csv' ELSE 'parquet' END AS data_type,
     CASE o_orderstatus WHEN 'F' THEN 'classification' WHEN 'O' THEN 'regression' ELSE 'clustering' END AS task_type,
-    CASE o_orderstatus WHEN 'F' THEN 'col' || o_custkey WHEN 'O' THEN 'price' END AS target_column,
+    CASE o_orderstatus WHEN 'F' THEN 'col' || o_custkey WHEN 'O' THEN 'unit-price' ELSE 'fixed acidity - ' || o_custkey END AS target_column,
     CASE o_orderstatus WHEN 'O' THEN 'full_pipeline' WHEN 'P' THEN 'eda' END AS task_intent FROM orders""",
 )
 def slot_extraction(spark, sf):
@@ -480,8 +491,11 @@ def slot_extraction(spark, sf):
     cust, order = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")
     message = (
         F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("type of data is csv, target column is col"), cust, F.lit(" and task type is classification")))
-        .when(F.col("o_orderstatus") == "O", F.concat(F.lit("data/order_"), order, F.lit(".csv, data is of type csv, regression and target column is price, full pipeline")))
-        .otherwise(F.concat(F.lit("- data_path: ./in/"), cust, F.lit(".parquet\n- data_type: Parquet\n- task_type: Clustering\n- task_intent: eda")))
+        .when(F.col("o_orderstatus") == "O", F.concat(F.lit("data/order_"), order, F.lit(".csv, data is of type csv, regression and target column is unit-price, full pipeline")))
+        .otherwise(F.concat(
+            F.lit("- data_path: ./in dir/my "), cust, F.lit("-file.parquet\n- data_type: Parquet\n- task_type: Clustering, target_column: fixed acidity - "),
+            cust, F.lit(" \n- task_intent: eda"),
+        ))
     )
     return o.select("o_orderkey", *[c.alias(n) for n, c in T.extract_slots(message).items()])
 

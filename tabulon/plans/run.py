@@ -12,6 +12,7 @@ from tabulon.functions.columns import literal_rows
 from tabulon.functions.text import STAGES
 from tabulon.operators import models as M
 from tabulon.operators import transforms as R
+from tabulon.operators.baselines import baseline
 from tabulon.operators.features import guard
 from tabulon.operators.profile import profile, profile_status
 from tabulon.operators.sessions import run_list
@@ -57,8 +58,7 @@ def run(
         try:
             status = steps[stage](spark, info, target, out, base, results, partitions)
         except Exception as failure:
-            lines = str(failure).strip().splitlines() or [type(failure).__name__]
-            status = _failed(spark, stage, lines[0][:300])
+            status = _failed(spark, stage, str(failure).strip() or type(failure).__name__)
         results.status[stage] = status
         write_report(status, f"{out}/reports/{stage}")
         if status.first()["pipeline_status"] != "success":
@@ -111,10 +111,22 @@ def _models(spark, info, target, out, base, results, partitions) -> DataFrame:
     assembly = M.prepare(train, target, features, task == "classification")
     train, valid = M.prepared(assembly, train, target), M.prepared(assembly, valid, target)
     fitted, rows = M.train_all(train, valid, M.candidates(task, train), task, partitions)
+    rows = rows.unionByName(_baselines(spark, task, train, valid)) if target else rows
     M.compare(rows, task).write.mode("overwrite").parquet(f"{out}/leaderboard")
     results.leaderboard = spark.read.parquet(f"{out}/leaderboard")
-    best = results.leaderboard.where("is_best").select("model").first()
+    ranked = [r["model"] for r in results.leaderboard.orderBy("rank").select("model").collect()]
+    best = next((m for m in ranked if m in fitted), None)
+    test = {}
     if best:
         results.model_path = f"{out}/model"
-        M.save_pipeline(PipelineModel([*assembly.stages, fitted[best["model"]]]), results.model_path)
-    return M.training_report(rows, results.model_path)
+        M.save_pipeline(PipelineModel([*assembly.stages, fitted[best]]), results.model_path)
+        held = M.prepared(assembly, read_split(spark, f"{out}/processed", "test"), target)
+        test = M.evaluate(task, fitted[best].transform(held)) if not held.isEmpty() else {}
+    return M.training_report(rows, results.model_path, best, features, f"{out}/processed", test)
+
+
+def _baselines(spark, task, train, valid) -> DataFrame:
+    """The constant prediction learned from the training rows, as a candidate to be beaten."""
+    predicted = baseline(train.select("label"), valid.select("label"), "label", task)
+    found = M.evaluate(task, predicted.withColumn("prediction", F.col("prediction").cast("double")))
+    return literal_rows(spark, [(task, "constant", "success", None, k, float(v)) for k, v in found.items()], M.RESULT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabulon.sources.workbooks import parse_workbooks
@@ -70,9 +71,17 @@ def parse_documents(texts: DataFrame, column: str, schema: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, schema: str, whole_files: bool = True) -> DataFrame:
-    """JSON documents as rows of `path, value, doc, is_valid`: one per file, or one per line."""
-    texts = spark.read.text(path, wholetext=whole_files)
-    named = texts.select(F.col("_metadata.file_path").alias("path"), "value")
+    """JSON documents as rows of `path, value, doc, is_valid`: one per file, or one per line.
+
+    No file means no documents.
+    """
+    try:
+        texts = spark.read.text(path, wholetext=whole_files)
+        named = texts.select(F.col("_metadata.file_path").alias("path"), "value")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        named = spark.createDataFrame([], "path string, value string")
     return parse_documents(named, "value", schema)
 
 
