@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -27,13 +28,39 @@ def _plain(node) -> str:
     return "".join(t.text or "" for t in node.iter(f"{MAIN}t"))
 
 
-def first_sheet(content: bytes) -> Iterator[dict[int, str]]:
-    """Rows of the first sheet as column number -> text; missing cells are absent."""
+# The format's built-in numbers of date and time styles, and its day zero.
+DATE_FORMATS = frozenset([*range(14, 23), *range(45, 48)])
+DAY_ZERO, DAY_ZERO_1904 = datetime(1899, 12, 30), datetime(1904, 1, 1)
+
+
+def _date_styles(book: zipfile.ZipFile) -> list[bool]:
+    """For each cell style, whether it shows a number as a date."""
+    if "xl/styles.xml" not in book.namelist():
+        return []
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {}
+    for f in root.iter(f"{MAIN}numFmt"):
+        code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", ""))
+        own[int(f.get("numFmtId"))] = bool(re.search("[ymdhs]", code, re.IGNORECASE))
+    cells = root.find(f"{MAIN}cellXfs")
+    ids = [int(x.get("numFmtId", 0)) for x in cells] if cells is not None else []
+    return [own.get(i, i in DATE_FORMATS) for i in ids]
+
+
+def first_sheet(content: bytes) -> Iterator[dict[int, tuple[str, str]]]:
+    """Rows of the first sheet as column number -> (kind, text); missing cells and errors are absent.
+
+    Kinds are text, number, date and bool. Dates are written as in SQL.
+    """
     book = zipfile.ZipFile(io.BytesIO(content))
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
         shared = [_plain(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-    sheet = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{MAIN}sheets")[0]
+    root = ElementTree.fromstring(book.read("xl/workbook.xml"))
+    options = root.find(f"{MAIN}workbookPr")
+    zero = DAY_ZERO_1904 if options is not None and options.get("date1904") in ("1", "true") else DAY_ZERO
+    dates = _date_styles(book)
+    sheet = root.find(f"{MAIN}sheets")[0]
     links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
     target = next(r.get("Target") for r in links if r.get("Id") == sheet.get(RELATION))
     name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
@@ -44,29 +71,87 @@ def first_sheet(content: bytes) -> Iterator[dict[int, str]]:
             row = {}
             for i, cell in enumerate(node.findall(f"{MAIN}c")):
                 at = _column_number(cell.get("r")) if cell.get("r") else i
-                value = cell.find(f"{MAIN}v")
-                if cell.get("t") == "inlineStr":
-                    row[at] = _plain(cell)
-                elif value is not None:
-                    row[at] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+                value, kind = cell.find(f"{MAIN}v"), cell.get("t", "n")
+                style = int(cell.get("s", -1))
+                if kind == "inlineStr":
+                    row[at] = ("text", _plain(cell))
+                elif value is None or value.text is None or kind == "e":
+                    continue
+                elif kind == "s":
+                    row[at] = ("text", shared[int(value.text)])
+                elif kind == "b":
+                    row[at] = ("bool", "true" if value.text == "1" else "false")
+                elif kind == "n" and 0 <= style < len(dates) and dates[style]:
+                    moment = zero + timedelta(seconds=round(float(value.text) * 86400))
+                    row[at] = ("date", moment.isoformat(" "))
+                else:
+                    row[at] = ("number" if kind == "n" else "text", value.text)
             node.clear()
             yield row
 
 
-def header_of(content: bytes) -> list[str]:
-    row = next(first_sheet(content), {})
-    return [row.get(i, f"column_{i}") for i in range(max(row, default=-1) + 1)]
+def header_of(row: dict[int, tuple[str, str]], width: int) -> list[str]:
+    """Column names: a blank header is named by its place, a repeated one gets a number."""
+    out: list[str] = []
+    for i in range(width):
+        name = row.get(i, ("", ""))[1] or f"column_{i}"
+        k = 2
+        while name in out:
+            name, k = f"{row.get(i, ('', ''))[1] or f'column_{i}'}_{k}", k + 1
+        out.append(name)
+    return out
+
+
+def _columns(books: DataFrame) -> DataFrame:
+    """`path, at, name, kind`: the kinds of cells in each column of each workbook."""
+
+    def find(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                rows = first_sheet(bytes(content))
+                head, kinds = next(rows, {}), {}
+                for row in rows:
+                    for at, (kind, text) in row.items():
+                        whole = kind == "number" and re.fullmatch(r"-?[0-9]{1,18}(\.0*)?", text)
+                        kinds.setdefault(at, set()).add("whole" if whole else kind)
+                width = max([*head, *kinds], default=-1) + 1
+                found = [(path, i, n, k) for i, n in enumerate(header_of(head, width)) for k in kinds.get(i, {"none"})]
+                yield pd.DataFrame(found, columns=["path", "at", "name", "kind"])
+
+    return books.select("path", "content").mapInPandas(find, "path string, at int, name string, kind string")
+
+
+def infer_schema(books: DataFrame) -> T.StructType:
+    """All columns of all workbooks, in order of first appearance, typed by their cells.
+
+    Only numbers give long or double, only dates timestamp, only booleans boolean; anything else is
+    text. One row per column reaches the driver.
+    """
+    found = (
+        _columns(books).groupBy("name")
+        .agg(F.min(F.struct("path", "at")).alias("first"), F.collect_set("kind").alias("kinds"))
+        .orderBy("first").collect()
+    )
+    fields = []
+    for r in found:
+        kinds = set(r["kinds"]) - {"none"}
+        if kinds and kinds <= {"whole", "number"}:
+            dtype = T.LongType() if kinds == {"whole"} else T.DoubleType()
+        elif kinds == {"date"}:
+            dtype = T.TimestampNTZType()
+        else:
+            dtype = T.BooleanType() if kinds == {"bool"} else T.StringType()
+        fields.append(T.StructField(r["name"], dtype))
+    return T.StructType(fields)
 
 
 def parse_workbooks(books: DataFrame, schema: T.StructType | str | None = None) -> DataFrame:
     """Rows of the first sheet of every workbook in `books` (`path, content`).
 
-    Cells are matched to the schema by header name; without a schema, the header of one workbook
-    gives the (string) columns.
+    Cells are matched to the schema by header name; without a schema, `infer_schema` gives it.
     """
     if schema is None:
-        one = books.select("content").first()
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header_of(bytes(one[0]))])
+        schema = infer_schema(books)
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     names = [f.name for f in schema.fields]
@@ -75,24 +160,29 @@ def parse_workbooks(books: DataFrame, schema: T.StructType | str | None = None)
         for batch in batches:
             for content in batch["content"]:
                 rows = first_sheet(bytes(content))
-                header = {name: i for i, name in next(rows, {}).items()}
+                head = next(rows, {})
+                # Cells to the right of the header belong to blank headers.
+                last = max([*head, *(int(n[7:]) for n in names if re.fullmatch("column_[0-9]+", n))], default=-1)
+                header = {name: i for i, name in enumerate(header_of(head, last + 1))}
                 at = [header.get(n, -1) for n in names]
                 block = []
                 for row in rows:
-                    block.append([row.get(i) for i in at])
+                    block.append([row[i][1] if i in row else None for i in at])
                     if len(block) == 10_000:
                         yield pd.DataFrame(block, columns=names)
                         block = []
                 yield pd.DataFrame(block, columns=names, dtype=object)
 
-    texts = books.select("content").mapInPandas(parse, ", ".join(f"`{n}` string" for n in names))
+    texts = books.select("content").mapInPandas(parse, T.StructType([T.StructField(n, T.StringType()) for n in names]))
     return texts.select(*[_typed(f).alias(f.name) for f in schema.fields])
 
 
 def _typed(field: T.StructField):
-    cell = F.col(f"`{field.name}`")
+    cell = F.col("`" + field.name.replace("`", "``") + "`")
     if isinstance(field.dataType, T.BooleanType):
         return F.when(cell.isin("1", "0"), cell == "1").otherwise(cell.try_cast(field.dataType))
+    if isinstance(field.dataType, T.LongType):
+        return F.coalesce(cell.try_cast("long"), cell.try_cast("double").try_cast("long"))
     if isinstance(field.dataType, (T.IntegerType, T.LongType, T.ShortType)):
         return cell.try_cast("double").try_cast(field.dataType)
     return cell.try_cast(field.dataType)

@@ -1,8 +1,10 @@
 """Small tables with the awkward cases: empty, null, NaN, one class, unseen, malformed."""
 
+import io
 import json
 import os
 import zipfile
+from datetime import datetime
 
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -221,6 +223,42 @@ def test_readers(spark, tmp_path):
             readers.load_dataset(spark, info)
 
 
+def sheet_bytes(rows, styles=""):
+    """A workbook from rows of cell elements."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="x" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/a.xml"/></Relationships>')
+        if styles:
+            z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}">{styles}</styleSheet>')
+        body = "".join(f"<row>{''.join(r)}</row>" for r in rows)
+        z.writestr("xl/worksheets/a.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def test_workbooks_with_different_blank_and_repeated_headers_and_dates(spark, tmp_path):
+    text = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+    number = lambda at, v, s=0: f'<c r="{at}" s="{s}"><v>{v}</v></c>'
+    styles = '<numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs>'
+    first = [
+        [text("A1", "a"), text("B1", "day"), text("D1", "a")],
+        [number("A2", 1), number("B2", 44197, 1), number("C2", 0.5), text("D2", "x")],
+        [number("A3", 2), number("B3", 44197.25, 2), '<c r="C3" t="e"><v>#N/A</v></c>', text("D3", "y")],
+    ]
+    second = [[text("A1", "c"), text("B1", "a")], [f'<c r="A2" t="b"><v>1</v></c>', number("B2", 3)]]
+    (tmp_path / "1.xlsx").write_bytes(sheet_bytes(first, styles))
+    (tmp_path / "2.xlsx").write_bytes(sheet_bytes(second))
+    got = readers.read_table(spark, str(tmp_path), "excel")
+    assert [f.simpleString() for f in got.schema] == [
+        "a:bigint", "day:timestamp_ntz", "column_2:double", "a_2:string", "c:boolean"
+    ]
+    assert sorted(map(tuple, got.collect())) == [
+        (1, datetime(2021, 1, 1), 0.5, "x", None), (2, datetime(2021, 1, 1, 6), None, "y", None), (3, None, None, None, True)
+    ]
+
+
 def test_workbook_with_shared_strings(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -340,3 +378,90 @@ def test_upsert_keeps_latest(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, t int, v string")
     new = spark.createDataFrame([(1, 2, "c"), (2, 4, "d"), (3, 1, "e")], "k int, t int, v string")
     assert {tuple(r) for r in sinks.upsert(old, new, ["k"], ["t"]).collect()} == {(1, 2, "c"), (2, 5, "b"), (3, 1, "e")}
+
+
+def messy(spark, label):
+    """Rows with missing dates, an empty column and the given label."""
+    return spark.range(400).select(
+        F.expr("timestampadd(DAY, CAST(id AS INT), TIMESTAMP_NTZ'2020-01-01')").alias("day"),
+        (F.col("id") % 17).cast("double").alias("x"), F.lit(None).cast("double").alias("void"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 3 == 0).alias("flag"), label.alias("y"),
+    ).withColumn("day", F.when(F.dayofyear("day") % 7 > 0, F.col("day")))
+
+
+@pytest.mark.parametrize("labels", [(-1, 1), (5, 7), (0, 1_000_000)])
+def test_runs_with_missing_dates_and_any_labels(spark, tmp_path, labels):
+    low, high = labels
+    messy(spark, F.when(F.col("id") % 17 > 8, high).otherwise(low)).write.parquet(str(tmp_path / "d.parquet"))
+    info = {
+        "data_path": "d.parquet", "task_type": "classification", "target_column": "y", "agents_to_call": ["ModelTrainingAgent"]
+    }
+    results = run(spark, info, str(tmp_path / "out"), str(tmp_path), partitions=2)
+    assert results.ok
+    report = results.status["ModelTrainingAgent"].first()
+    assert report["failed"] == 0 and report["best_model"] in {r["model"] for r in results.leaderboard.collect()}
+    assert 0 <= report["metrics"]["accuracy"] <= 1 and 0 <= report["test_metrics"]["accuracy"] <= 1
+    assert "constant" in {r["model"] for r in results.leaderboard.collect()}
+    assert "day_missing" in report["selected_features"] and report["dataset_path"].endswith("/processed")
+
+
+def test_unique_integers_are_a_regression_target(spark, tmp_path):
+    messy(spark, (F.col("id") * 3).cast("int")).write.parquet(str(tmp_path / "d.parquet"))
+    info = {"data_path": "d.parquet", "target_column": "y", "agents_to_call": ["ModelTrainingAgent"]}
+    results = run(spark, info, str(tmp_path / "out"), str(tmp_path), partitions=2)
+    assert results.ok and {r["task"] for r in results.leaderboard.collect()} == {"regression"}
+
+
+def test_stale_one_hot_plan_becomes_frequencies(spark, tmp_path):
+    df = spark.range(300).select((F.col("id") % 30).cast("string").alias("c"))
+    plan = literal_rows(spark, [("c", 3, "one_hot", "few categories")], "column string, ordinal int, step string, reason string")
+    out = R.fit_transforms(df, plan, str(tmp_path / "t")).transform(df)
+    assert out.columns == ["c_freq"] and out.where("abs(c_freq - 0.0333333333) > 1e-6").isEmpty()
+
+
+def test_mode_ties_go_to_the_smallest_text_long_or_short(spark):
+    long = "b" * 100
+    ties = spark.createDataFrame([("a",), ("a",), (long,), (long,), ("A" * 90,)], "t string")
+    assert P.categorical_summary(ties).first()["mode"] == "a"
+    assert P.categorical_summary(ties.where("t <> 'a'")).first()["mode"] == long
+    single = spark.createDataFrame([("c",), (long,), ("A" * 90,)], "t string")
+    assert P.categorical_summary(single).first()["mode"] == "A" * 90
+
+
+def test_folders_exist_and_all_gaps_are_named(spark):
+    report = json.dumps({"pipeline_status": "success", "dataset": "/o/1/processed", "m": ["/o/1/y", "/o/1/x/"]})
+    expected = literal_rows(spark, [(1, "/o/1")], "run_id int, output_dir string")
+    reports = literal_rows(spark, [(1, report)], "run_id int, report string")
+    files = literal_rows(spark, [("/o/1/processed/part-0.parquet",)], "path string")
+    row = D.validate_reports(expected, reports, files).first()
+    assert (row["outcome"], row["reason"]) == ("missing_artifact", "/o/1/x, /o/1/y")
+
+
+def test_slot_values_keep_blanks_and_dashes(spark):
+    message = "data_path: data/my file.csv; target_column: fixed acidity, task_type: regression\ntask_intent: eda"
+    got = spark.range(1).select(*[c.alias(n) for n, c in T.extract_slots(F.lit(message)).items()]).first().asDict()
+    assert got == {
+        "data_path": "data/my file.csv", "data_type": None, "task_type": "regression", "target_column": "fixed acidity", "task_intent": "eda"
+    }
+    quoted = T.extract_slots(F.lit('target column is "total price" and so on'))["target_column"]
+    assert spark.range(1).select(quoted).first()[0] == "total price"
+
+
+def test_no_document_file_means_no_documents(spark, tmp_path):
+    assert readers.read_documents(spark, str(tmp_path / "none.json"), "a long").collect() == []
+
+
+def test_no_slice_of_a_quantile_holds_many_values(spark, monkeypatch):
+    """5 M rows with heavy ties: what is ranked is cut into slices of bounded size."""
+    from tabulon.operators import ordering, quantiles
+
+    seen = []
+    whole = ordering.range_slices
+    monkeypatch.setattr(
+        ordering, "range_slices", lambda *a, **k: (seen.append(cut := whole(*a, **k)), cut)[1]
+    )
+    df = spark.range(5_000_000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.hash("id").cast("double")).alias("x"))
+    got = {r["prob"]: r["value"] for r in quantiles.quantile_table(df, ["x"], [0.1, 0.5, 0.9]).collect()}
+    exact = df.select(F.percentile("x", [0.1, 0.5, 0.9])).first()[0]
+    assert [got[p] for p in (0.1, 0.5, 0.9)] == pytest.approx(exact)
+    assert max(r["count"] for r in seen[0].groupBy(ordering.SLICE).count().collect()) < 5000
