@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,6 +34,46 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, id_column: str = "do
     return docs.drop("label").join(known, F.col(id_column) == F.col("_labelled_id")).drop("_labelled_id")
 
 
+def portions(texts: Iterable[str | None], characters: int = 1_000_000) -> Iterator[list[str | None]]:
+    """Lists of whole texts with about so many characters each, so that what is made of them fits in memory."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size >= characters:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+#: Entries of a worker's memories; what they take does not grow with the corpus.
+MEMO_ENTRIES = 400_000
+
+
+class Memory(dict):
+    """Remembers the results of a function, in two generations: the older goes when the younger is full."""
+
+    def __init__(self, compute, most: int = MEMO_ENTRIES):
+        super().__init__()
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit little-endian bytes."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def mix32(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 32-bit integers."""
     x = x.astype(np.uint32)

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tabulon.llm.common import stored
+from tabulon.llm.common import portions, stored
 
 WORD = re.compile(r"\w+")
 ORDER = 8
@@ -34,7 +34,7 @@ TOXIC_SHARE = 0.01
 BEGIN, END = "\x02", "\x03"
 DISCOUNT = 0.75
 #: Words a worker keeps with their difference; the memory this takes does not grow with the corpus.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 _FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * j + 1) ** 7 & (1 << 64) - 1 | 1 for j in range(ORDER)], np.uint64)
 
 
@@ -100,6 +100,12 @@ class Comparison:
 
     def differences(self, texts) -> list[float]:
         """The difference per word of each text; 0 for a text without words."""
+        out: list[float] = []
+        for part in portions(texts):
+            out += self._differences(part)
+        return out
+
+    def _differences(self, texts: list[str | None]) -> list[float]:
         split = [words_of(t) for t in texts]
         memo = self.memo
         new = {w for words in split for w in words if w not in memo}
@@ -187,13 +193,12 @@ def shared_probabilities(grams: list[str]) -> list[float]:
     return below
 
 
-def count_models(rows: DataFrame, max_grams: int = 500_000) -> Comparison:
+def count_models(rows: DataFrame, max_grams: int = 400_000) -> Comparison:
     """The comparison counted from all `rows` (text, label 0 or 1)."""
     counts = stored(gram_counts(stored(word_counts(rows), "words")), "grams").withColumn("n", F.col("n0") + F.col("n1"))
     kept = counts.where(F.col("n") >= _cutoff(counts, "n", max_grams)).select("gram", "n0", "n1").toPandas()
     kept = kept.sort_values("gram", ignore_index=True)
-    grams = kept["gram"].tolist()
-    lower = np.array(shared_probabilities(grams))
+    lower = np.array(shared_probabilities(kept["gram"].tolist()))
     context = pd.factorize(kept["gram"].str[:-1])
     logs, weights = [], []
     for k in (0, 1):
@@ -203,7 +208,7 @@ def count_models(rows: DataFrame, max_grams: int = 500_000) -> Comparison:
         weight = np.where(of > 0, DISCOUNT * kinds / np.maximum(of, 1), 1.0)
         weights.append(weight)
         logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(of, 1)[context[0]] + weight[context[0]] * lower))
-    key = np.array([_keys(g)[0][0] for g in grams], dtype=np.uint64)
+    key = np.array([_keys(g)[0][0] for g in kept["gram"]], dtype=np.uint64)
     context_key = np.array([_keys(h + END)[1][0] for h in context[1]], dtype=np.uint64)
     by_key, by_context = np.argsort(key), np.argsort(context_key)
     return Comparison(
