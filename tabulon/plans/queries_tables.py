@@ -622,20 +622,36 @@ def upstream_context(spark, sf):
     )
 
 
-@query("run_classification")
+def run_outcome(results):
+    """The candidates of a run's leaderboard, and whether each was ranked."""
+    return results.leaderboard.select("task", "model", "metric", F.col("rank").isNotNull().alias("is_ranked"))
+
+
+def run_sql(task: str, metric: str, models: str) -> str:
+    names = ", ".join(f"('{m}')" for m in models.split())
+    return f"SELECT '{task}' AS task, model, '{metric}' AS metric, TRUE AS is_ranked FROM (VALUES {names}) AS t(model)"
+
+
+@query("run_classification", run_sql("classification", "accuracy", "constant logistic_regression decision_tree random_forest"))
 def run_classification(spark, sf):
     """All three stages on `customer`, from the path in a task record to the ranked models."""
     info = {
         "data_path": "customer.parquet", "task_type": "classification", "target_column": "c_mktsegment",
         "agents_to_call": ["ModelTrainingAgent"],
     }
-    return run(spark, info, scratch_path(spark, "run"), base=sf, partitions=spark.sparkContext.defaultParallelism).leaderboard
+    return run_outcome(run(spark, info, scratch_path(spark, "run"), base=sf, partitions=spark.sparkContext.defaultParallelism))
 
 
-@query("run_regression")
+@query(
+    "run_regression",
+    run_sql(
+        "regression", "rmse",
+        "constant linear_regression ridge lasso decision_tree random_forest gradient_boosted_trees generalized_linear",
+    ),
+)
 def run_regression(spark, sf):
     """All three stages on `lineitem`, predicting the price."""
     info = {
         "data_path": "lineitem.parquet", "target_column": "l_extendedprice", "agents_to_call": ["EdaAgent", "ModelTrainingAgent"],
     }
-    return run(spark, info, scratch_path(spark, "run"), base=sf, partitions=spark.sparkContext.defaultParallelism).leaderboard
+    return run_outcome(run(spark, info, scratch_path(spark, "run"), base=sf, partitions=spark.sparkContext.defaultParallelism))
