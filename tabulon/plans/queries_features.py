@@ -281,7 +281,7 @@ def bin_quantile(spark, sf):
     return E.bin_column(train_of(o, "o_orderkey"), o, "o_totalprice", 5, "quantile").select("o_orderkey", "o_totalprice_bin")
 
 
-SELECTABLE = {**{c: LINEITEM[c] for c in LINEITEM if c != "l_shipdate"}, "price_copy": "double"}
+SELECTABLE = {**LINEITEM, "price_copy": "double"}
 WITH_COPY = "(SELECT *, l_extendedprice * 1.1 AS price_copy FROM lineitem)"
 
 
@@ -294,7 +294,7 @@ WITH_COPY = "(SELECT *, l_extendedprice * 1.1 AS price_copy FROM lineitem)"
     THEN 'duplicate of l_extendedprice' END AS reason FROM k, r""",
 )
 def select_features(spark, sf):
-    d = table(spark, sf, "lineitem").drop("l_shipdate").withColumn("price_copy", F.col("l_extendedprice") * 1.1)
+    d = table(spark, sf, "lineitem").withColumn("price_copy", F.col("l_extendedprice") * 1.1)
     kinds_ = P.column_kinds(d).join(F.broadcast(P.missing(d).select("column", "missing_share")), "column")
     return E.select_features(kinds_, P.correlations(d))
 

@@ -77,9 +77,20 @@ def ship_package(spark: SparkSession) -> None:
     _ship(spark.sparkContext.applicationId)
 
 
+def _application_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/tabulon/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's part of the shared folder."""
+    return f"{_application_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the steps this application has written, once its results are written elsewhere or read."""
+    jvm, path = spark.sparkContext._jvm, _application_scratch(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

@@ -465,3 +465,13 @@ def test_no_slice_of_a_quantile_holds_many_values(spark, monkeypatch):
     exact = df.select(F.percentile("x", [0.1, 0.5, 0.9])).first()[0]
     assert [got[p] for p in (0.1, 0.5, 0.9)] == pytest.approx(exact)
     assert max(r["count"] for r in seen[0].groupBy(ordering.SLICE).count().collect()) < 5000
+
+
+def test_steps_are_written_below_one_folder_and_dropped_together(spark, tmp_path, monkeypatch):
+    from tabulon import session
+
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path))
+    session.materialize(spark.range(3), "step")
+    assert os.listdir(tmp_path / "tabulon") == [spark.sparkContext.applicationId]
+    session.drop_scratch(spark)
+    assert os.listdir(tmp_path / "tabulon") == []
