@@ -48,7 +48,7 @@ def portions(texts: Iterable[str | None], characters: int = 1_000_000) -> Iterat
 
 
 #: Entries of a worker's memories; what they take does not grow with the corpus.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 
 
 class Memory(dict):
@@ -68,6 +68,11 @@ class Memory(dict):
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        """Called at the end of a task, so that a worker that is used again starts small."""
+        self.clear()
+        self.old = {}
+
 
 def packed(ids: list[int]) -> bytes:
     """Ids as 32-bit little-endian bytes."""

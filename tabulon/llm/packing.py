@@ -13,7 +13,6 @@ on open bins, whatever the corpus size.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,32 +20,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tabulon.llm.common import stored
+from tabulon.llm.common import Memory, packed, stored
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = f"{PIECE_SCHEMA}, bin long, place long, used long, is_open boolean"
-#: Entries of a worker's memories; what they take does not grow with the corpus.
-MEMO_ENTRIES = 400_000
-
-
-class Memory(dict):
-    """Remembers the results of a function, in two generations: the older goes when the younger is full."""
-
-    def __init__(self, compute, most: int = MEMO_ENTRIES):
-        super().__init__()
-        self.compute, self.most, self.old = compute, most, {}
-
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.compute(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -76,20 +53,16 @@ class WordTokenizer:
 
     def _unit(self, unit: str) -> bytes:
         coded = "".join([self.letters[b] for b in unit.encode()])
-        return _packed([t.id for t in self.tokenizer.model.tokenize(coded)])
+        return packed([t.id for t in self.tokenizer.model.tokenize(coded)])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.special.search(text) or "<|" in text:
-            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.of_word.__getitem__, text.lower().split()))
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -111,7 +84,8 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     """One row per piece of at most `size` tokens; a null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = tokenizer(path).encode, _packed([end_id])
+        words = tokenizer(path)
+        encode, end = words.encode, packed([end_id])
         for batch in batches:
             rows = [
                 (doc, k, start, length, crc)
@@ -120,6 +94,8 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
             ]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
+        words.of_word.forget()
+        words.of_unit.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, PIECE_SCHEMA)
 

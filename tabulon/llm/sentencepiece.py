@@ -13,12 +13,14 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, types as T
 
+from tabulon.llm.common import Memory, packed
+
+#: Bytes of a column that are converted at once.
+SLICE_BYTES = 4 << 20
 MARK = "▁"
-#: Parts kept by a worker with their ids; the memory this takes does not grow with the corpus.
-MEMO_PARTS = 400_000
 #: What a character without a piece costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -48,29 +50,46 @@ class PieceModel:
             self.automaton.add_word(piece, (len(piece), source.get_score(i), i))
         self.automaton.make_automaton()
         self.unknown_score = min(source.get_score(i) for i in usable) - UNKNOWN_PENALTY
-        inner = any(MARK in self.pieces[i].lstrip(MARK) for i in usable)
-        newline = any("\n" in self.pieces[i] for i in usable)
-        stop = MARK if newline else MARK + "\n"
-        self.parts = None if inner else re.compile(f"{MARK}+[^{stop}]*|[^{stop}]+|\n")
-        self.memo: dict[str, list[int]] = {}
+        #: Characters with a piece of their own; for others the unknown character is a choice.
+        self.single = {self.pieces[i] for i in usable if len(self.pieces[i]) == 1}
+        self.parts = self._cuts([self.pieces[i] for i in usable])
+        self.part = Memory(lambda part: packed(self.segment(part)))
+        # What an id stands for: nothing, a byte, or the bytes of a piece.
+        self.bytes = [
+            b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else piece.encode()
+            for i, piece in enumerate(self.pieces)
+        ]
+
+    @staticmethod
+    def _cuts(pieces: list[str]) -> re.Pattern | None:
+        """What finds the parts of a text that no piece crosses, as far as the pieces allow any."""
+        pairs = {(a, b) for piece in pieces for a, b in zip(piece, piece[1:])}
+        if any(b == MARK and a != MARK for a, b in pairs):
+            return None
+        line = "" if any("\n" in pair for pair in pairs) or "\n" in pieces else "\n"
+        if any(a.isalnum() and not b.isalnum() for a, b in pairs):
+            return re.compile(f"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+|\n")
+        # No piece goes on behind a word either: marks, then symbols, then letters and digits.
+        return re.compile(rf"{MARK}*(?:[^\w{MARK}{line}]|_)*[^\W_]+|{MARK}+(?:[^\w{MARK}{line}]|_)*|(?:[^\w{MARK}{line}]|_)+|\n")
 
     def segment(self, text: str) -> list[int]:
         """Ids of the best segmentation of a normalised text; of equal scores the longer last piece wins."""
         size = len(text)
         best = [0.0] + [-math.inf] * size
         back: list[tuple[int, int]] = [(0, -1)] * (size + 1)
+        known = self.single.issuperset(text)
         reached = 0  # every position up to here has its final score
         for last, (length, score, piece) in self.automaton.iter(text):
-            end = last + 1
-            while reached < end - 1:
-                reached += 1
-                self._step(best, back, reached)
-            start = end - length
-            if best[start] + score > best[end]:
-                best[end], back[end] = best[start] + score, (start, piece)
-        while reached < size:
+            if not known:
+                while reached < last:
+                    reached += 1
+                    self._step(best, back, text, reached)
+            start = last + 1 - length
+            if (total := best[start] + score) > best[last + 1]:
+                best[last + 1], back[last + 1] = total, (start, piece)
+        while not known and reached < size:
             reached += 1
-            self._step(best, back, reached)
+            self._step(best, back, text, reached)
         ids, end = [], size
         while end:
             start, piece = back[end]
@@ -78,8 +97,10 @@ class PieceModel:
             end = start
         return ids[::-1]
 
-    def _step(self, best: list[float], back: list, end: int) -> None:
-        """The single unknown character is a choice where no piece of one character ends."""
+    def _step(self, best: list[float], back: list, text: str, end: int) -> None:
+        """A character without a piece of its own may be read as unknown."""
+        if text[end - 1] in self.single:
+            return
         score = best[end - 1] + self.unknown_score
         if score > best[end]:
             best[end], back[end] = score, (end - 1, -1)
@@ -89,32 +110,23 @@ class PieceModel:
             return [self.id_of_byte[b] for b in character.encode("utf-8", "replace")]
         return [self.unknown]
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode_packed(self, text: str | None) -> bytes:
+        """The ids of a text as 32-bit bytes; none for a null or empty text."""
         if not text:
-            return []
+            return b""
         text = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
         if self.parts is None:
-            return self.segment(text)
-        memo, ids = self.memo, []
-        for part in self.parts.findall(text):
-            known = memo.get(part)
-            if known is None:
-                known = self.segment(part)
-                if len(memo) >= MEMO_PARTS:
-                    memo.clear()
-                if len(part) <= 64:
-                    memo[part] = known
-            ids += known
-        return ids
+            return packed(self.segment(text))
+        # Words are remembered; what is long is rare and would fill the memory.
+        return b"".join(
+            [self.part[x] if len(x) <= 64 else packed(self.segment(x)) for x in self.parts.findall(text)]
+        )
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), "<i4").tolist()
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i not in self.silent:
-                out += self.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -128,15 +140,25 @@ def piece_model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def _mapped(df: DataFrame, column: str, added: str, kind: str, path: str, method: str) -> DataFrame:
-    @F.pandas_udf(kind)
-    def convert(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        call = getattr(piece_model(path), method)
-        for batch in values:
-            out = [None if v is None else call(v) for v in batch]
-            yield pd.Series([np.asarray(v, np.int32) if kind == "array<int>" and v is not None else v for v in out], dtype=object)
+def _mapped(df: DataFrame, column: str, added: str, kind: str, convert) -> DataFrame:
+    """`df` with a column converted by `convert`, which maps an Arrow array to an Arrow array.
 
-    return df.withColumn(added, convert(F.col(column)))
+    Batches are cut into slices of at most `SLICE_BYTES` bytes of the column (or one row), so that the
+    results of a batch of long texts are never held together.
+    """
+    kept = [c for c in df.columns if c != added]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(added, T._parse_datatype_string(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.column(at).nbytes, 1))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                arrays = [part.column(part.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*arrays, convert(part.column(at))], names=[*kept, added])
+
+    return df.mapInArrow(run, schema)
 
 
 def encode_texts(docs: DataFrame, path: str, column: str = "text", added: str = "ids") -> DataFrame:
@@ -144,12 +166,26 @@ def encode_texts(docs: DataFrame, path: str, column: str = "text", added: str =
 
     A column that is already called `added` is replaced; all other columns stay.
     """
-    return _mapped(docs, column, added, "array<int>", path, "encode")
+
+    def convert(texts: pa.Array) -> pa.Array:
+        encode = piece_model(path).encode_packed
+        coded = [None if t is None else encode(t) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *(len(c or b"") // 4 for c in coded)])
+        offsets = pa.array(ends, pa.int32(), mask=np.array([c is None for c in coded] + [False]))
+        values = pa.array(np.frombuffer(b"".join(c for c in coded if c), "<i4"))
+        return pa.ListArray.from_arrays(offsets, values)
+
+    return _mapped(docs, column, added, "array<int>", convert)
 
 
 def decode_ids(coded: DataFrame, path: str, column: str = "ids", added: str = "decoded") -> DataFrame:
-    """`coded` with the text of the ids in `column`.
+    """`coded` with the text of the ids in `column`; null ids have a null text.
 
     Decoding an encoded text gives the text back, but that a literal word mark (U+2581) becomes a space.
     """
-    return _mapped(coded, column, added, "string", path, "decode")
+
+    def convert(lists: pa.Array) -> pa.Array:
+        decode = piece_model(path).decode
+        return pa.array([None if x is None else decode(x) for x in (v.as_py() for v in lists)], pa.string())
+
+    return _mapped(coded, column, added, "string", convert)
