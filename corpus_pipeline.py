@@ -23,7 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps the documents whose quality score is one half or more; nothing else about them changes."""
     ship_package(spark)
     measured = quality.with_statistics(docs.select("doc_id", "text")).drop("text")
-    model = quality.fit(train_rows(measured, table(spark, sf_dir, "labels"), "quality", 3, 1))
+    rows = train_rows(measured, table(spark, sf_dir, "labels"), "quality", 3, 1).select("label", "statistics")
+    model = quality.fit(stored(rows, "labelled"))
     return quality.with_scores(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 

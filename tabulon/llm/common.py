@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.session import materialize
@@ -79,6 +83,32 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` bytes of a column each, or one row."""
+    rows = max(1, batch.num_rows * most // max(batch.column(batch.schema.get_field_index(column)).nbytes, 1))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def lean(run):
+    """Wraps what a Python task does with its batches: at the end, freed memory goes back to the system.
+
+    Workers are used again by later tasks, which would otherwise start from the peak of earlier ones.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
+
+
 def mix32(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 32-bit integers."""
     x = x.astype(np.uint32)

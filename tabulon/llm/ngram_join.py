@@ -19,9 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabulon.llm.common import mix32, stored
+from tabulon.llm.common import lean, mix32, slices, stored
 from tabulon.llm.components import components
 from tabulon.operators.lookup import fits_broadcast
 
@@ -89,21 +90,22 @@ def _class_of(found: np.ndarray) -> int | None:
 def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, text_key, class, n_grams, bands) of every row; a text without words has no class."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(bands, rows)
+
+        def facts(text: str) -> tuple:
+            found = grams(text, n)
+            return _class_of(found), len(found), sign(found) if len(found) else None
+
         for batch in batches:
-            found = [grams(t, n) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"),
-                    "text_key": batch["text_key"],
-                    "class": pd.array([_class_of(g) for g in found], dtype="Int64"),
-                    "n_grams": [len(g) for g in found],
-                    "bands": [sign(g) if len(g) else None for g in found],
-                }
-            )
+            for part in slices(batch, "text"):
+                classes, sizes, signs = zip(*map(facts, part.column(1).to_pylist()))
+                columns = [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.list_(pa.int64()))]
+                names = ["doc_id", "text_key", "class", "n_grams", "bands"]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], names=names)
 
-    return _keyed(docs).mapInPandas(run, "doc_id long, text_key long, class long, n_grams long, bands array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, class long, n_grams long, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -114,16 +116,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(class, grams): the full sets of one text of each wanted class (doc_id, text_key)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [grams(t, n) for t in batch["text"]]
-            yield pd.DataFrame({"class": [_class_of(g) for g in found], "grams": [g.view(np.int64) for g in found]})
+            for part in slices(batch, "text"):
+                found = [grams(t, n) for t in part.column(0).to_pylist()]
+                columns = [
+                    pa.array([_class_of(g) for g in found], pa.int64()),
+                    pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "grams"])
 
     rows = _keyed(docs)
     wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     picked = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    return picked.select("text").mapInPandas(run, "class long, grams array<long>").dropDuplicates(["class"])
+    return picked.select("text").mapInArrow(run, "class long, grams array<long>").dropDuplicates(["class"])
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -193,6 +201,7 @@ def _work(key: tuple, rows: list[tuple], threshold: float) -> pd.DataFrame | Non
 def verify(sets: DataFrame, threshold: float) -> DataFrame:
     """(class, root, links) from (comp, low, high, class, chunk, size, grams), a piece of work per (comp, low, high)."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows = None, []
         for batch in batches:

@@ -18,11 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabulon.llm.common import Memory, packed, stored
+from tabulon.llm.common import Memory, lean, packed, slices, stored
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+)
 PACKED_SCHEMA = f"{PIECE_SCHEMA}, bin long, place long, used long, is_open boolean"
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one."""
@@ -83,21 +87,24 @@ def cut(ids: bytes, size: int) -> Iterator[tuple[int, int, int]]:
 def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     """One row per piece of at most `size` tokens; a null text counts as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(path)
         encode, end = words.encode, packed([end_id])
         for batch in batches:
-            rows = [
-                (doc, k, start, length, crc)
-                for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"])
-                for k, (start, length, crc) in enumerate(cut(encode(text) + end, size))
-            ]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            for part in slices(batch, "text"):
+                rows = [
+                    (doc, k, start, length, crc)
+                    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+                    for k, (start, length, crc) in enumerate(cut(encode(text) + end, size))
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), PIECE_ARROW.types)], schema=PIECE_ARROW
+                )
         words.of_word.forget()
         words.of_unit.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE_SCHEMA)
 
 
 class OpenBins:

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tabulon.llm.common import lean, portions
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 
@@ -409,17 +411,16 @@ def with_personal_data(docs: DataFrame, field: Field | None = None, text: str =
     found = "struct<base_spans:string,spans:string,masked:string>"
 
     @F.pandas_udf(found)
+    @lean
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            values = [t or "" for t in batch]
-            for at in range(0, len(values), 256):
-                part = values[at : at + 256]
+            for part in portions(t or "" for t in batch):
+                rows = []
                 for value, more in zip(part, field_spans(part, field)):
                     base = base_spans(value)
                     spans = merged(base, more)
                     rows.append((joined(base), joined(spans), masked(value, spans) if spans else value))
-            yield pd.DataFrame(rows, columns=["base_spans", "spans", "masked"])
+                yield pd.DataFrame(rows, columns=["base_spans", "spans", "masked"])
 
     return docs.withColumn("_found", find(F.col(text).cast("string"))).withColumns(
         {c: F.col(f"_found.{c}") for c in ("base_spans", "spans", "masked")}

@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabulon.llm.common import lean
+
 STATISTICS = (
     "log_chars", "log_words", "word_length", "unique_words", "upper", "digits", "symbols", "commonest_symbol",
     "bare_symbols", "stops", "log_line", "repeated_lines", "mixed_words", "vowels",
@@ -69,6 +71,7 @@ def statistics(text: str | None) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, added: str = "statistics", text: str = "text") -> DataFrame:
     @F.pandas_udf("array<double>")
+    @lean
     def measured(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([statistics(x) for x in batch], dtype=object)
@@ -151,6 +154,7 @@ def with_scores(docs: DataFrame, model: Discriminant, text: str | None = "text",
     """
 
     @F.pandas_udf("double")
+    @lean
     def score(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in values:
             rows = [v if column else statistics(v) for v in batch]
