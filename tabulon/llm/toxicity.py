@@ -10,9 +10,11 @@ characters rather than whole words lets unseen inflections of a toxic stem count
 
 A logistic curve, fitted on labelled texts that were not counted, turns the difference into a score.
 
-Counting covers all labelled texts given, and its tables grow with them. What the workers load is
-bounded: sequences below the count that makes them fit `max_grams` are scored by the backoff, which
-is why a broadcast is safe at any corpus size.
+Counting covers all labelled texts given. All sequences are kept, in stored tables that grow with
+the texts: continuation counts, probabilities and differences are aggregations and joins, and nothing
+of them comes to the driver. Workers load the differences of the `MEMO_WORDS` most frequent counted
+words; all other words of a text are set aside, scored once each by joining their sequences to the
+tables, and joined back, so which words are loaded changes the cost and not the result.
 """
 
 from __future__ import annotations
@@ -20,22 +22,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulon.llm.common import portions, stored
+from tabulon.llm.common import lean, portions, stored
+from tabulon.operators.lookup import lookup
 
 WORD = re.compile(r"\w+")
 ORDER = 8
 TOXIC_SHARE = 0.01
 BEGIN, END = "\x02", "\x03"
 DISCOUNT = 0.75
-#: Words a worker keeps with their difference; the memory this takes does not grow with the corpus.
+#: Words a worker loads with their difference; the memory this takes does not grow with the corpus.
 MEMO_WORDS = 250_000
-_FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * j + 1) ** 7 & (1 << 64) - 1 | 1 for j in range(ORDER)], np.uint64)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -51,72 +52,62 @@ def grams_of(word: str) -> list[str]:
     return [text[i : i + ORDER] for i in range(len(text) - ORDER + 1)]
 
 
-def _keys(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text of padded words: 64-bit keys of the sequences and of their contexts, and which are real."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    size = len(codes) - ORDER + 1
-    context = np.zeros(size, np.uint64)
-    for j in range(ORDER - 1):
-        context += codes[j : j + size] * _FACTORS[j]
-    last = codes[ORDER - 1 :]
-    return context + last * _FACTORS[-1], context, last != ord(BEGIN)
+class Known:
+    """The differences of some words, as sent to workers; the dictionary is made where it is used."""
 
+    def __init__(self, words: list[str], values: np.ndarray):
+        self.words, self.values, self._found = " ".join(words), values, None
 
-@dataclass
-class Comparison:
-    """Log-likelihood differences (toxic minus ordinary) of kept sequences and of their contexts' backoff."""
+    def __getstate__(self):
+        return {**self.__dict__, "_found": None}
 
-    keys: np.ndarray
-    values: np.ndarray
-    context_keys: np.ndarray
-    context_values: np.ndarray
-    slope: float = 1.0
-    bias: float = 0.0
+    @property
+    def found(self) -> dict[str, float]:
+        if self._found is None:
+            self._found = dict(zip(self.words.split(" "), self.values.tolist())) if self.words else {}
+        return self._found
 
-    def __post_init__(self):
-        self.memo: dict[str, float] = {}
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "memo"}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state, memo={})
-
-    @staticmethod
-    def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise) -> np.ndarray:
-        if not len(keys):
-            return np.broadcast_to(otherwise, wanted.shape)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], otherwise)
-
-    def word_differences(self, words: list[str]) -> list[float]:
-        text = "".join(map(padded, words))
-        key, context, real = _keys(text)
-        backoff = self._found(self.context_keys, self.context_values, context, 0.0)
-        each = np.where(real, self._found(self.keys, self.values, key, backoff), 0.0)
-        starts = np.cumsum([0] + [len(w) + ORDER for w in words[:-1]])
-        odds = np.add.reduceat(np.concatenate((each, np.zeros(ORDER))), starts)
-        return np.log1p(TOXIC_SHARE * np.expm1(np.minimum(odds, 50.0))).tolist()
+class Comparison:
+    """Log-likelihood differences (toxic minus ordinary) of all sequences, as a stored table.
+
+    `grams` has the columns gram, context, value and backoff (of the context); `known` has the
+    differences of frequent words.
+    """
+
+    def __init__(self, grams: DataFrame):
+        self.grams = grams
+        self.known = Known([], np.zeros(0))
+        self.slope, self.bias = 1.0, 0.0
+
+    @property
+    def keys(self) -> list[str]:
+        """The counted sequences. Lists them all: for small tables."""
+        return [r["gram"] for r in self.grams.select("gram").collect()]
+
+    def word_differences(self, words: DataFrame) -> DataFrame:
+        """(word, difference) of a table of distinct words, stored."""
+        text = F.concat(F.lit(BEGIN * (ORDER - 1)), "word", F.lit(END))
+        at = F.sequence(F.lit(1), F.length("word") + 1)
+        each = words.select("word", F.explode(F.transform(at, lambda i: F.substring(text, i, F.lit(ORDER)))).alias("gram"))
+        each = stored(each.groupBy("word", "gram").agg(F.count("*").alias("times")), "word-grams")
+        # Every sequence once, so that no key is hot on either side; a context has at most one per character.
+        grams = each.select("gram").distinct().withColumn("context", F.substring("gram", 1, ORDER - 1))
+        contexts = self.grams.groupBy("context").agg(F.first("backoff").alias("backoff"))
+        odds = (
+            grams.join(self.grams.select("gram", "value"), "gram", "left")
+            .join(contexts, "context", "left")
+            .select("gram", F.coalesce("value", "backoff", F.lit(0.0)).alias("odds"))
+        )
+        summed = lookup(each, odds, ["gram"]).groupBy("word").agg(F.sum(F.col("times") * F.col("odds")).alias("odds"))
+        return stored(
+            summed.select("word", F.log1p(TOXIC_SHARE * F.expm1(F.least("odds", F.lit(50.0)))).alias("difference")), "word-differences"
+        )
 
     def differences(self, texts) -> list[float]:
-        """The difference per word of each text; 0 for a text without words."""
-        out: list[float] = []
-        for part in portions(texts):
-            out += self._differences(part)
-        return out
-
-    def _differences(self, texts: list[str | None]) -> list[float]:
-        split = [words_of(t) for t in texts]
-        memo = self.memo
-        new = {w for words in split for w in words if w not in memo}
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = {w for words in split for w in words}
-        new = list(new)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            memo.update(zip(part, self.word_differences(part)))
-        return [sum([memo[w] for w in words]) / len(words) if words else 0.0 for words in split]
+        """The difference per word of each of a few texts; 0 for a text without words."""
+        rows = self.grams.sparkSession.createDataFrame(list(enumerate(texts)), "at long, text string")
+        return [r["difference"] for r in with_difference(rows, self).orderBy("at").collect()]
 
 
 def _cutoff(counts: DataFrame, column: str, most: int, least: int = 1) -> int:
@@ -171,57 +162,73 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return _summed(words, run, "gram")
 
 
-def shared_probabilities(grams: list[str]) -> list[float]:
-    """The Kneser-Ney probability of each sequence's last character at the lower orders, from distinct sequences."""
-    alphabet = {g[-1] for g in grams}
-    below = [1.0 / max(len(alphabet), 1)] * len(grams)
-    longer = set(grams)
-    orders = []
+def _before(gram: str) -> Column:
+    return F.expr(f"left({gram}, length({gram}) - 1)")
+
+
+def shared_probabilities(grams: DataFrame) -> DataFrame:
+    """(ending, lower): the Kneser-Ney probability of the last character of every sequence without its first character.
+
+    It comes from the lower orders, whose counts are of distinct longer sequences. A context has no more
+    rows than there are characters.
+    """
+    levels, longer = {}, grams.select("gram")
     for size in range(ORDER - 1, 0, -1):
-        counts = Counter(g[-size:] for g in longer)
-        orders.append((size, counts))
-        longer = set(counts)
-    for size, counts in reversed(orders):
-        total, kinds = Counter(), Counter()
-        for g, n in counts.items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += 1
-        below = [
-            (max(counts[g[-size:]] - DISCOUNT, 0.0) + DISCOUNT * kinds[g[-size:-1]] * p) / total[g[-size:-1]]
-            for g, p in zip(grams, below)
-        ]
+        ending = F.substring("gram", 2, ORDER).alias("gram")
+        levels[size] = longer = stored(longer.groupBy(ending).agg(F.count("*").alias("n")), f"endings-{size}")
+    total, kinds = levels[1].agg(F.sum("n"), F.count("*")).first()
+    lower = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0))
+    below = levels[1].select(
+        F.col("gram").alias("ending"), ((lower + DISCOUNT * kinds / max(kinds, 1)) / (total or 1)).alias("lower")
+    )
+    for size in range(2, ORDER):
+        same = Window.partitionBy("before")
+        level = levels[size].select("gram", "n", _before("gram").alias("before"), F.substring("gram", 2, ORDER).alias("ending"))
+        level = level.withColumns({"total": F.sum("n").over(same), "kinds": F.count("*").over(same)})
+        below = level.join(below, "ending").select(
+            F.col("gram").alias("ending"), ((lower + DISCOUNT * F.col("kinds") * F.col("lower")) / F.col("total")).alias("lower")
+        )
     return below
 
 
-def count_models(rows: DataFrame, max_grams: int = 400_000) -> Comparison:
-    """The comparison counted from all `rows` (text, label 0 or 1)."""
-    counts = stored(gram_counts(stored(word_counts(rows), "words")), "grams").withColumn("n", F.col("n0") + F.col("n1"))
-    kept = counts.where(F.col("n") >= _cutoff(counts, "n", max_grams)).select("gram", "n0", "n1").toPandas()
-    kept = kept.sort_values("gram", ignore_index=True)
-    lower = np.array(shared_probabilities(kept["gram"].tolist()))
-    context = pd.factorize(kept["gram"].str[:-1])
+def count_models(rows: DataFrame, max_grams: int | None = None) -> Comparison:
+    """The comparison counted from all `rows` (text, label 0 or 1).
+
+    All sequences are kept, unless a caller wants at most `max_grams`, those with the highest counts.
+    """
+    words = stored(word_counts(rows), "words")
+    counts = stored(gram_counts(words), "grams").withColumn("n", F.col("n0") + F.col("n1"))
+    if max_grams is not None:
+        counts = counts.where(F.col("n") >= _cutoff(counts, "n", max_grams))
+    same = Window.partitionBy("context")
+    each = counts.select("gram", "n0", "n1", F.substring("gram", 1, ORDER - 1).alias("context"))
+    for k in (0, 1):
+        of, kinds = F.sum(f"n{k}").over(same), F.sum((F.col(f"n{k}") > 0).cast("int")).over(same)
+        each = each.withColumn(f"of{k}", of).withColumn(f"kinds{k}", kinds)
+    each = each.withColumn("ending", F.substring("gram", 2, ORDER)).join(shared_probabilities(counts), "ending")
     logs, weights = [], []
     for k in (0, 1):
-        n = kept[f"n{k}"].to_numpy(float)
-        of = np.bincount(context[0], n, len(context[1]))
-        kinds = np.bincount(context[0], n > 0, len(context[1]))
-        weight = np.where(of > 0, DISCOUNT * kinds / np.maximum(of, 1), 1.0)
-        weights.append(weight)
-        logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(of, 1)[context[0]] + weight[context[0]] * lower))
-    key = np.array([_keys(g)[0][0] for g in kept["gram"]], dtype=np.uint64)
-    context_key = np.array([_keys(h + END)[1][0] for h in context[1]], dtype=np.uint64)
-    by_key, by_context = np.argsort(key), np.argsort(context_key)
-    return Comparison(
-        key[by_key],
-        (logs[1] - logs[0])[by_key],
-        context_key[by_context],
-        (np.log(weights[1]) - np.log(weights[0]))[by_context],
+        of = F.greatest(F.col(f"of{k}"), F.lit(1))
+        weights.append(F.when(F.col(f"of{k}") > 0, DISCOUNT * F.col(f"kinds{k}") / of).otherwise(F.lit(1.0)))
+        logs.append(F.log(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)) / of + weights[k] * F.col("lower")))
+    model = Comparison(
+        stored(
+            each.select(
+                "gram", "context", (logs[1] - logs[0]).alias("value"), (F.log(weights[1]) - F.log(weights[0])).alias("backoff")
+            ),
+            "differences",
+        )
     )
+    counted = words.withColumn("n", F.col("n0") + F.col("n1"))
+    frequent = model.word_differences(counted.where(F.col("n") >= _cutoff(counted, "n", MEMO_WORDS)).select("word")).toArrow()
+    model.known = Known(frequent["word"].to_pylist(), frequent["difference"].to_numpy())
+    return model
 
 
 def calibrate(model: Comparison, rows: DataFrame, max_rows: int = 20_000, order: str = "doc_id") -> Comparison:
     """Fit the logistic curve on at most `max_rows` rows (first in hash order) that were not counted."""
     chosen = rows.orderBy(F.xxhash64(order), order).limit(max_rows)
+    chosen = stored(chosen.select("text", "label"), "calibration")
     found = with_difference(chosen, model).select("difference", "label").toPandas()
     x, y = found["difference"].to_numpy(float), found["label"].to_numpy(float)
     if len(set(y)) < 2:
@@ -242,16 +249,42 @@ def calibrate(model: Comparison, rows: DataFrame, max_rows: int = 20_000, order:
 
 
 def with_difference(docs: DataFrame, model: Comparison, text: str = "text") -> DataFrame:
-    """Adds `difference`, the log-likelihood difference per word of the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """Adds `difference`, the log-likelihood difference per word of the whole text.
 
-    @F.pandas_udf("double")
-    def difference(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compare = shared.value
-        for batch in texts:
-            yield pd.Series(compare.differences(batch), dtype=float)
+    Equal texts are looked up once, by a digest of theirs.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.known)
 
-    return docs.withColumn("difference", difference(F.col(text).cast("string")))
+    @F.pandas_udf("struct<total:double,words:long,rest:array<string>,times:array<long>>")
+    @lean
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = shared.value.found
+        for batch in batches:
+            rows = []
+            for part in portions(batch):
+                for words in map(words_of, part):
+                    found = [known.get(w) for w in words]
+                    rest = Counter(w for w, d in zip(words, found) if d is None) if None in found else {}
+                    total = sum([d for d in found if d is not None] if rest else found)
+                    rows.append((float(total), len(words), list(rest), list(rest.values())))
+            yield pd.DataFrame(rows, columns=["total", "words", "rest", "times"])
+
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    keyed = docs.drop("difference").withColumn("_text_key", F.unhex(F.md5(value.cast("binary"))))
+    parts = keyed.select("_text_key", measure(value).alias("m")).select("_text_key", "m.*")
+    parts = stored(parts, "measured")
+    once = parts.where(F.size("rest") > 0).groupBy("_text_key").agg(F.first(F.struct("rest", "times")).alias("m"))
+    rest = stored(once.select("_text_key", F.inline(F.arrays_zip("m.rest", "m.times"))).toDF("_text_key", "word", "times"), "rest")
+    scored = model.word_differences(rest.select("word").distinct())
+    more = lookup(rest, scored, ["word"], stored=True).groupBy("_text_key").agg(
+        F.sum(F.col("times") * F.col("difference")).alias("more")
+    )
+    texts = parts.groupBy("_text_key").agg(F.max("total").alias("total"), F.max("words").alias("words"))
+    per_word = (F.col("total") + F.coalesce("more", F.lit(0.0))) / F.col("words")
+    found = texts.join(more, "_text_key", "left").select(
+        "_text_key", F.when(F.col("words") > 0, per_word).otherwise(F.lit(0.0)).alias("difference")
+    )
+    return lookup(keyed, found, ["_text_key"]).drop("_text_key")
 
 
 def with_scores(docs: DataFrame, model: Comparison, text: str = "text") -> DataFrame:

@@ -165,6 +165,24 @@ def test_the_kept_sequences_stay_within_their_bound(spark):
     assert 0 < len(model.keys) <= 50
 
 
+def test_no_counted_sequence_is_dropped(spark):
+    letters = np.array(list("abcdefghijklmnop"))
+    words = ["".join(w) for w in letters[np.random.default_rng(8).integers(0, 16, (90_000, 8))]]
+    rows = [(" ".join(words[i::40]), i % 2) for i in range(40)]
+    model = toxicity.count_models(spark.createDataFrame(rows, "text string, label int"))
+    want = {g for w in words for g in toxicity.grams_of(w)}
+    assert len(want) > 400_000 and len(model.keys) == len(want)
+
+
+def test_words_that_are_not_loaded_get_the_same_difference(spark, monkeypatch):
+    rows = [("the cat sat on the mat", 0), ("a cat and a dog", 0), ("you idiot cat, you fool", 1), ("idiots and fools sat", 1)]
+    texts = ["the idiot", "cats sat idiotic idiotic", "zebra xylophone", "", None, "the idiot"]
+    table = spark.createDataFrame(rows, "text string, label int")
+    loaded = toxicity.count_models(table).differences(texts)
+    monkeypatch.setattr(toxicity, "MEMO_WORDS", 1)
+    assert toxicity.count_models(table).differences(texts) == pytest.approx(loaded, abs=1e-12)
+
+
 def test_toxicity_on_rows_that_were_held_out(spark):
     rows = QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.1").collect()
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
