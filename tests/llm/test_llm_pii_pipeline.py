@@ -99,6 +99,26 @@ def test_the_field_learns_its_table_and_finds_other_spellings(field):
     assert pii.field_spans(clean, field) == [[], []]
 
 
+def test_every_span_of_the_table_is_found_in_its_plain_sentence(field):
+    for example in pii.EXAMPLES:
+        text, spans = "", []
+        for kind, inner, plain in re.findall(r"\{(\w+)\|([^}]*)\}|([^{]+)", example):
+            if kind:
+                spans.append((kind, len(text), len(text) + len(inner)))
+            text += inner or plain
+        assert pii.field_spans([text], field)[0] == spans
+    text = "It is late.\nplease ask ann dot roe at example dot org today, or look at the house. We met at noon."
+    assert [(k, text[a:b]) for k, a, b in pii.field_spans([text], field)[0]] == [("email", "ann dot roe at example dot org")]
+
+
+def test_lines_that_are_passed_over_hold_no_span(field, monkeypatch):
+    texts = [re.sub(r"\{\w+\|([^}]*)\}", r"\1", e) for e in pii.EXAMPLES]
+    texts = ["\n".join(texts), *TEXTS, "no mark = here\n\nat\n a_at_b dot c + [x]", *map(" ".join, zip(texts, texts[1:]))]
+    found = pii.field_spans(texts, field)
+    monkeypatch.setattr(pii, "_NEEDED", re.compile(r"[^\n]"))
+    assert found == pii.field_spans(texts, field)
+
+
 def test_base_spans_stay_and_overlaps_go():
     base = [("email", 10, 20), ("phone", 30, 40)]
     more = [("secret", 15, 25), ("ip", 20, 30), ("card", 0, 10), ("phone", 30, 40), ("card", 5, 50)]
