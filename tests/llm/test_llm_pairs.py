@@ -250,3 +250,20 @@ def test_the_registered_search_has_a_recall_of_nine_tenths(spark, sf):
     for r in QUERIES["op9_nearest_neighbours"](spark, sf).collect():
         got[r["query_id"]].add(r["vec_id"])
     assert sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_the_default_search_loses_few_neighbours(spark):
+    path = "/root/testdata/sf0.1"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+    ids, matrix = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = defaultdict(set)
+    for r in QUERIES["op9_nearest_neighbours"](spark, path).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = total = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        scores = matrix @ matrix[at]
+        scores[at] = -np.inf
+        want = set(ids[np.lexsort((ids, -scores))[:20]].tolist())
+        hits, total = hits + len(got[int(ids[at])] & want), total + len(want)
+    print("recall", hits / total)
+    assert hits >= 0.98 * total
