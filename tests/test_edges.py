@@ -475,3 +475,8 @@ def test_steps_are_written_below_one_folder_and_dropped_together(spark, tmp_path
     assert os.listdir(tmp_path / "tabulon") == [spark.sparkContext.applicationId]
     session.drop_scratch(spark)
     assert os.listdir(tmp_path / "tabulon") == []
+
+
+def test_mixtures_may_take_twenty_iterations(spark):
+    fits = {n: e.getMaxIter() for n, e in M.clustering_models().items() if n.startswith("gaussian_mixture")}
+    assert len(fits) == 3 and set(fits.values()) == {20}
