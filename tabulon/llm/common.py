@@ -15,6 +15,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabulon.session import materialize
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have yet (letter case aside), made from `name`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
     return materialize(df, f"llm-{name}")

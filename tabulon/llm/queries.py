@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabulon.llm import ann, embedding_dedup, licenses, line_dedup, ngram_join, packing, pii, quality, sentencepiece, toxicity
+from tabulon.llm import (
+    ann, embedding_dedup, licenses, line_dedup, ngram_join, packing, periodic_runs, pii, quality, sentencepiece, toxicity,
+)
 from tabulon.llm.common import id_remainder, labelled, stored
 from tabulon.operators.lookup import fits_broadcast
 from tabulon.plans.catalog import table
@@ -219,3 +221,32 @@ def op2(spark, sf):
     return found.select(
         "doc_id", "path", "license", "origin", F.round("cosine", 6).alias("cosine"), "line_no", "source_path"
     )
+
+
+#: The words of a text, its rank among the documents that get a repetition, and what that repeats.
+WORDS = "filter(split(coalesce(text, ''), '[ \\\\t-\\\\r]+'), w -> w <> '')"
+REPEATED = """CASE WHEN h % 10 = 0 AND n > 0 THEN array_join(concat(slice(words, 1, a),
+    slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) AS int))), 1, n - a)), ' ') ELSE text END"""
+
+
+def with_repetition(docs):
+    """`doc_id, text`: every tenth document, by the checksum of its id, repeats a part of its words to its end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, F.expr(WORDS))).withColumn("n", F.size("words"))
+    rows = rows.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("cast(g % nullif(n, 0) AS int)"))
+    rows = rows.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) AS int)"))
+    return rows.select("doc_id", F.expr(REPEATED).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf):
+    found = periodic_runs.with_runs(with_repetition(table(spark, sf, "documents")))
+    found = found.withColumn("best", F.expr(periodic_runs.LONGEST))
+    line = "concat(r.start, ',', r.length, ',', r.period, '\\n')"
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.expr(f"array_join(transform(runs, r -> {line}), '')").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
