@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tabulon.llm import (
-    ann, embedding_dedup, licenses, line_dedup, ngram_join, packing, periodic_runs, pii, quality, sentencepiece, toxicity,
+    ann, decontamination, embedding_dedup, licenses, line_dedup, ngram_join, packing, periodic_runs, pii, quality,
+    sentencepiece, toxicity,
 )
 from tabulon.llm.common import id_remainder, labelled, stored
 from tabulon.operators.lookup import fits_broadcast
@@ -250,3 +251,38 @@ def op13(spark, sf):
         F.sha2(F.expr(f"array_join(transform(runs, r -> {line}), '')").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+SHARED_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+    SELECT item, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+        lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM i WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (
+    SELECT r, size, unnest(range(1, len(w) - size + 2)) AS k FROM d JOIN sizes ON len(w) >= size),
+hits AS (
+    SELECT DISTINCT dw.r, dw.size, k, item FROM dw JOIN d USING (r)
+    JOIN iw ON iw.size = dw.size AND iw.g = array_to_string(w[k:k + dw.size - 1], ' ')),
+covered AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS at FROM hits) GROUP BY r),
+owners AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN owners USING (r)
+"""
+
+
+@query("op11_decontamination", SHARED_SQL)
+def op11(spark, sf):
+    found = decontamination.contamination(
+        table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
