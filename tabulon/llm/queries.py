@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tabulon.llm import (
-    ann, decontamination, embedding_dedup, licenses, line_dedup, ngram_join, packing, periodic_runs, pii, quality,
-    sentencepiece, toxicity,
+    ann, collocations, decontamination, embedding_dedup, licenses, line_dedup, ngram_join, packing, periodic_runs, pii,
+    quality, sentencepiece, toxicity,
 )
 from tabulon.llm.common import id_remainder, labelled, stored
 from tabulon.operators.lookup import fits_broadcast
@@ -269,7 +269,7 @@ dw AS (
 hits AS (
     SELECT DISTINCT dw.r, dw.size, k, item FROM dw JOIN d USING (r)
     JOIN iw ON iw.size = dw.size AND iw.g = array_to_string(w[k:k + dw.size - 1], ' ')),
-covered AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS at FROM hits) GROUP BY r),
+covered AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS place FROM hits) GROUP BY r),
 owners AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n, 0)::BIGINT AS n_items,
     sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
@@ -286,3 +286,44 @@ def op11(spark, sf):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM words),
+spelled AS (SELECT lang, w[k] AS x, w[k + 1] AS y, w[k + 2] AS z FROM places),
+f1 AS (SELECT lang, x, count(*) AS f FROM spelled GROUP BY ALL),
+f2 AS (SELECT lang, x, y, count(*) AS f FROM spelled WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, x, y, z, count(*) AS f FROM spelled WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+cuts AS (
+    SELECT p.lang, p.x || ' ' || p.y AS phrase, p.f AS a, 1 AS k, u.f AS l, v.f AS r
+    FROM f2 p JOIN f1 u ON u.lang = p.lang AND u.x = p.x JOIN f1 v ON v.lang = p.lang AND v.x = p.y
+    UNION ALL
+    SELECT p.lang, p.x || ' ' || p.y || ' ' || p.z, p.f, 1, u.f, v.f
+    FROM f3 p JOIN f1 u ON u.lang = p.lang AND u.x = p.x JOIN f2 v ON v.lang = p.lang AND v.x = p.y AND v.y = p.z
+    UNION ALL
+    SELECT p.lang, p.x || ' ' || p.y || ' ' || p.z, p.f, 2, u.f, v.f
+    FROM f3 p JOIN f2 u ON u.lang = p.lang AND u.x = p.x AND u.y = p.y JOIN f1 v ON v.lang = p.lang AND v.x = p.z),
+scored AS (
+    SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, phrase, max(f) AS longer FROM (
+        SELECT lang, x || ' ' || y AS phrase, f FROM f3 UNION ALL SELECT lang, y || ' ' || z, f FROM f3) GROUP BY ALL),
+kept AS (
+    SELECT s.lang, s.phrase, a, l, r, score
+    FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+    WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op12_collocations", PHRASE_SQL)
+def op12(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents").select("text", "lang"))
