@@ -6,7 +6,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from tabulon.operators.lookup import fits_broadcast
 from tabulon.operators.ordering import running_totals
+from tabulon.session import materialize
 
 # Metrics where smaller is better; all others are ranked descending.
 ASCENDING = ("rmse", "mae", "mape", "log_loss", "sse")
@@ -117,6 +119,48 @@ def cluster_metrics(pred: DataFrame, features: str = "features", cluster: str =
     ).select("cluster", "size", (spread * (F.col("size") - 1)).alias("sse"))
 
 
+def silhouette(pred: DataFrame, features: str = "features", cluster: str = "prediction") -> DataFrame:
+    """`cluster, size, silhouette`: the mean silhouette of each cluster's rows under squared distances.
+
+    The mean squared distance of x to a cluster of n rows with sum s and sum of squared norms q is
+    |x|^2 + q / n - 2 x.s / n, so no pairs are formed: one aggregation gives n, s and q of every cluster,
+    one more averages over the rows. Vectors are taken about the common mean, so that nothing
+    cancels. A row alone in its cluster has silhouette 0, and so has every row when there is one cluster. Rows
+    without a cluster or vector are left out.
+
+    The clusters' sums are held with every row; they have to stay below a broadcast's size.
+    """
+    kind = pred.schema[features].dataType
+    x = F.col(features).cast("array<double>") if isinstance(kind, T.ArrayType) else vector_to_array(features)
+    rows = pred.select(F.col(cluster).alias("cluster"), x.alias("x")).where("cluster IS NOT NULL AND x IS NOT NULL")
+    vector = array_to_vector("x")
+    middle = rows.agg(vector_to_array(Summarizer.mean(vector)).alias("m")).scalar()
+    rows = rows.withColumn("middle", middle).select("cluster", F.zip_with("x", "middle", lambda a, b: a - b).alias("x"))
+    square = F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v)
+    sums = materialize(
+        rows.groupBy("cluster").agg(
+            F.count("*").alias("n"), F.sum(square).alias("q"), vector_to_array(Summarizer.sum(vector)).alias("s")
+        ),
+        "cluster-sums",
+    )
+    if not fits_broadcast(sums):
+        raise ValueError("too many clusters to compare every row with each of them")
+    whole = sums.agg(F.collect_list(F.struct("cluster", "n", "q", "s")).alias("all"))
+    dot = lambda c: F.aggregate(F.zip_with("x", c["s"], lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    sum_to = lambda c: F.greatest(c["n"] * F.col("xx") + c["q"] - 2 * dot(c), F.lit(0.0))
+    near = F.transform("all", lambda c: F.struct(c["cluster"].alias("cluster"), c["n"].alias("n"), sum_to(c).alias("d")))
+    rows = rows.withColumn("xx", square).crossJoin(F.broadcast(whole)).select("cluster", near.alias("near"))
+    own = F.filter("near", lambda c: c["cluster"] == F.col("cluster"))[0]
+    others = F.filter("near", lambda c: c["cluster"] != F.col("cluster"))
+    rows = rows.select(
+        "cluster", own["n"].alias("n"), F.try_divide(own["d"], own["n"] - 1).alias("a"),
+        F.array_min(F.transform(others, lambda c: c["d"] / c["n"])).alias("b"),
+    )
+    alone = (F.col("n") == 1) | F.col("b").isNull() | (F.greatest("a", "b") == 0)
+    value = F.when(alone, 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
+    return rows.groupBy("cluster").agg(F.count("*").alias("size"), F.avg(value).alias("silhouette"))
+
+
 def leaderboard(results: DataFrame) -> DataFrame:
     """Rank candidates per task from `task, model, metric, value`; the name breaks ties.
 

@@ -7,6 +7,7 @@ library. What is collected to the driver is one number per candidate and metric.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -42,12 +43,15 @@ from tabulon.operators.metrics import (
     leaderboard,
     regression_metrics,
 )
+from tabulon.operators.side_by_side import side_by_side
 from tabulon.operators.splits import hash_bucket
 
 SEED = 42
 RESULT = "task string, model string, status string, reason string, metric string, value double"
 METRIC = {"classification": "accuracy", "regression": "rmse", "clustering": "silhouette"}
 FOLDS = 3
+#: Seconds a candidate may take, and how many are fitted at the same time.
+TIME_LIMIT, PARALLEL = 300.0, 4
 
 
 def detect_task(sessions: DataFrame, target_kinds: DataFrame) -> DataFrame:
@@ -182,8 +186,13 @@ def train_all(
     models: Mapping[str, Estimator],
     task: str,
     partitions: int | None = None,
+    limit: float | Mapping[str, float] = TIME_LIMIT,
+    parallel: int = PARALLEL,
 ) -> tuple[dict[str, Model], DataFrame]:
-    """Fit and evaluate every candidate; a failing one becomes a row with its reason.
+    """Fit and evaluate every candidate, several at once; a failing one becomes a row with its reason.
+
+    A candidate that takes more than `limit` seconds (one number, or one per name) is stopped and fails for that
+    reason, so one that hangs costs its limit and no more. Of a tuned candidate the best model counts.
 
     Returns the fitted models and `task, model, status, reason, metric, value`. Both inputs are
     kept for the repeated passes of iterative fitting and released afterwards. Give `partitions`
@@ -192,19 +201,25 @@ def train_all(
     if partitions:
         train, valid = train.repartition(partitions), valid.repartition(partitions)
     train, valid = train.persist(), valid.persist()
-    fitted, rows = {}, []
+
+    def fit(estimator: Estimator) -> tuple[Model, dict[str, float]]:
+        model = estimator.fit(train)
+        model = getattr(model, "bestModel", model)
+        return model, evaluate(task, model.transform(valid))
+
     try:
-        for name, estimator in models.items():
-            try:
-                model = estimator.fit(train)
-                for metric, value in evaluate(task, model.transform(valid)).items():
-                    rows.append((task, name, "success", None, metric, float(value)))
-                fitted[name] = model
-            except Exception as failure:
-                rows.append((task, name, "failed", str(failure).strip() or type(failure).__name__, None, None))
+        jobs = {name: partial(fit, estimator) for name, estimator in models.items()}
+        found = side_by_side(train.sparkSession, jobs, limit, parallel)
     finally:
         train.unpersist()
         valid.unpersist()
+    fitted, rows = {}, []
+    for name, result in found.items():
+        if isinstance(result, Exception):
+            rows.append((task, name, "failed", str(result).strip() or type(result).__name__, None, None))
+        else:
+            fitted[name], values = result
+            rows += [(task, name, "success", None, metric, float(value)) for metric, value in values.items()]
     return fitted, literal_rows(train.sparkSession, rows, RESULT)
 
 

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.columns import (
@@ -21,6 +18,8 @@ from tabulon.functions.columns import (
     present,
     union_all,
 )
+from tabulon.functions.tails import chi_square_tail
+from tabulon.operators.comoments import comoments, correlation_pairs, rank_pairs
 from tabulon.operators.lookup import lookup
 from tabulon.operators.quantiles import quantile_table
 from tabulon.session import materialize
@@ -422,36 +421,17 @@ def target_balance(df: DataFrame, target: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns over the rows where both are present."""
+    """Pearson correlation of every pair of numeric columns over the rows where both are present; one scan."""
     columns = list(columns or numeric_columns(df))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    values = df.select(*[number(df, c).alias(c) for c in columns])
-    frames = []
-    for part in chunks(pairs, 100):
-        flat = values.agg(*[F.corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        rows = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(part)
-        ]
-        frames.append(flat.select(F.inline(F.array(*rows))))
-    return union_all(frames)
+    return correlation_pairs(comoments(df, columns), columns).select("a", "b", "r")
 
 
 def wide_correlations(df: DataFrame, columns: Sequence[str], method: str = "spearman") -> DataFrame:
-    """Pairs as in `correlations`, by the library's matrix: for many columns, and for rank correlation.
-
-    Rows with a missing value are left out. The matrix has one cell per column pair.
-    """
+    """Pairs as in `correlations`, over the rows without a missing value: of ranks, or of values ("pearson")."""
+    if method == "spearman":
+        return rank_pairs(df, columns).select("a", "b", "r")
     complete = df.select(*[number(df, c).alias(c) for c in columns]).na.drop()
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(complete).select("v")
-    matrix = Correlation.corr(vectors, "v", method).first()[0].toArray()
-    pairs = [
-        (a, b, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if i < j
-    ]
-    return literal_rows(df.sparkSession, pairs, "a string, b string, r double")
+    return correlations(complete, columns)
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -487,6 +467,17 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def chi_square_test(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The test of independence of two columns: n, chi2, degrees of freedom and p-value, over rows with both.
+
+    With one level on a side there is nothing to test: no degrees, and no p-value.
+    """
+    degrees = ((F.col("levels_a") - 1) * (F.col("levels_b") - 1)).alias("degrees")
+    tested = cramers_v(df, a, b).select("n", "chi2", degrees, "cramers_v")
+    p = F.when(F.col("degrees") > 0, chi_square_tail(F.greatest("chi2", F.lit(0.0)), F.col("degrees")))
+    return tested.select("n", "chi2", "degrees", "cramers_v", p.alias("p_value"))
+
+
 def target_numeric(df: DataFrame, column: str, target: str) -> DataFrame:
     """Count, mean and std of a numeric column per class, with eta² (between / total variance)."""
     x = F.col("x")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,6 +18,7 @@ from tabulon.operators import models as M
 from tabulon.operators import profile as P
 from tabulon.operators import transforms as R
 from tabulon.operators.baselines import baseline, group_baseline
+from tabulon.operators.selection import FeatureSelector, FeatureSelectorModel
 from tabulon.operators.splits import hash_split
 from tabulon.plans.catalog import query, table
 from tabulon.plans.queries_features import case_split, in_train, train_of
@@ -468,6 +471,74 @@ def fault_isolation(spark, sf):
     return M.train_all(train, valid, models, "classification")[1].select("model", "status", "reason").distinct()
 
 
+class Endless(LogisticRegression):
+    """A candidate whose fitting starts a Spark job that does not end."""
+
+    def _fit(self, dataset):
+        def wait(batches):
+            for batch in batches:
+                time.sleep(3600)
+                yield batch
+
+        dataset.select("label").mapInPandas(wait, "label double").count()
+
+
+@query(
+    "time_limited_candidates",
+    """SELECT 'endless' AS model, 'failed' AS status, 'time limit of 3 s' AS reason UNION ALL SELECT 'broken', 'failed', 'cannot be fitted'
+    UNION ALL SELECT 'logistic_regression', 'success', NULL""",
+)
+def time_limited_candidates(spark, sf):
+    """A candidate that hangs is stopped and reported; the others are fitted meanwhile."""
+    train, valid = events_data(spark, sf)
+    models = {"endless": Endless(), "broken": Unfittable(), "logistic_regression": LogisticRegression(maxIter=5)}
+    limits = {"endless": 3, "broken": 300, "logistic_regression": 300}
+    return M.train_all(train, valid, models, "classification", limit=limits)[1].select("model", "status", "reason").distinct()
+
+
+#: Columns of `lineitem` to choose from, with one that only varies outside the training rows.
+CHOICE = {
+    "a_quantity": "cast(l_quantity AS double)",
+    "b_price": "l_extendedprice",
+    "c_copy": "2 * l_extendedprice + l_tax",
+    "d_late": "CASE WHEN l_linenumber > 0 AND {train} THEN 1.0 ELSE l_quantity END",
+    "e_missing": "CASE WHEN NOT ({train}) THEN l_tax END",
+    "f_tax": "l_tax",
+}
+
+
+@query(
+    "fitted_selection",
+    f"""WITH t AS (SELECT {', '.join(f"{v.format(train=in_train('l_orderkey'))} AS {k}" for k, v in CHOICE.items())}
+        FROM lineitem WHERE {in_train('l_orderkey')}),
+    p AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM t" for a in CHOICE for b in CHOICE if a < b)}),
+    v AS ({' UNION ALL '.join(f"""SELECT '{c}' AS "column", count({c}) AS n, count(DISTINCT {c}) AS kinds FROM t""" for c in CHOICE)}),
+    w AS (SELECT "column", CASE WHEN n = 0 THEN 'missing' WHEN kinds = 1 THEN 'constant' END AS why FROM v),
+    x AS (SELECT w."column", coalesce(why, 'duplicate of ' || (SELECT min(a) FROM p WHERE b = w."column" AND abs(r) > 0.95 AND NOT isnan(r))) AS reason FROM w)
+    SELECT "column", reason IS NULL AS selected, reason FROM x""",
+)
+def fitted_selection(spark, sf):
+    d = hash_split(table(spark, sf, "lineitem"), "l_orderkey").withColumn("in_train", F.col("split") == "train")
+    d = d.selectExpr("split", *[f"{v.format(train='in_train')} AS {k}" for k, v in CHOICE.items()])
+    path = scratch_path(spark, "selection")
+    FeatureSelector(inputCols=list(CHOICE)).fit(d.where("split = 'train'")).write().save(path)
+    return FeatureSelectorModel.load(path).report(spark)
+
+
+@query(
+    "cluster_silhouette",
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    d AS (SELECT a.vec_id, a.label, b.label AS other, count(*) AS n, sum(power(list_distance(a.v, b.v), 2)) AS s FROM e a, e b GROUP BY ALL),
+    p AS (SELECT vec_id, label, max(n) FILTER (other = label) AS n, max(s / nullif(n - 1, 0)) FILTER (other = label) AS a,
+        min(s / n) FILTER (other <> label) AS b FROM d GROUP BY ALL)
+    SELECT label AS cluster, count(*) AS size,
+        round(avg(CASE WHEN n = 1 OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+    FROM p GROUP BY label""",
+)
+def cluster_silhouette(spark, sf):
+    return rounded(X.silhouette(table(spark, sf, "embeddings"), "embedding", "label"))
+
+
 @query(
     "training_report",
     """SELECT 'ModelTrainingAgent' AS stage, 'success' AS pipeline_status, NULL::VARCHAR AS pipeline_status_reason,

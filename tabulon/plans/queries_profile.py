@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabulon.functions.columns import union_all
 from tabulon.operators import profile as P
 from tabulon.operators.quantiles import quantile_table
 from tabulon.plans.catalog import query, table
@@ -314,6 +315,71 @@ def rank_correlations(spark, sf):
     return rounded(P.wide_correlations(table(spark, sf, "part"), ["p_size", "p_retailprice", "p_partkey"]))
 
 
+#: Forty columns made from `lineitem`, each with gaps of its own.
+MANY = [
+    f"CASE WHEN (l_orderkey + {k}) % 11 > 0 THEN (l_partkey * {k + 1}) % {97 + k} + l_quantity * {k % 3} END" for k in range(40)
+]
+
+
+@query(
+    "correlations_wide",
+    f"WITH d AS (SELECT {', '.join(f'{sql} AS c{k:02}' for k, sql in enumerate(MANY))} FROM lineitem) "
+    + " UNION ALL ".join(
+        f"SELECT 'c{i:02}' AS a, 'c{j:02}' AS b, round(corr(c{i:02}, c{j:02}), 6) AS r FROM d"
+        for i in range(len(MANY)) for j in range(i + 1, len(MANY))
+    ),
+)
+def correlations_wide(spark, sf):
+    d = table(spark, sf, "lineitem").selectExpr(*[f"{sql} AS c{k:02}" for k, sql in enumerate(MANY)])
+    return rounded(P.correlations(d))
+
+
+#: A column with one value on half of all rows, one with few values, and one with gaps.
+TIED = {
+    "half": "CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_extendedprice END",
+    "few": "l_discount",
+    "gaps": "CASE WHEN l_orderkey % 7 > 0 THEN l_extendedprice + l_linenumber END",
+}
+
+
+@query(
+    "rank_correlations_tied",
+    f"""WITH d AS (SELECT * FROM (SELECT {', '.join(f'{v} AS {k}' for k, v in TIED.items())} FROM lineitem) WHERE gaps IS NOT NULL),
+    r AS (SELECT {', '.join(f"rank() OVER (ORDER BY {k}) + (count(*) OVER (PARTITION BY {k}) - 1) / 2.0::DOUBLE AS {k}" for k in TIED)} FROM d) """
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM r" for a, b in (("half", "few"), ("half", "gaps"), ("few", "gaps"))
+    ),
+)
+def rank_correlations_tied(spark, sf):
+    d = table(spark, sf, "lineitem").selectExpr(*[f"{v} AS {k}" for k, v in TIED.items()])
+    return rounded(P.wide_correlations(d, list(TIED)))
+
+
+def chi_square_sql(source: str, a: str, b: str) -> str:
+    """The test by its definition; the tail as the finite sum that holds for an even number of degrees."""
+    return f"""SELECT '{a}' AS a, '{b}' AS b, n::BIGINT AS n, round(chi2, 5) AS chi2, degrees,
+        round((SELECT sum(exp(-chi2 / 2 + j * ln(chi2 / 2) - lgamma(j + 1))) FROM range(0, degrees // 2) AS s(j)), 9) AS p_value
+        FROM (SELECT any_value(total) AS n, sum((o - e) * (o - e) / e) AS chi2,
+            ((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1))::BIGINT AS degrees FROM (
+            SELECT a, b, r * c / total::DOUBLE AS e, total, coalesce((SELECT count(*) FROM {source} WHERE {a} = a AND {b} = b), 0) AS o
+            FROM (SELECT {a} AS a, count(*) AS r FROM {source} GROUP BY 1), (SELECT {b} AS b, count(*) AS c FROM {source} GROUP BY 1),
+                (SELECT count(*) AS total FROM {source})))"""
+
+
+TESTED = [("lineitem", "l_returnflag", "l_linestatus"), ("orders", "o_orderstatus", "o_orderpriority"), ("customer", "c_mktsegment", "c_nationkey")]
+
+
+@query("chi_square_test", " UNION ALL ".join(f"SELECT * FROM ({chi_square_sql(*t)})" for t in TESTED))
+def chi_square_test(spark, sf):
+    frames = [
+        P.chi_square_test(table(spark, sf, source), a, b).select(
+            F.lit(a).alias("a"), F.lit(b).alias("b"), "n", F.round("chi2", 5).alias("chi2"), "degrees", F.round("p_value", 9).alias("p_value")
+        )
+        for source, a, b in TESTED
+    ]
+    return union_all(frames)
+
+
 @query(
     "cramers_v",
     """WITH o AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS o FROM lineitem GROUP BY 1, 2),

@@ -10,14 +10,16 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tabulon.functions import bounded, text as T
+from tabulon.functions.columns import union_all
 from tabulon.operators import profile as P
 from tabulon.operators import reports as D
 from tabulon.operators import sessions as S
+from tabulon.operators.dependencies import run_order
 from tabulon.operators.splits import hash_split
 from tabulon.plans.catalog import query, table
 from tabulon.plans.queries_features import case_split
 from tabulon.plans.run import run
-from tabulon.sources import readers, sinks
+from tabulon.sources import readers, sinks, store
 from tabulon.sources.workbooks import parse_workbooks
 from tabulon.session import scratch_path
 from tabulon.streaming.slots import folded_sessions, start_fold
@@ -171,6 +173,59 @@ def session_upsert(spark, sf):
     return sinks.upsert(old, new, ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
+@query(
+    "store_upsert",
+    """SELECT user_id, event_id, event_type, value FROM events WHERE ts IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+)
+def store_upsert(spark, sf):
+    """Events come in three updates, the last one twice; the store has each user's latest."""
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    path, merge = scratch_path(spark, "store"), store.latest_rows(["user_id"], ["ts", "event_id"])
+    updates = [e.where("event_id % 3 = 0"), e.where("event_id % 3 = 1"), e.where("event_id % 3 = 2")]
+    for number in (0, 1, 2, 2):
+        store.update_store(updates[number], path, ["user_id"], merge, number, buckets=16)
+    return store.read_store(spark, path).drop("ts")
+
+
+#: Every supplier's number is a stage that requires its half and its third; some require their double.
+REQUIRED = {"s_suppkey div 2": "s_suppkey >= 2", "s_suppkey div 3": "s_suppkey >= 3", "s_suppkey * 2": "s_suppkey % 100 = 6"}
+
+
+def required_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT s_suppkey AS stage, {v.replace('div', '//')} AS requires FROM supplier WHERE {when}" for v, when in REQUIRED.items()
+    ) + " UNION ALL SELECT s_suppkey, NULL FROM supplier"
+
+
+@query(
+    "dependency_order",
+    f"""WITH RECURSIVE edges AS (SELECT 's' || stage AS stage, 's' || requires AS requires FROM ({required_sql()})),
+    reach AS (SELECT stage, requires FROM edges WHERE requires IS NOT NULL
+        UNION SELECT r.stage, e.requires FROM reach r JOIN edges e ON e.stage = r.requires WHERE e.requires IS NOT NULL),
+    names AS (SELECT stage FROM edges UNION SELECT requires FROM edges WHERE requires IS NOT NULL),
+    known AS (SELECT n.stage, (SELECT count(*) FROM reach r WHERE r.stage = n.stage) AS size,
+        (SELECT min(r.requires) FROM reach r JOIN reach c ON c.stage = r.requires AND c.requires = r.requires WHERE r.stage = n.stage) AS knot
+        FROM names n),
+    asked AS (SELECT DISTINCT c_custkey AS session_id, 's' || stage AS stage FROM (
+        SELECT c_custkey, unnest([c_custkey % 90 + 1, c_nationkey, c_custkey % 7 * 1000]) AS stage FROM customer)),
+    need AS (SELECT session_id, stage FROM asked JOIN known USING (stage) WHERE knot IS NULL
+        UNION SELECT a.session_id, r.requires FROM asked a JOIN known k ON k.stage = a.stage AND knot IS NULL JOIN reach r ON r.stage = a.stage)
+    SELECT session_id, stage, row_number() OVER (PARTITION BY session_id ORDER BY size, stage) AS position, NULL::VARCHAR AS reason
+    FROM need JOIN known USING (stage)
+    UNION ALL SELECT session_id, stage, NULL, CASE WHEN known.stage IS NULL THEN 'unknown stage' ELSE 'requires itself: ' || knot END
+    FROM asked LEFT JOIN known USING (stage) WHERE known.stage IS NULL OR knot IS NOT NULL""",
+)
+def dependency_order(spark, sf):
+    s = table(spark, sf, "supplier")
+    label = lambda c: F.concat(F.lit("s"), F.expr(c).cast("string"))
+    edges = [s.where(when).select(label("s_suppkey").alias("stage"), label(v).alias("requires")) for v, when in REQUIRED.items()]
+    edges.append(s.select(label("s_suppkey").alias("stage"), F.lit(None).cast("string").alias("requires")))
+    asked = F.explode(F.expr("array(c_custkey % 90 + 1, c_nationkey, c_custkey % 7 * 1000)"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("session_id"), asked.alias("stage"))
+    return run_order(c.select("session_id", label("stage").alias("stage")), union_all(edges))
+
+
 # Stage requests per customer: every spelling and combination the rules distinguish.
 REQUESTS = {
     "AUTOMOBILE": ["FeatureEngineeringAgent"],
