@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulon.operators.lookup import lookup
+from tabulon.operators.lookup import fits_broadcast, lookup
 from tabulon.session import materialize
 
 # Fixed value: the reason of a failed report that gives none.
@@ -52,26 +52,41 @@ def artifact_claims(reports: DataFrame, report: str = "report", root: str = "out
     return paths.where(below).select(*keys, "path").distinct()
 
 
-def with_folders(files: DataFrame) -> DataFrame:
-    """`path`: the listed files and every folder above them, each once."""
-    parts = F.filter(F.split(normal_path(F.col("path")), "/"), lambda x: x != "")
-    above = F.transform(
+def folders_of(path: Column) -> Column:
+    """A path and every folder above it."""
+    parts = F.filter(F.split(normal_path(path), "/"), lambda x: x != "")
+    return F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))),
         lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")),
     )
-    return files.select("path").distinct().select(F.explode(above).alias("path")).distinct()
+
+
+def listed(claimed: DataFrame, files: DataFrame) -> DataFrame:
+    """Those of the distinct `claimed.path` that are in the listing, or a folder above something that is.
+
+    Claims whose measured size allows it are broadcast: every file then tests the folders above it where it
+    is read, and only what was claimed is shuffled. Otherwise the listing is first reduced to folders at
+    depths that are claimed, and each of those is kept once.
+    """
+    if fits_broadcast(claimed):
+        above = files.select(F.explode(folders_of(F.col("path"))).alias("path"))
+        return above.join(F.broadcast(claimed), "path", "left_semi").distinct()
+    depth = lambda c: F.size(F.split(c, "/"))
+    # As many rows as there are depths of paths.
+    depths = [r[0] for r in claimed.select(depth(F.col("path"))).distinct().collect()]
+    above = F.filter(folders_of(F.col("path")), lambda p: depth(p).isin(depths))
+    return claimed.join(files.select(F.explode(above).alias("path")).distinct(), "path", "left_semi")
 
 
 def missing_artifacts(claims: DataFrame, files: DataFrame) -> DataFrame:
     """The claims whose path is neither among `files.path` nor a folder above one of them.
 
-    The listing is reduced to the claimed paths first, and claims meet it by lookup, so that one
-    path claimed by very many reports does not become one task.
+    The claimed paths that exist come back to the claims by lookup, so that one path claimed by very many
+    reports does not become one task.
     """
     claims = materialize(claims, "claims")
-    claimed = claims.groupBy("path").agg(F.count("*").alias("_n"))
-    present = claimed.join(with_folders(files), "path", "left_semi")
-    out = lookup(claims, present.select("path", F.lit(True).alias("_there")), ["path"])
+    claimed = materialize(claims.select("path").distinct(), "claimed")
+    out = lookup(claims, listed(claimed, files).select("path", F.lit(True).alias("_there")), ["path"])
     return out.where(F.col("_there").isNull()).select(*claims.columns)
 
 

@@ -12,7 +12,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import literal_rows
+from tabulon.functions.columns import literal_rows, union_all
 from tabulon.operators import metrics as X
 from tabulon.operators import models as M
 from tabulon.operators import profile as P
@@ -471,6 +471,126 @@ def fault_isolation(spark, sf):
     return M.train_all(train, valid, models, "classification")[1].select("model", "status", "reason").distinct()
 
 
+def fitted(spark, train, valid, task, name):
+    """One of the built-in candidates, fitted and evaluated as in a run."""
+    return M.train_all(train, valid, {name: M.candidates(task, train)[name]}, task)[0][name]
+
+
+@query(
+    "naive_bayes_fit",
+    f"""WITH t AS (SELECT l_returnflag AS c, unnest(['l_quantity', 'l_linenumber', 'l_suppkey']) AS feature,
+        unnest([l_quantity::DOUBLE, l_linenumber, l_suppkey]) AS x FROM lineitem WHERE {in_train('l_orderkey')}),
+    s AS (SELECT c, feature, sum(x) AS s FROM t GROUP BY ALL),
+    n AS (SELECT l_returnflag AS c, count(*) AS n, sum(count(*)) OVER () AS total, count(*) OVER () AS classes
+        FROM lineitem WHERE {in_train('l_orderkey')} GROUP BY 1)
+    SELECT c AS label, feature, round(ln((s + 1) / (sum(s) OVER (PARTITION BY c) + 3)), 6) AS log_share,
+        round(ln((n + 1) / (total + classes)::DOUBLE), 6) AS log_prior FROM s JOIN n USING (c)""",
+)
+def naive_bayes_fit(spark, sf):
+    """The probabilities the naive Bayes candidate learns, against counts."""
+    features = ["l_quantity", "l_linenumber", "l_suppkey"]
+    d = hash_split(table(spark, sf, "lineitem"), "l_orderkey")
+    assembly = M.prepare(d, "l_returnflag", features, True)
+    ready = M.prepared(assembly, d, "l_returnflag").select("label", "features", "split")
+    model = fitted(spark, ready.where("split = 'train'"), ready.where("split <> 'train'"), "classification", "naive_bayes")
+    shares, prior = model.theta.toArray(), model.pi.toArray()
+    rows = [
+        (c, f, float(shares[i, j]), float(prior[i]))
+        for i, c in enumerate(assembly.stages[0].labels) for j, f in enumerate(features)
+    ]
+    return rounded(literal_rows(spark, rows, "label string, feature string, log_share double, log_prior double"))
+
+
+#: A ridge with weight w on a standardised feature shrinks the slope of least squares by 1 + w / std(label).
+LINE = f"""(SELECT regr_slope(l_extendedprice, l_quantity) / (1 + 0.1 / stddev_pop(l_extendedprice)) AS slope, avg(l_quantity) AS mx, avg(l_extendedprice) AS my
+    FROM lineitem WHERE {in_train('l_orderkey')})"""
+
+
+@query("ridge_fit", f"SELECT round(slope, 4) AS slope, round(my - slope * mx, 3) AS intercept FROM {LINE}")
+def ridge_fit(spark, sf):
+    train, valid = splits_of(spark, sf, "lineitem", "l_orderkey", "l_extendedprice", ["l_quantity"], False)
+    model = fitted(spark, train, valid, "regression", "ridge")
+    rows = [(round(float(model.coefficients[0]), 4), round(float(model.intercept), 3))]
+    return literal_rows(spark, rows, "slope double, intercept double")
+
+
+@query(
+    "stump_fit",
+    f"""WITH v AS (SELECT l_linenumber::DOUBLE AS x, count(*) AS n, sum(l_quantity) AS s FROM lineitem WHERE {in_train('l_orderkey')} GROUP BY 1),
+    c AS (SELECT x, lead(x) OVER (ORDER BY x) AS y, sum(n) OVER (ORDER BY x) AS n, sum(s) OVER (ORDER BY x) AS s,
+        sum(n) OVER () AS total, sum(s) OVER () AS whole FROM v),
+    g AS (SELECT (x + y) / 2 AS threshold, s / n AS below, (whole - s) / (total - n) AS above, s * s / n + (whole - s) * (whole - s) / (total - n) AS gain
+        FROM c WHERE y IS NOT NULL)
+    SELECT threshold, round(below, 6) AS below, round(above, 6) AS above FROM g ORDER BY gain DESC LIMIT 1""",
+)
+def stump_fit(spark, sf):
+    """The one cut of a tree of depth one, against the best of all cuts."""
+    train, valid = splits_of(spark, sf, "lineitem", "l_orderkey", "l_quantity", ["l_linenumber"], False)
+    tree = M.regression_models()["decision_tree"].copy()
+    model = M.train_all(train, valid, {"stump": tree.setMaxDepth(1)}, "regression")[0]["stump"]
+    node = model._call_java("rootNode")
+    row = (node.split().threshold(), node.leftChild().prediction(), node.rightChild().prediction())
+    return rounded(literal_rows(spark, [row], "threshold double, below double, above double"))
+
+
+@query(
+    "separated_clusters",
+    f"""SELECT count(*) AS size, round(avg(c_nationkey % 3 * 1000 + c_acctbal / 10000), 4) AS center
+    FROM customer WHERE {in_train('c_custkey')} GROUP BY c_nationkey % 3""",
+)
+def separated_clusters(spark, sf):
+    """Three groups far apart: each clustering candidate has to find them; the answer is k-means', if they agree."""
+    d = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 3 * 1000 + F.col("c_acctbal") / 10000).cast("double").alias("x"))
+    d = hash_split(d, "c_custkey")
+    ready = M.prepared(M.prepare(d, None, ["x"], False), d, None)
+    train, valid = ready.where("split = 'train'"), ready.where("split <> 'train'")
+    models, results = M.train_all(train, valid, {k: m for k, m in M.clustering_models((3,)).items() if k != "gaussian_mixture_3"}, "clustering")
+    worst = results.where("metric = 'silhouette'").agg(F.min("value")).first()[0]
+    found = models["kmeans_3"].transform(train).where(F.lit(worst > 0.99)).groupBy("prediction")
+    return found.agg(F.count("*").alias("size"), F.round(F.avg("x"), 4).alias("center")).drop("prediction")
+
+
+@query(
+    "tuned_choice",
+    """SELECT 0.0::DOUBLE AS weight, count(*) AS "rows", TRUE AS is_accurate FROM events WHERE value IS NOT NULL HAVING count(*) > 0""",
+)
+def tuned_choice(spark, sf):
+    """A label that follows from a feature: tuning must choose the weight that does not flatten the model."""
+    e = table(spark, sf, "events").where("value IS NOT NULL").select("event_id", "value", F.hour("ts").alias("hour"))
+    e = e.withColumn("label", (F.col("hour") >= 12).cast("double"))
+    ready = M.prepare(e, None, ["value", "hour"], False).transform(e)
+    lr = LogisticRegression(maxIter=50)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [1000.0, 0.0]).build()
+    best = M.train_all(ready, ready, {"tuned": M.tuned("classification", lr, grid)}, "classification")
+    accuracy = best[1].where("metric = 'accuracy'").first()["value"]
+    scored = best[0]["tuned"].transform(ready)
+    return scored.agg(
+        F.lit(float(best[0]["tuned"].getOrDefault("regParam"))).alias("weight"), F.count("*").alias("rows"),
+        F.lit(accuracy > 0.97).alias("is_accurate"),
+    )
+
+
+@query(
+    "telling_features",
+    """SELECT model, 'hour' AS feature FROM (VALUES ('decision_tree'), ('random_forest'), ('gradient_boosted_trees'), ('logistic_regression')) AS t(model),
+    (SELECT count(*) AS n FROM events) WHERE n > 0""",
+)
+def telling_features(spark, sf):
+    """The feature a label follows from has most of the importance in every candidate that has one."""
+    e = table(spark, sf, "events").select(
+        "event_id", F.coalesce("value", F.lit(0.0)).alias("value"), F.hour("ts").alias("hour"), (F.col("event_id") % 7).alias("noise")
+    ).withColumn("label", (F.col("hour") >= 12).cast("double"))
+    features = ["value", "hour", "noise"]
+    ready = M.prepare(e, None, features, False).transform(e)
+    models = {k: m for k, m in M.classification_models(2, False).items() if k != "linear_svc"}
+    found = []
+    for name, model in M.train_all(ready, ready, models, "classification")[0].items():
+        weights = M.importance(model, features, spark)
+        top = weights.orderBy(F.desc("importance")).limit(1)
+        found.append(top.select(F.lit(name).alias("model"), "feature"))
+    return union_all(found)
+
+
 class Endless(LogisticRegression):
     """A candidate whose fitting starts a Spark job that does not end."""
 

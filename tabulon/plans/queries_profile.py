@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import union_all
-from tabulon.operators import profile as P
+from tabulon.operators import profile as P, sketches
 from tabulon.operators.quantiles import quantile_table
 from tabulon.plans.catalog import query, table
+from tabulon.session import scratch_path
 
 LINEITEM = {
     "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int",
@@ -315,6 +316,45 @@ def rank_correlations(spark, sf):
     return rounded(P.wide_correlations(table(spark, sf, "part"), ["p_size", "p_retailprice", "p_partkey"]))
 
 
+SKETCHED = ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"]
+
+
+@query(
+    "stored_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS "rows", count(*) - count({c}) AS missing, round(avg({c}), 5) AS mean,
+        round(stddev_samp({c}), 5) AS std, CAST(min({c}) AS DOUBLE) AS "min", CAST(max({c}) AS DOUBLE) AS "max",
+        TRUE AS distinct_near, TRUE AS quartiles_near FROM (SELECT * REPLACE (CASE WHEN l_orderkey % 9 > 0 THEN l_discount END AS l_discount) FROM lineitem)"""
+        for c in SKETCHED
+    ),
+)
+def stored_profile(spark, sf):
+    """States of three deliveries, one of them written twice, against the whole table.
+
+    Distinct counts have to be within 5 % of the exact ones, and the share of values up to a quartile within 2 % (and
+    the values equal to it) of what it should be.
+    """
+    d = table(spark, sf, "lineitem").select("l_orderkey", *SKETCHED)
+    d = d.withColumn("l_discount", F.when(F.col("l_orderkey") % 9 > 0, F.col("l_discount")))
+    path = scratch_path(spark, "states")
+    for part in (0, 1, 2, 1):
+        sketches.write_part(d.where(F.col("l_orderkey") % 3 == part), path, str(part), SKETCHED)
+    found = sketches.stored_profile(spark, path)
+    quartile = {r["column"]: r for r in found.collect()}  # one row per column
+    checks = []
+    for c in SKETCHED:
+        q = quartile[c]
+        x = F.col(c).cast("double")
+        near = [
+            F.avg((x < q[f"q{n}"]).cast("double")).between(-1, n / 100 + 0.02) & F.avg((x <= q[f"q{n}"]).cast("double")).between(n / 100 - 0.02, 2)
+            for n in (25, 50, 75)
+        ]
+        few = F.abs(F.count_distinct(x) - q["distinct_count"]) <= 0.05 * q["distinct_count"]
+        checks.append(d.agg(F.lit(c).alias("column"), few.alias("distinct_near"), (near[0] & near[1] & near[2]).alias("quartiles_near")))
+    out = found.join(union_all(checks), "column")
+    return rounded(out.select("column", "rows", "missing", "mean", "std", "min", "max", "distinct_near", "quartiles_near"), 5)
+
+
 #: Forty columns made from `lineitem`, each with gaps of its own.
 MANY = [
     f"CASE WHEN (l_orderkey + {k}) % 11 > 0 THEN (l_partkey * {k + 1}) % {97 + k} + l_quantity * {k % 3} END" for k in range(40)

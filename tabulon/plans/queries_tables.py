@@ -100,6 +100,63 @@ def excel_scan(spark, sf):
     return parse_workbooks(customer.mapInPandas(books, "path string, content binary"), customer.schema)
 
 
+def typed_workbook(frame: pd.DataFrame) -> bytes:
+    """A workbook with cells of their type: texts as shared strings, dates as styled numbers, booleans."""
+    ns = "http://schemas.openxmlformats.org"
+    words: dict[str, int] = {}
+
+    def cell(v) -> str:
+        if pd.isna(v):
+            return "<c/>"
+        if isinstance(v, str):
+            return f'<c t="s"><v>{words.setdefault(v, len(words))}</v></c>'
+        if isinstance(v, bool):
+            return f'<c t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, pd.Timestamp):
+            return f'<c s="1"><v>{(v - pd.Timestamp(1899, 12, 30)).total_seconds() / 86400!r}</v></c>'
+        return f"<c><v>{v!r}</v></c>"
+
+    rows = [frame.columns, *zip(*[frame[c].tolist() for c in frame])]
+    sheet = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(
+            "xl/workbook.xml",
+            f'<workbook xmlns="{ns}/spreadsheetml/2006/main" xmlns:r="{ns}/officeDocument/2006/relationships">'
+            '<sheets><sheet name="data" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        )
+        z.writestr(
+            "xl/_rels/workbook.xml.rels",
+            f'<Relationships xmlns="{ns}/package/2006/relationships">'
+            '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        )
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{ns}/spreadsheetml/2006/main"><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+        texts = "".join(f'<si><t xml:space="preserve">{escape(w)}</t></si>' for w in words)
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}/spreadsheetml/2006/main">{texts}</sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}/spreadsheetml/2006/main"><sheetData>{sheet}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+@query(
+    "excel_typed_scan",
+    """SELECT o_orderkey, o_orderpriority, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderstatus = 'O' AS is_open,
+    CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END AS o_custkey FROM orders""",
+)
+def excel_typed_scan(spark, sf):
+    """Workbooks of 10,000 orders each, with numbers, dates, booleans, texts and gaps; types come from the cells."""
+
+    def books(batches):
+        for i, batch in enumerate(batches):
+            yield pd.DataFrame({"path": [f"book-{i}.xlsx"], "content": [typed_workbook(batch)]})
+
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderpriority", "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"),
+        (F.col("o_orderstatus") == "O").alias("is_open"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey")).cast("string").cast("double").alias("o_custkey"),
+    )
+    found = parse_workbooks(rows.mapInPandas(books, "path string, content binary"))
+    return day_text(found.withColumn("o_custkey", F.col("o_custkey").cast("long")))
+
+
 @query(
     "text_scan",
     """SELECT length(line) AS line_length, count(*) AS "lines" FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -112,12 +169,16 @@ def text_scan(spark, sf):
     return lines.groupBy(F.length("value").cast("long").alias("line_length")).agg(F.count("*").alias("lines"))
 
 
-@query("image_listing", "SELECT n_nationkey, CAST(strlen(n_name) + 1 AS BIGINT) AS length FROM nation")
+@query(
+    "image_listing",
+    """SELECT doc_id // 50 AS bucket, CAST(sum(strlen(coalesce(source, '')) + 1) AS BIGINT) AS length FROM documents GROUP BY 1""",
+)
 def image_listing(spark, sf):
-    """File listing as used for image datasets, over one file written for each nation."""
+    """File listing as used for image datasets, over one file written for every fifty documents."""
     path = scratch_path(spark, "images")
-    table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("value")).write.partitionBy("n_nationkey").text(path)
-    key = F.regexp_extract("path", "n_nationkey=([0-9]+)/", 1).cast("int").alias("n_nationkey")
+    rows = table(spark, sf, "documents").select(F.expr("doc_id div 50").alias("bucket"), F.coalesce("source", F.lit("")).alias("value"))
+    rows.repartition("bucket").write.partitionBy("bucket").text(path)
+    key = F.regexp_extract("path", "bucket=([0-9]+)/", 1).cast("long").alias("bucket")
     return readers.read_table(spark, path, "images").select(key, "length")
 
 

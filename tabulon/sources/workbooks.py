@@ -1,10 +1,17 @@
-"""Excel workbooks: one task parses one workbook, from bytes Spark has read."""
+"""Excel workbooks, from bytes Spark has read: one task cuts a sheet into parts, many parse them.
+
+Cutting unpacks the sheet and looks for ends of rows; a part is a small sheet of its own, with the rows
+it has, the shared strings those rows refer to, and what is needed to read dates. Parsing the cells, which
+is most of the work, is thereby spread over as many tasks as there are parts, also for one large workbook.
+"""
 
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
@@ -12,6 +19,12 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tabulon.session import materialize
+
+#: Bytes of sheet a part has, about.
+PART_BYTES = 1 << 20
+PART = "path string, head string, xml binary, strings string, styles string, is_first boolean"
+
 # Namespaces of the spreadsheet format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -47,47 +60,118 @@ def _date_styles(book: zipfile.ZipFile) -> list[bool]:
     return [own.get(i, i in DATE_FORMATS) for i in ids]
 
 
-def first_sheet(content: bytes) -> Iterator[dict[int, tuple[str, str]]]:
-    """Rows of the first sheet as column number -> (kind, text); missing cells and errors are absent.
+#: A cell that refers to a shared string, up to the string's number.
+_REFERENCE = re.compile(
+    rb"""\bt=["']s["'][^>]*>\s*(?:<(?:\w+:)?f\b[^>]*/>|<(?:\w+:)?f\b.*?</(?:\w+:)?f>)?\s*<(?:\w+:)?v[^>]*>\s*(\d+)""", re.DOTALL
+)
+_ROWS_BEGIN = re.compile(rb"<(\w+:)?sheetData\b[^>]*?(/?)>")
 
-    Kinds are text, number, date and bool. Dates are written as in SQL.
-    """
-    book = zipfile.ZipFile(io.BytesIO(content))
-    shared = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        shared = [_plain(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+
+def _open_sheet(book: zipfile.ZipFile):
+    """The stream of the first sheet, and whether the workbook counts days from 1904."""
     root = ElementTree.fromstring(book.read("xl/workbook.xml"))
     options = root.find(f"{MAIN}workbookPr")
-    zero = DAY_ZERO_1904 if options is not None and options.get("date1904") in ("1", "true") else DAY_ZERO
-    dates = _date_styles(book)
     sheet = root.find(f"{MAIN}sheets")[0]
     links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
     target = next(r.get("Target") for r in links if r.get("Id") == sheet.get(RELATION))
     name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-    with book.open(name) as stream:
-        for _, node in ElementTree.iterparse(stream):
-            if node.tag != f"{MAIN}row":
+    return book.open(name), options is not None and options.get("date1904") in ("1", "true")
+
+
+def _row_blocks(stream, size: int) -> Iterator[bytes]:
+    """The sheet as complete small sheets of about `size` bytes each, at least one."""
+    data = stream.read(size)
+    while not (begin := _ROWS_BEGIN.search(data)) and (more := stream.read(size)):
+        data += more
+    # Other encodings, and markup in which an end of a row could be text, are left in one piece.
+    if not begin or begin[2] or data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        yield data + stream.read()
+        return
+    prefix = begin[1] or b""
+    root = re.search(rb"<([\w:]+)", data)[1]
+    opening, closing = data[: begin.end()], b"</%ssheetData></%s>" % (prefix, root)
+    row_end, rows_end = b"</%srow>" % prefix, b"</%ssheetData>" % prefix
+    rest = data[begin.end() :]
+    whole = b"<![CDATA[" in rest or b"<!--" in rest
+    while more := stream.read(size):
+        whole = whole or b"<![CDATA[" in more or b"<!--" in more
+        rest += more
+        cut = rest.rfind(row_end)
+        if not whole and cut >= 0 and rows_end not in rest:
+            yield opening + rest[: cut + len(row_end)] + closing
+            rest = rest[cut + len(row_end) :]
+    yield opening + rest
+
+
+def sheet_parts(content: bytes, size: int = PART_BYTES) -> Iterator[tuple[str, bytes, str, str, bool]]:
+    """`head, xml, strings, styles, is_first` of the parts of the first sheet, ready to be parsed anywhere."""
+    book = zipfile.ZipFile(io.BytesIO(content))
+    shared = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        shared = [_plain(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+    stream, from_1904 = _open_sheet(book)
+    styles, head = json.dumps([_date_styles(book), from_1904]), None
+    with stream:
+        for block in _row_blocks(stream, size):
+            used = {int(x) for x in _REFERENCE.findall(block)}
+            strings = json.dumps({i: shared[i] for i in used})
+            first = head is None
+            if first:
+                head = json.dumps(next(_rows(block, strings, styles), {}))
+            yield head, zlib.compress(block, 1), strings, styles, first
+
+
+def _rows(block: bytes, strings: str, styles: str) -> Iterator[dict[int, tuple[str, str]]]:
+    """Rows as column number -> (kind, text); missing cells and errors are absent.
+
+    Kinds are text, number, date and bool. Dates are written as in SQL.
+    """
+    shared, (dates, from_1904) = json.loads(strings), json.loads(styles)
+    zero = DAY_ZERO_1904 if from_1904 else DAY_ZERO
+    for _, node in ElementTree.iterparse(io.BytesIO(block)):
+        if node.tag != f"{MAIN}row":
+            continue
+        row = {}
+        for i, cell in enumerate(node.findall(f"{MAIN}c")):
+            at = _column_number(cell.get("r")) if cell.get("r") else i
+            value, kind = cell.find(f"{MAIN}v"), cell.get("t", "n")
+            style = int(cell.get("s", -1))
+            if kind == "inlineStr":
+                row[at] = ("text", _plain(cell))
+            elif value is None or value.text is None or kind == "e":
                 continue
-            row = {}
-            for i, cell in enumerate(node.findall(f"{MAIN}c")):
-                at = _column_number(cell.get("r")) if cell.get("r") else i
-                value, kind = cell.find(f"{MAIN}v"), cell.get("t", "n")
-                style = int(cell.get("s", -1))
-                if kind == "inlineStr":
-                    row[at] = ("text", _plain(cell))
-                elif value is None or value.text is None or kind == "e":
-                    continue
-                elif kind == "s":
-                    row[at] = ("text", shared[int(value.text)])
-                elif kind == "b":
-                    row[at] = ("bool", "true" if value.text == "1" else "false")
-                elif kind == "n" and 0 <= style < len(dates) and dates[style]:
-                    moment = zero + timedelta(seconds=round(float(value.text) * 86400))
-                    row[at] = ("date", moment.isoformat(" "))
-                else:
-                    row[at] = ("number" if kind == "n" else "text", value.text)
-            node.clear()
-            yield row
+            elif kind == "s":
+                row[at] = ("text", shared[value.text.strip()])
+            elif kind == "b":
+                row[at] = ("bool", "true" if value.text == "1" else "false")
+            elif kind == "n" and 0 <= style < len(dates) and dates[style]:
+                moment = zero + timedelta(seconds=round(float(value.text) * 86400))
+                row[at] = ("date", moment.isoformat(" "))
+            else:
+                row[at] = ("number" if kind == "n" else "text", value.text)
+        node.clear()
+        yield row
+
+
+def part_rows(xml: bytes, strings: str, styles: str, is_first: bool) -> Iterator[dict[int, tuple[str, str]]]:
+    """The rows of a part, without the header."""
+    rows = _rows(zlib.decompress(xml), strings, styles)
+    if is_first:
+        next(rows, None)
+    return rows
+
+
+def cut_workbooks(books: DataFrame) -> DataFrame:
+    """The parts of all workbooks in `books` (`path, content`), dealt out anew."""
+
+    def cut(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                for part in sheet_parts(bytes(content)):
+                    yield pd.DataFrame([(path, *part)], columns=["path", "head", "xml", "strings", "styles", "is_first"])
+
+    tasks = int(books.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return books.select("path", "content").mapInPandas(cut, PART).repartition(tasks)
 
 
 def header_of(row: dict[int, tuple[str, str]], width: int) -> list[str]:
@@ -102,33 +186,36 @@ def header_of(row: dict[int, tuple[str, str]], width: int) -> list[str]:
     return out
 
 
-def _columns(books: DataFrame) -> DataFrame:
-    """`path, at, name, kind`: the kinds of cells in each column of each workbook."""
+def _head(text: str) -> dict[int, tuple[str, str]]:
+    return {int(at): tuple(cell) for at, cell in json.loads(text).items()}
+
+
+def _columns(parts: DataFrame) -> DataFrame:
+    """`path, at, name, kind`: the kinds of cells in each column of each part."""
 
     def find(batches):
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows = first_sheet(bytes(content))
-                head, kinds = next(rows, {}), {}
-                for row in rows:
+            for r in batch.itertuples(index=False):
+                head, kinds = _head(r.head), {}
+                for row in part_rows(r.xml, r.strings, r.styles, r.is_first):
                     for at, (kind, text) in row.items():
                         whole = kind == "number" and re.fullmatch(r"-?[0-9]{1,18}(\.0*)?", text)
                         kinds.setdefault(at, set()).add("whole" if whole else kind)
                 width = max([*head, *kinds], default=-1) + 1
-                found = [(path, i, n, k) for i, n in enumerate(header_of(head, width)) for k in kinds.get(i, {"none"})]
+                found = [(r.path, i, n, k) for i, n in enumerate(header_of(head, width)) for k in kinds.get(i, {"none"})]
                 yield pd.DataFrame(found, columns=["path", "at", "name", "kind"])
 
-    return books.select("path", "content").mapInPandas(find, "path string, at int, name string, kind string")
+    return parts.mapInPandas(find, "path string, at int, name string, kind string")
 
 
-def infer_schema(books: DataFrame) -> T.StructType:
-    """All columns of all workbooks, in order of first appearance, typed by their cells.
+def infer_schema(parts: DataFrame) -> T.StructType:
+    """All columns of all workbooks, given as parts, in order of first appearance, typed by their cells.
 
     Only numbers give long or double, only dates timestamp, only booleans boolean; anything else is
     text. One row per column reaches the driver.
     """
     found = (
-        _columns(books).groupBy("name")
+        _columns(parts).groupBy("name")
         .agg(F.min(F.struct("path", "at")).alias("first"), F.collect_set("kind").alias("kinds"))
         .orderBy("first").collect()
     )
@@ -148,32 +235,29 @@ def infer_schema(books: DataFrame) -> T.StructType:
 def parse_workbooks(books: DataFrame, schema: T.StructType | str | None = None) -> DataFrame:
     """Rows of the first sheet of every workbook in `books` (`path, content`).
 
-    Cells are matched to the schema by header name; without a schema, `infer_schema` gives it.
+    Cells are matched to the schema by header name; without a schema, `infer_schema` gives it. The workbooks
+    are opened once either way.
     """
+    parts = cut_workbooks(books)
     if schema is None:
-        schema = infer_schema(books)
+        parts = materialize(parts, "workbooks")
+        schema = infer_schema(parts)
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     names = [f.name for f in schema.fields]
 
     def parse(batches):
         for batch in batches:
-            for content in batch["content"]:
-                rows = first_sheet(bytes(content))
-                head = next(rows, {})
+            for r in batch.itertuples(index=False):
+                head = _head(r.head)
                 # Cells to the right of the header belong to blank headers.
                 last = max([*head, *(int(n[7:]) for n in names if re.fullmatch("column_[0-9]+", n))], default=-1)
                 header = {name: i for i, name in enumerate(header_of(head, last + 1))}
                 at = [header.get(n, -1) for n in names]
-                block = []
-                for row in rows:
-                    block.append([row[i][1] if i in row else None for i in at])
-                    if len(block) == 10_000:
-                        yield pd.DataFrame(block, columns=names)
-                        block = []
+                block = [[row[i][1] if i in row else None for i in at] for row in part_rows(r.xml, r.strings, r.styles, r.is_first)]
                 yield pd.DataFrame(block, columns=names, dtype=object)
 
-    texts = books.select("content").mapInPandas(parse, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    texts = parts.mapInPandas(parse, T.StructType([T.StructField(n, T.StringType()) for n in names]))
     return texts.select(*[_typed(f).alias(f.name) for f in schema.fields])
 
 

@@ -1,5 +1,6 @@
 """Co-moments, tails, silhouettes, keyed stores, dependencies, time limits and fitted selection."""
 
+import io
 import math
 import os
 import random
@@ -19,13 +20,13 @@ from tabulon.operators import comoments as C
 from tabulon.operators import metrics as X
 from tabulon.operators import models as M
 from tabulon.operators import profile as P
-from tabulon.operators import sessions as S
+from tabulon.operators import reports, sessions as S, sketches
 from tabulon.operators.dependencies import closure, run_order
 from tabulon.operators.selection import FeatureSelector, FeatureSelectorModel
 from tabulon.operators.side_by_side import side_by_side
-from tabulon.plans.queries_tables import turn_slots
+from tabulon.plans.queries_tables import turn_slots, typed_workbook
 from tabulon.plans.run import Options, run
-from tabulon.sources import store
+from tabulon.sources import store, workbooks
 from tabulon.streaming.slots import folded_sessions, start_fold
 
 
@@ -296,3 +297,65 @@ def test_a_run_takes_candidates_grids_and_steps_of_the_caller(spark, tmp_path):
     assert "x" in report["dropped_features"] and "gap" in report["selected_features"] and "copy" in report["selected_features"]
     scored = M.score(M.load_pipeline(str(tmp_path / "out" / "transformers")).transform(rows), results.model_path)
     assert scored.count() == 600 and "prediction" in scored.columns
+
+
+def test_a_large_workbook_is_parsed_by_many_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    frame = pd.DataFrame({
+        "n": range(30_000), "t": [rng.choice(["a", "b & <c>", "</row>", "é\n", " x "]) for _ in range(30_000)],
+        "d": [pd.Timestamp(2020, 1, 1) + pd.Timedelta(hours=i) for i in range(30_000)], "b": [i % 3 == 0 for i in range(30_000)],
+    })
+    content = typed_workbook(frame)
+    parts = list(workbooks.sheet_parts(content, 200_000))
+    assert len(parts) > 5 and [p[4] for p in parts] == [True] + [False] * (len(parts) - 1)
+    books = spark.createDataFrame([("one.xlsx", content)], "path string, content binary")
+    got = workbooks.parse_workbooks(books)
+    assert [f.simpleString() for f in got.schema] == ["n:bigint", "t:string", "d:timestamp_ntz", "b:boolean"]
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    rows = [(r.n, r.t, r.d.to_pydatetime(), r.b) for r in frame.itertuples(index=False)]
+    want = spark.createDataFrame(rows, "n long, t string, d timestamp_ntz, b boolean")
+    assert got.exceptAll(want).count() == 0 and got.count() == 30_000
+
+
+def test_sheets_that_cannot_be_cut_are_read_whole():
+    rows = "".join(f"<x:row><x:c><x:v>{i}</x:v></x:c></x:row>" for i in range(500))
+    plain = f'<?xml version="1.0"?><x:worksheet xmlns:x="{workbooks.MAIN[1:-1]}"><x:cols/><x:sheetData>{rows}</x:sheetData><x:z/></x:worksheet>'
+    blocks = list(workbooks._row_blocks(io.BytesIO(plain.encode()), 1000))
+    assert len(blocks) > 10
+    assert [r[0][1] for b in blocks for r in workbooks._rows(b, "{}", "[[], false]")] == [str(i) for i in range(500)]
+    odd = plain.replace("<x:v>499</x:v>", "<x:v><![CDATA[</x:row>]]></x:v>").replace("<x:cols/>", "")
+    blocks = list(workbooks._row_blocks(io.BytesIO(odd.encode()), 30_000))
+    assert sum(1 for b in blocks for _ in workbooks._rows(b, "{}", "[[], false]")) == 500
+    wide = plain.encode("utf-16")
+    assert list(workbooks._row_blocks(io.BytesIO(wide), 1000)) == [wide]
+    empty = plain.replace(f"<x:sheetData>{rows}</x:sheetData>", "<x:sheetData/>").encode()
+    assert [r for b in workbooks._row_blocks(io.BytesIO(empty), 100) for r in workbooks._rows(b, "{}", "[[], false]")] == []
+
+
+def test_listing_is_tested_in_place_or_reduced_by_depth(spark, monkeypatch):
+    files = spark.createDataFrame([(p,) for p in ("/a/b/c.txt", "/a//x/./y", "/q/r/s/t/u", "/a/b/d.txt", "/")], "path string")
+    claimed = spark.createDataFrame([(p,) for p in ("/a/b", "/a/b/c.txt", "/a/c", "/a/x/y", "/q/r/s/t", "/q/r/s/t/u/v")], "path string")
+    want = ["/a/b", "/a/b/c.txt", "/a/x/y", "/q/r/s/t"]
+    assert sorted(r[0] for r in reports.listed(claimed, files).collect()) == want
+    monkeypatch.setattr(reports, "fits_broadcast", lambda *_: False)
+    assert sorted(r[0] for r in reports.listed(claimed, files).collect()) == want
+    assert reports.listed(claimed.where("path = ''"), files).count() == 0
+
+
+def test_states_of_parts_with_gaps_and_empty_parts(spark, tmp_path):
+    path = str(tmp_path / "states")
+    rows = spark.range(3000).select(
+        (F.col("id") * 1.0).alias("x"), F.when(F.col("id") >= 2000, F.col("id")).alias("late"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") % 2 == 0, float("nan")).otherwise(1e9 + F.col("id")).alias("far"),
+    )
+    for part, when in (("a", "x < 1000"), ("b", "x >= 1000 AND x < 2000"), ("c", "x >= 2000"), ("empty", "x < 0"), ("b", "x >= 1000 AND x < 2000")):
+        sketches.write_part(rows.where(when), path, part)
+    got = {r["column"]: r for r in sketches.stored_profile(spark, path).collect()}
+    assert {c: (r["rows"], r["missing"]) for c, r in got.items()} == {"x": (3000, 0), "late": (3000, 2000), "none": (3000, 3000), "far": (3000, 1500)}
+    assert (got["x"]["min"], got["x"]["max"], got["x"]["mean"]) == (0.0, 2999.0, 1499.5)
+    assert abs(got["far"]["std"] - np.std(np.arange(1, 3000, 2), ddof=1)) < 1e-3 and abs(got["x"]["std"] - np.std(np.arange(3000), ddof=1)) < 1e-9
+    assert got["none"]["q50"] is None and got["none"]["mean"] is None and got["none"]["distinct_count"] == 0
+    assert all(abs(got["x"][f"q{q}"] - 30 * q) < 3000 * 0.015 for q in (25, 50, 75)) and abs(got["x"]["distinct_count"] - 3000) < 150
+    states = sketches.merge_states(sketches.column_states(rows.where("x < 1500")).unionByName(sketches.column_states(rows.where("x >= 1500"))))
+    ranks = {r["column"]: r["rank"] for r in sketches.rank_of(states, F.lit(1500.0)).collect()}
+    assert abs(ranks["x"] - 0.5) < 0.015 and ranks["none"] is None
