@@ -31,7 +31,7 @@ def op1(spark, sf):
     """Ids of every text, and whether they decode to it."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = sentencepiece.decode_ids(sentencepiece.encode_texts(docs, path), path)
+    coded = sentencepiece.encode_and_decode(docs, path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

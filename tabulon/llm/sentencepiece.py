@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from tabulon.llm.common import Memory, packed
+from tabulon.llm.common import Memory, packed, slices
 
 #: Bytes of a column that are converted at once.
 SLICE_BYTES = 4 << 20
@@ -140,33 +140,29 @@ def piece_model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def _mapped(df: DataFrame, column: str, added: str, kind: str, convert) -> DataFrame:
-    """`df` with a column converted by `convert`, which maps an Arrow array to an Arrow array.
+def _mapped(df: DataFrame, steps: list[tuple[str, str, str, Callable[[pa.Array], pa.Array]]]) -> DataFrame:
+    """`df` with a column `added` for each step (column, added, kind, convert), which maps one Arrow array to another.
 
-    Batches are cut into slices of at most `SLICE_BYTES` bytes of the column (or one row), so that the
-    results of a batch of long texts are never held together.
+    A step may use what an earlier one added; all steps are done in one pass. Batches are cut into slices of at
+    most `SLICE_BYTES` bytes of the first column (or one row), so that the results of a batch of long texts are
+    never held together.
     """
-    kept = [c for c in df.columns if c != added]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(added, T._parse_datatype_string(kind))])
+    kept = [c for c in df.columns if c not in {added for _, added, _, _ in steps}]
+    made = [T.StructField(added, T._parse_datatype_string(kind)) for _, added, kind, _ in steps]
+    schema = T.StructType([*(df.schema[c] for c in kept), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(column)
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.column(at).nbytes, 1))
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                arrays = [part.column(part.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*arrays, convert(part.column(at))], names=[*kept, added])
+            for part in slices(batch, steps[0][0], SLICE_BYTES):
+                arrays = dict(zip(part.schema.names, part.columns))
+                for column, added, _, convert in steps:
+                    arrays[added] = convert(arrays[column])
+                yield pa.RecordBatch.from_arrays([arrays[f.name] for f in schema], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def encode_texts(docs: DataFrame, path: str, column: str = "text", added: str = "ids") -> DataFrame:
-    """`docs` with the ids of `column`; a null text has null ids, an empty one none.
-
-    A column that is already called `added` is replaced; all other columns stay.
-    """
-
+def _encoded(path: str) -> Callable[[pa.Array], pa.Array]:
     def convert(texts: pa.Array) -> pa.Array:
         encode = piece_model(path).encode_packed
         coded = [None if t is None else encode(t) for t in texts.to_pylist()]
@@ -175,7 +171,26 @@ def encode_texts(docs: DataFrame, path: str, column: str = "text", added: str =
         values = pa.array(np.frombuffer(b"".join(c for c in coded if c), "<i4"))
         return pa.ListArray.from_arrays(offsets, values)
 
-    return _mapped(docs, column, added, "array<int>", convert)
+    return convert
+
+
+def _decoded(path: str) -> Callable[[pa.Array], pa.Array]:
+    def convert(lists: pa.Array) -> pa.Array:
+        model = piece_model(path)
+        ids = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends, there = np.concatenate([[0], np.cumsum(lengths)]).tolist(), lists.is_valid().to_pylist()
+        return pa.array([model.decode(ids[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], there)], pa.string())
+
+    return convert
+
+
+def encode_texts(docs: DataFrame, path: str, column: str = "text", added: str = "ids") -> DataFrame:
+    """`docs` with the ids of `column`; a null text has null ids, an empty one none.
+
+    A column that is already called `added` is replaced; all other columns stay.
+    """
+    return _mapped(docs, [(column, added, "array<int>", _encoded(path))])
 
 
 def decode_ids(coded: DataFrame, path: str, column: str = "ids", added: str = "decoded") -> DataFrame:
@@ -183,9 +198,11 @@ def decode_ids(coded: DataFrame, path: str, column: str = "ids", added: str = "d
 
     Decoding an encoded text gives the text back, but that a literal word mark (U+2581) becomes a space.
     """
+    return _mapped(coded, [(column, added, "string", _decoded(path))])
 
-    def convert(lists: pa.Array) -> pa.Array:
-        decode = piece_model(path).decode
-        return pa.array([None if x is None else decode(x) for x in (v.as_py() for v in lists)], pa.string())
 
-    return _mapped(coded, column, added, "string", convert)
+def encode_and_decode(
+    docs: DataFrame, path: str, column: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """`encode_texts`, and `decode_ids` of what it gives, in one pass over the texts."""
+    return _mapped(docs, [(column, ids, "array<int>", _encoded(path)), (ids, decoded, "string", _decoded(path))])
