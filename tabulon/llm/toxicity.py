@@ -11,23 +11,27 @@ characters rather than whole words lets unseen inflections of a toxic stem count
 A logistic curve, fitted on labelled texts that were not counted, turns the difference into a score.
 
 Counting covers all labelled texts given. All sequences are kept, in stored tables that grow with
-the texts: continuation counts, probabilities and differences are aggregations and joins, and nothing
-of them comes to the driver. Workers load the differences of the `MEMO_WORDS` most frequent counted
-words; all other words of a text are set aside, scored once each by joining their sequences to the
-tables, and joined back, so which words are loaded changes the cost and not the result.
+the texts: continuation counts, probabilities and differences are aggregations and joins. Workers load
+the sequences of the contexts seen most, `MEMO_GRAMS` at most, and a Bloom filter of all other contexts, of
+bounded size. A word whose contexts are loaded or certainly unseen is scored where it is read. The others
+are set aside, scored once each by joining their sequences to the tables, and joined back, so what is
+loaded changes the cost and not the result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulon.llm.common import lean, portions, stored
+from tabulon.llm.common import MEMO_ENTRIES, lean, portions, stored
+from tabulon.llm.decontamination import Filter, mixed
 from tabulon.operators.lookup import lookup
 
 WORD = re.compile(r"\w+")
@@ -35,8 +39,10 @@ ORDER = 8
 TOXIC_SHARE = 0.01
 BEGIN, END = "\x02", "\x03"
 DISCOUNT = 0.75
-#: Words a worker loads with their difference; the memory this takes does not grow with the corpus.
-MEMO_WORDS = 250_000
+#: Sequences a worker loads, at 24 bytes each; the memory this takes does not grow with the corpus.
+MEMO_GRAMS = 2_500_000
+#: Above this the rest of log(1 + x) is below the last digit.
+LARGE = 40.0
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,57 +58,115 @@ def grams_of(word: str) -> list[str]:
     return [text[i : i + ORDER] for i in range(len(text) - ORDER + 1)]
 
 
-class Known:
-    """The differences of some words, as sent to workers; the dictionary is made where it is used."""
+_FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(ORDER)]
 
-    def __init__(self, words: list[str], values: np.ndarray):
-        self.words, self.values, self._found = " ".join(words), values, None
 
-    def __getstate__(self):
-        return {**self.__dict__, "_found": None}
+def hashes(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sequences of characters that begin `at`, the hash of the context and that of the whole."""
+    context = np.zeros(len(at), dtype=np.uint64)
+    for i in range(ORDER - 1):
+        context += (codes[at + i] + np.uint64(1)) * _FACTORS[i]
+    return mixed(context ^ np.uint64(1)), mixed(context + (codes[at + ORDER - 1] + np.uint64(1)) * _FACTORS[-1])
 
-    @property
-    def found(self) -> dict[str, float]:
-        if self._found is None:
-            self._found = dict(zip(self.words.split(" "), self.values.tolist())) if self.words else {}
-        return self._found
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def difference_of(odds: np.ndarray) -> np.ndarray:
+    """Of a word's log odds, what it adds to the text's: it is from the toxic model with `TOXIC_SHARE`."""
+    low = np.log1p(TOXIC_SHARE * np.expm1(np.minimum(odds, LARGE)))
+    return np.where(odds > LARGE, odds + np.log(TOXIC_SHARE), low)
+
+
+class Loaded:
+    """The sequences and contexts a worker has, as sorted hashes, and a filter of the contexts it has not."""
+
+    def __init__(self, table: pa.Table, others: Filter | None):
+        columns = [table.column(c).to_numpy() for c in ("gram", "context", "value", "backoff")]
+        gram, context = (c.view(np.uint64) for c in columns[:2])
+        order = np.argsort(gram)
+        self.grams, self.values = gram[order], columns[2][order]
+        self.contexts, first = np.unique(context, return_index=True)
+        self.backoffs, self.others = columns[3][first], others
+
+    @staticmethod
+    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return at, keys[at] == wanted
+
+    def differences(self, words: list[str]) -> list[float | None]:
+        """Of each word; None where it takes sequences that are not loaded."""
+        if not words:
+            return []
+        sizes = np.array([len(w) + 1 for w in words])
+        begin = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        at = begin[owner] + np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+        context, gram = hashes(codes_of("".join(map(padded, words))), at)
+        i, counted = self._find(self.grams, gram)
+        j, known = self._find(self.contexts, context)
+        odds = np.zeros(len(owner))
+        odds[known] = self.backoffs[j[known]]
+        odds[counted] = self.values[i[counted]]
+        found = difference_of(np.bincount(owner, odds, len(words))).tolist()
+        if self.others is not None:
+            for k in np.unique(owner[~known][self.others.may_have(context[~known])]).tolist():
+                found[k] = None
+        return found
+
+
+def hashed(grams: DataFrame) -> DataFrame:
+    """`gram, context, value, backoff` with hashes in place of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = codes_of("".join(batch.column(0).to_pylist()))
+            context, gram = hashes(codes, np.arange(0, len(codes), ORDER))
+            columns = [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), batch.column(1), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "value", "backoff"])
+
+    return grams.select("gram", "value", "backoff").mapInArrow(run, "gram long, context long, value double, backoff double")
 
 
 class Comparison:
     """Log-likelihood differences (toxic minus ordinary) of all sequences, as a stored table.
 
-    `grams` has the columns gram, context, value and backoff (of the context); `known` has the
-    differences of frequent words.
+    `grams` has the columns gram, context, value, backoff and seen (of the context); `loaded` has what
+    workers load of it.
     """
 
     def __init__(self, grams: DataFrame):
         self.grams = grams
-        self.known = Known([], np.zeros(0))
+        cut = _cutoff(grams, "seen", MEMO_GRAMS)
+        rest = grams.where(F.col("seen") < cut)
+        others = None
+        if not rest.isEmpty():
+            contexts = hashed(rest).select(F.col("context").alias("fingerprint"))
+            others = Filter(stored(contexts.distinct(), "contexts"))
+        self.loaded = Loaded(hashed(grams.where(F.col("seen") >= cut)).toArrow(), others)
         self.slope, self.bias = 1.0, 0.0
 
-    @property
-    def keys(self) -> list[str]:
-        """The counted sequences. Lists them all: for small tables."""
-        return [r["gram"] for r in self.grams.select("gram").collect()]
-
     def word_differences(self, words: DataFrame) -> DataFrame:
-        """(word, difference) of a table of distinct words, stored."""
+        """(word, difference) of a stored table of distinct words, by joins."""
         text = F.concat(F.lit(BEGIN * (ORDER - 1)), "word", F.lit(END))
         at = F.sequence(F.lit(1), F.length("word") + 1)
         each = words.select("word", F.explode(F.transform(at, lambda i: F.substring(text, i, F.lit(ORDER)))).alias("gram"))
-        each = stored(each.groupBy("word", "gram").agg(F.count("*").alias("times")), "word-grams")
         # Every sequence once, so that no key is hot on either side; a context has at most one per character.
         grams = each.select("gram").distinct().withColumn("context", F.substring("gram", 1, ORDER - 1))
         contexts = self.grams.groupBy("context").agg(F.first("backoff").alias("backoff"))
         odds = (
             grams.join(self.grams.select("gram", "value"), "gram", "left")
             .join(contexts, "context", "left")
-            .select("gram", F.coalesce("value", "backoff", F.lit(0.0)).alias("odds"))
-        )
-        summed = lookup(each, odds, ["gram"]).groupBy("word").agg(F.sum(F.col("times") * F.col("odds")).alias("odds"))
-        return stored(
-            summed.select("word", F.log1p(TOXIC_SHARE * F.expm1(F.least("odds", F.lit(50.0)))).alias("difference")), "word-differences"
+            .select("gram", F.coalesce("value", "backoff").alias("odds"))
+            .where("odds IS NOT NULL")
         )
+        summed = lookup(each, odds, ["gram"]).groupBy("word").agg(F.coalesce(F.sum("odds"), F.lit(0.0)).alias("odds"))
+        low = F.log1p(TOXIC_SHARE * F.expm1(F.least("odds", F.lit(LARGE))))
+        difference = F.when(F.col("odds") > LARGE, F.col("odds") + math.log(TOXIC_SHARE)).otherwise(low)
+        return stored(summed.select("word", difference.alias("difference")), "word-differences")
 
     def differences(self, texts) -> list[float]:
         """The difference per word of each of a few texts; 0 for a text without words."""
@@ -191,15 +255,9 @@ def shared_probabilities(grams: DataFrame) -> DataFrame:
     return below
 
 
-def count_models(rows: DataFrame, max_grams: int | None = None) -> Comparison:
-    """The comparison counted from all `rows` (text, label 0 or 1).
-
-    All sequences are kept, unless a caller wants at most `max_grams`, those with the highest counts.
-    """
-    words = stored(word_counts(rows), "words")
-    counts = stored(gram_counts(words), "grams").withColumn("n", F.col("n0") + F.col("n1"))
-    if max_grams is not None:
-        counts = counts.where(F.col("n") >= _cutoff(counts, "n", max_grams))
+def count_models(rows: DataFrame) -> Comparison:
+    """The comparison counted from all `rows` (text, label 0 or 1); every sequence is kept."""
+    counts = stored(gram_counts(word_counts(rows)), "grams")
     same = Window.partitionBy("context")
     each = counts.select("gram", "n0", "n1", F.substring("gram", 1, ORDER - 1).alias("context"))
     for k in (0, 1):
@@ -211,18 +269,11 @@ def count_models(rows: DataFrame, max_grams: int | None = None) -> Comparison:
         of = F.greatest(F.col(f"of{k}"), F.lit(1))
         weights.append(F.when(F.col(f"of{k}") > 0, DISCOUNT * F.col(f"kinds{k}") / of).otherwise(F.lit(1.0)))
         logs.append(F.log(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)) / of + weights[k] * F.col("lower")))
-    model = Comparison(
-        stored(
-            each.select(
-                "gram", "context", (logs[1] - logs[0]).alias("value"), (F.log(weights[1]) - F.log(weights[0])).alias("backoff")
-            ),
-            "differences",
-        )
+    differences = each.select(
+        "gram", "context", (logs[1] - logs[0]).alias("value"), (F.log(weights[1]) - F.log(weights[0])).alias("backoff"),
+        (F.col("of0") + F.col("of1")).alias("seen"),
     )
-    counted = words.withColumn("n", F.col("n0") + F.col("n1"))
-    frequent = model.word_differences(counted.where(F.col("n") >= _cutoff(counted, "n", MEMO_WORDS)).select("word")).toArrow()
-    model.known = Known(frequent["word"].to_pylist(), frequent["difference"].to_numpy())
-    return model
+    return Comparison(stored(differences, "differences"))
 
 
 def calibrate(model: Comparison, rows: DataFrame, max_rows: int = 20_000, order: str = "doc_id") -> Comparison:
@@ -253,17 +304,22 @@ def with_difference(docs: DataFrame, model: Comparison, text: str = "text") -> D
 
     Equal texts are looked up once, by a digest of theirs.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.known)
+    shared = docs.sparkSession.sparkContext.broadcast(model.loaded)
 
     @F.pandas_udf("struct<total:double,words:long,rest:array<string>,times:array<long>>")
     @lean
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = shared.value.found
+        known: dict[str, float | None] = {}
         for batch in batches:
             rows = []
             for part in portions(batch):
-                for words in map(words_of, part):
-                    found = [known.get(w) for w in words]
+                texts = [words_of(t) for t in part]
+                if len(known) > MEMO_ENTRIES:
+                    known.clear()
+                new = [w for w in set().union(*texts) if w not in known]
+                known.update(zip(new, shared.value.differences(new)))
+                for words in texts:
+                    found = [known[w] for w in words]
                     rest = Counter(w for w, d in zip(words, found) if d is None) if None in found else {}
                     total = sum([d for d in found if d is not None] if rest else found)
                     rows.append((float(total), len(words), list(rest), list(rest.values())))
@@ -275,7 +331,7 @@ def with_difference(docs: DataFrame, model: Comparison, text: str = "text") -> D
     parts = stored(parts, "measured")
     once = parts.where(F.size("rest") > 0).groupBy("_text_key").agg(F.first(F.struct("rest", "times")).alias("m"))
     rest = stored(once.select("_text_key", F.inline(F.arrays_zip("m.rest", "m.times"))).toDF("_text_key", "word", "times"), "rest")
-    scored = model.word_differences(rest.select("word").distinct())
+    scored = model.word_differences(stored(rest.select("word").distinct(), "rest-words"))
     more = lookup(rest, scored, ["word"], stored=True).groupBy("_text_key").agg(
         F.sum(F.col("times") * F.col("difference")).alias("more")
     )

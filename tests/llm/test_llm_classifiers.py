@@ -159,19 +159,13 @@ def test_toxicity_of_odd_texts_and_without_labels(spark):
     assert toxicity.with_scores(docs.where("doc_id < 0"), one).collect() == []
 
 
-def test_the_kept_sequences_stay_within_their_bound(spark):
-    rows = [(f"word{i} other{i % 7} thing{i % 3}", i % 2) for i in range(200)]
-    model = toxicity.count_models(spark.createDataFrame(rows, "text string, label int"), max_grams=50)
-    assert 0 < len(model.keys) <= 50
-
-
 def test_no_counted_sequence_is_dropped(spark):
     letters = np.array(list("abcdefghijklmnop"))
     words = ["".join(w) for w in letters[np.random.default_rng(8).integers(0, 16, (90_000, 8))]]
     rows = [(" ".join(words[i::40]), i % 2) for i in range(40)]
     model = toxicity.count_models(spark.createDataFrame(rows, "text string, label int"))
     want = {g for w in words for g in toxicity.grams_of(w)}
-    assert len(want) > 400_000 and len(model.keys) == len(want)
+    assert len(want) > 400_000 and model.grams.count() == len(want)
 
 
 def test_words_that_are_not_loaded_get_the_same_difference(spark, monkeypatch):
@@ -179,8 +173,17 @@ def test_words_that_are_not_loaded_get_the_same_difference(spark, monkeypatch):
     texts = ["the idiot", "cats sat idiotic idiotic", "zebra xylophone", "", None, "the idiot"]
     table = spark.createDataFrame(rows, "text string, label int")
     loaded = toxicity.count_models(table).differences(texts)
-    monkeypatch.setattr(toxicity, "MEMO_WORDS", 1)
-    assert toxicity.count_models(table).differences(texts) == pytest.approx(loaded, abs=1e-12)
+    for most in (0, 12, 40):  # nothing is loaded, or some contexts are
+        monkeypatch.setattr(toxicity, "MEMO_GRAMS", most)
+        model = toxicity.count_models(table)
+        assert len(model.loaded.grams) <= most and model.loaded.others is not None
+        assert model.differences(texts) == pytest.approx(loaded, abs=1e-12)
+
+
+def test_large_odds_are_exact():
+    odds = np.array([-700.0, -1.0, 0.0, 1.0, 29.0, 39.9, 40.1, 500.0])
+    want = [math.log1p(-0.01 + 0.01 * math.exp(x)) for x in odds]
+    assert toxicity.difference_of(odds) == pytest.approx(want, abs=1e-12)
 
 
 def test_toxicity_on_rows_that_were_held_out(spark):
