@@ -57,6 +57,15 @@ def number(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("double")
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """The correlation of two number columns over the rows that have both; null where one has a single value.
+
+    The built-in aggregate divides by zero there.
+    """
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def chunks(items: Sequence, size: int = EXPRESSIONS_PER_PASS) -> list[list]:
     return [list(items[i : i + size]) for i in range(0, len(items), size)]
 

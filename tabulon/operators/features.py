@@ -17,6 +17,7 @@ from tabulon.functions.columns import (
     long_aggregate,
     number,
     numeric_columns,
+    pearson,
     present,
     union_all,
 )
@@ -294,7 +295,7 @@ def rank_features(df: DataFrame, target: str, k: int, columns: Sequence[str] | N
     y = number(df, target)
     frames = []
     if numbers:
-        r2 = long_aggregate(df, numbers, {"r": lambda c: F.corr(number(df, c), y)})
+        r2 = long_aggregate(df, numbers, {"r": lambda c: pearson(number(df, c), y)})
         frames.append(r2.select("column", (F.col("r") * F.col("r")).alias("score")))
     for c in strings:
         frames.append(target_numeric(df, target, c).agg(F.first("eta2").alias("score")).select(F.lit(c).alias("column"), "score"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.columns import (
+    EXPRESSIONS_PER_PASS,
     chunks,
     col,
     columns_of,
@@ -15,6 +16,7 @@ from tabulon.functions.columns import (
     long_aggregate,
     number,
     numeric_columns,
+    pearson,
     present,
     union_all,
 )
@@ -421,9 +423,21 @@ def target_balance(df: DataFrame, target: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns over the rows where both are present; one scan."""
+    """Pearson correlation of every pair of numeric columns over the rows where both are present; one scan.
+
+    Pairs that fit into one aggregation are aggregated without Python; more come from co-moments. `r` is null
+    where a column has one value or no row has both.
+    """
     columns = list(columns or numeric_columns(df))
-    return correlation_pairs(comoments(df, columns), columns).select("a", "b", "r")
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    if not 0 < 3 * len(pairs) <= EXPRESSIONS_PER_PASS:
+        return correlation_pairs(comoments(df, columns), columns).select("a", "b", "r")
+    values = df.select(*[number(df, c).alias(c) for c in columns])
+    flat = values.agg(*[pearson(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    rows = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)
+    ]
+    return flat.select(F.inline(F.array(*rows)))
 
 
 def wide_correlations(df: DataFrame, columns: Sequence[str], method: str = "spearman") -> DataFrame:

@@ -22,6 +22,7 @@ from tabulon.operators import models as M
 from tabulon.operators import profile as P
 from tabulon.operators import reports, sessions as S, sketches
 from tabulon.operators.dependencies import closure, run_order
+from tabulon.operators.features import rank_features
 from tabulon.operators.selection import FeatureSelector, FeatureSelectorModel
 from tabulon.operators.side_by_side import side_by_side
 from tabulon.plans.queries_tables import turn_slots, typed_workbook
@@ -51,8 +52,19 @@ def test_correlations_of_two_hundred_columns_in_one_scan(spark, wide):
 
 
 def test_the_plan_reads_the_table_once(spark, load):
-    plan = P.correlations(load("lineitem"), ["l_quantity", "l_tax", "l_discount"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1
+    lineitem = load("lineitem")
+    few, many = ["l_quantity", "l_tax", "l_discount"], [f"c{i}" for i in range(20)]
+    for df, columns in ((lineitem, few), (lineitem.select(*[(F.col("l_tax") * i + F.col("l_quantity")).alias(c) for i, c in enumerate(many)]), many)):
+        plan = P.correlations(df, columns)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
+
+
+def test_few_and_many_columns_give_the_same(spark, wide):
+    df = spark.createDataFrame(wide[:, 2:8].tolist(), ", ".join(f"c{i} double" for i in range(6)))
+    few = {(r["a"], r["b"]): r["r"] for r in P.correlations(df).collect()}
+    many = {(r["a"], r["b"]): r["r"] for r in C.correlation_pairs(C.comoments(df), df.columns).collect()}
+    assert few.keys() == many.keys()
+    assert all((few[k] is None) == (many[k] is None) and (few[k] is None or abs(few[k] - many[k]) < 1e-9) for k in few)
 
 
 def test_states_of_parts_merge_to_the_state_of_all(wide):
@@ -359,3 +371,9 @@ def test_states_of_parts_with_gaps_and_empty_parts(spark, tmp_path):
     states = sketches.merge_states(sketches.column_states(rows.where("x < 1500")).unionByName(sketches.column_states(rows.where("x >= 1500"))))
     ranks = {r["column"]: r["rank"] for r in sketches.rank_of(states, F.lit(1500.0)).collect()}
     assert abs(ranks["x"] - 0.5) < 0.015 and ranks["none"] is None
+
+
+def test_features_with_one_value_are_ranked_last(spark):
+    rows = spark.range(50).select(F.lit(3.0).alias("same"), (F.col("id") * 2.0).alias("good"), (F.col("id") % 7).alias("other"), F.col("id").cast("double").alias("y"))
+    ranked = [(r["column"], r["score"]) for r in rank_features(rows, "y", 3).orderBy("rank").collect()]
+    assert ranked[0] == ("good", pytest.approx(1.0)) and ranked[-1] == ("same", None)
