@@ -1,17 +1,20 @@
-"""License scans: notices by sparse TF-IDF cosine to templates, then inheritance along directories.
+"""License scans: headers and licence files by sparse TF-IDF cosine to templates, then inheritance along directories.
 
-DataFrame functions only. A line is a notice of the template it is most similar to, if the cosine is
-`threshold` or more. Words are runs of a-z and 0-9 of the lower-case text; a word of the templates
-weighs ln((1 + files) / (1 + files with it)) + 1, any other word their mean.
+DataFrame functions only. What is compared are headers, windows of 1 to `window` consecutive lines that
+start and end with a line that has words, and the whole texts of files named like licences. A unit is a
+notice of the template it is most similar to, if the cosine is `threshold` or more. `TEMPLATES` are for
+all files; the titles and texts of `LICENSE_TEXTS` only for files named like licences. Words are runs of
+a-z and 0-9 of the lower-case text; a word of the templates weighs ln((1 + files) / (1 + files with
+it)) + 1, any other word their mean.
 
-Most lines are ruled out by a word test that cannot lose a notice: for every template the lightest
-words are left out as long as they could not reach the threshold by themselves, and a line without
+Most windows are ruled out by a word test that cannot lose a notice: for every template the lightest
+words are left out as long as they could not reach the threshold by themselves, and a unit without
 any of the remaining words is no notice.
 
-A licence file is named like one, or consists of notices to a share of `file_share` of its words; it
-holds for its directory. A file without a notice of its own inherits from the nearest directory above
-it. Directories are resolved once each, before files are joined to them, so a directory with a third
-of all files is a single row in the search for ancestors.
+A licence file has a notice, and is named like a licence or consists of its most similar notice to a
+share of `file_share` of its words; it holds for its directory. A file without a notice of its own
+inherits from the nearest directory above it. Directories are resolved once each, before files are
+joined to them, so a directory with a third of all files is a single row in the search for ancestors.
 """
 
 from __future__ import annotations
@@ -22,10 +25,68 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulon.llm.common import stored
+from tabulon.llm.common import free_name, stored
 from tabulon.operators.lookup import fits_broadcast
 
-#: Short notices, one or more for each licence.
+
+def _gnu_header(license: str, version: str) -> str:
+    """The paragraph that the GNU licences ask to have at the top of files."""
+    return (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        f"{license} as published by the Free Software Foundation, either version {version} of the License, or (at your "
+        "option) any later version."
+    )
+
+
+# The wording of common licences, as published.
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+    "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+    "permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+    'the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+    "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+    "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+    "IN THE SOFTWARE."
+)
+BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met:"
+)
+BSD_TWO = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+BSD_REST = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+ISC_GRANT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies."
+)
+ISC_REST = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
+    "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE."
+)
+#: Headers and short notices of any file, one or more for each licence.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -36,9 +97,53 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("Proprietary", "All rights reserved."),
+    ("Proprietary", "Copyright (c). All rights reserved."),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ),
+    ("MIT", MIT_GRANT),
+    ("GPL-2.0", _gnu_header("General Public License", "2")),
+    ("GPL-3.0", _gnu_header("General Public License", "3")),
+    ("LGPL-2.1", _gnu_header("Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _gnu_header("Lesser General Public License", "3")),
+    ("AGPL-3.0", _gnu_header("Affero General Public License", "3")),
+    ("BSD-3-Clause", BSD_GRANT),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    ("ISC", ISC_GRANT),
+)
+#: Titles and whole texts, for files named like licences.
+LICENSE_TEXTS = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "ISC License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("MIT", f"{MIT_GRANT} {MIT_REST}"),
+    ("BSD-2-Clause", f"{BSD_GRANT} {BSD_TWO} {BSD_REST}"),
+    ("BSD-3-Clause", f"{BSD_GRANT} {BSD_TWO} {BSD_THIRD} {BSD_REST}"),
+    ("ISC", f"{ISC_GRANT} {ISC_REST}"),
 )
 LICENSE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 WORD = "[a-z0-9]+"
+#: What a reservation of rights is called. It stands in many licence files, so any licence found beside it counts first.
+RESERVED = "Proprietary"
+#: Lines of the longest header that is compared.
+WINDOW = 8
 
 
 def words(text: Column) -> Column:
@@ -69,9 +174,50 @@ def anchors(weights: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(out)
 
 
-def notices(files: DataFrame, threshold: float = 0.7, templates=TEMPLATES) -> DataFrame:
-    """(path, line_no, license, cosine, line_words) of every notice line; lines count from 1."""
+def _any_of(vocabulary: list[str]) -> str:
+    """A pattern for lower-case texts that have one of these words."""
+    return f"(^|[^a-z0-9])({'|'.join(vocabulary)})($|[^a-z0-9])"
+
+
+def units(files: DataFrame, header_test: str, file_test: str, window: int = WINDOW) -> DataFrame:
+    """(path, named, line_no, lines, text) of the windows and whole texts that pass the word tests.
+
+    Each line is put beside the next ones while its file is one row, so no file is gathered or sorted.
+    Whole texts of up to `window` lines are windows already.
+    """
+
+    def passes(text) -> Column:
+        low = F.lower(text)
+        return F.coalesce(low.rlike(header_test) | (F.col("named") & low.rlike(file_test)), F.lit(False))
+
+    maybe = files.withColumn("named", F.col("path").rlike(LICENSE_NAME)).where(passes("text"))
+    maybe = maybe.withColumn("parts", F.split("text", "\n", -1))
+    beside = F.arrays_zip(*[F.slice("parts", i + 1, F.size("parts")).alias(f"l{i}") for i in range(window)])
+    rows = maybe.select("path", "named", F.posexplode(beside).alias("at", "l")).select("path", "named", "at", "l.*")
+    rows = rows.where(F.lower("l0").rlike(WORD)).withColumns({f"a{i}": passes(f"l{i}") for i in range(window)})
+
+    def ending(i: int) -> Column:
+        """The window that ends with the i-th next line, or null."""
+        some = F.greatest(*[F.col(f"a{j}") for j in range(i + 1)]) if i else F.col("a0")
+        text = F.concat_ws("\n", *[f"l{j}" for j in range(i + 1)])
+        return F.when(some & F.lower(f"l{i}").rlike(WORD), F.struct(F.lit(i + 1).alias("lines"), text.alias("text")))
+
+    rows = rows.where(F.greatest(*[F.col(f"a{i}") for i in range(window)]) if window > 1 else F.col("a0"))
+    windows = rows.select(
+        "path", "named", (F.col("at") + 1).alias("line_no"), F.explode(F.array(*[ending(i) for i in range(window)])).alias("u")
+    ).where("u IS NOT NULL")
+    whole = maybe.where(F.col("named") & (F.size("parts") > window)).select(
+        "path", "named", F.lit(1).alias("line_no"), F.size("parts").alias("lines"), "text"
+    )
+    return windows.select("path", "named", "line_no", "u.lines", "u.text").unionByName(whole)
+
+
+def notices(
+    files: DataFrame, threshold: float = 0.7, templates=TEMPLATES, license_texts=LICENSE_TEXTS, window: int = WINDOW
+) -> DataFrame:
+    """(path, line_no, lines, license, cosine, unit_words) of every unit that is a notice; lines count from 1."""
     spark = files.sparkSession
+    templates, n_headers = (*templates, *license_texts), len(templates)
     counted = template_words(templates)
     vocabulary = sorted({w for c in counted for w in c})
     total, frequency = document_frequencies(files, vocabulary)
@@ -81,17 +227,21 @@ def notices(files: DataFrame, threshold: float = 0.7, templates=TEMPLATES) -> Da
     norms = [math.sqrt(sum(x * x for x in w.values())) for w in weights]
     # One row for each word of each template: bounded by the templates given.
     rows = [
-        (i, templates[i][0], word, idf[word], x / norms[i]) for i, w in enumerate(weights) for word, x in w.items()
+        (i, templates[i][0], i >= n_headers, word, idf[word], x / norms[i])
+        for i, w in enumerate(weights)
+        for word, x in w.items()
     ]
-    table = F.broadcast(spark.createDataFrame(rows, "template int, license string, word string, idf double, share double"))
+    table = F.broadcast(
+        spark.createDataFrame(
+            rows, "template int, license string, file_only boolean, word string, idf double, share double"
+        )
+    )
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
-    lines = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    test = "|".join(anchors(weights, threshold))
-    maybe = lines.where(F.lower("line").rlike(f"(^|[^a-z0-9])({test})($|[^a-z0-9])"))
-    key = ["path", "line_no"]
+    maybe = units(files, _any_of(anchors(weights[:n_headers], threshold)), _any_of(anchors(weights, threshold)), window)
+    key = ["path", "line_no", "lines"]
     counts = (
-        maybe.select("path", (F.col("at") + 1).alias("line_no"), F.explode(words("line")).alias("word"))
-        .groupBy(*key, "word")
+        maybe.select(*key, "named", F.explode(words("text")).alias("word"))
+        .groupBy(*key, "named", "word")
         .agg(F.count("*").alias("n"))
     )
     counts = stored(counts, "notice-words")
@@ -100,16 +250,19 @@ def notices(files: DataFrame, threshold: float = 0.7, templates=TEMPLATES) -> Da
         .groupBy(*key)
         .agg(
             F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"),
-            F.sum("n").alias("line_words"),
+            F.sum("n").alias("unit_words"),
         )
     )
-    dots = counts.join(table, "word").groupBy(*key, "template", "license").agg(
-        F.sum(F.col("n") * F.col("idf") * F.col("share")).alias("dot")
+    dots = (
+        counts.join(table, "word")
+        .where("named OR NOT file_only")
+        .groupBy(*key, "template", "license")
+        .agg(F.sum(F.col("n") * F.col("idf") * F.col("share")).alias("dot"))
     )
     near = dots.join(size, key).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 12)).where(F.col("cosine") >= threshold)
     best = F.max_by(F.struct("license", "cosine"), F.struct("cosine", (-F.col("template")).alias("t"))).alias("best")
-    return near.groupBy(*key).agg(best, F.first("line_words").alias("line_words")).select(
-        *key, "best.license", "best.cosine", "line_words"
+    return near.groupBy(*key).agg(best, F.first("unit_words").alias("unit_words")).select(
+        *key, "best.license", "best.cosine", "unit_words"
     )
 
 
@@ -127,32 +280,39 @@ def _ancestors(directory: Column) -> Column:
     )
 
 
-def scan(files: DataFrame, threshold: float = 0.7, file_share: float = 0.5, templates=TEMPLATES) -> DataFrame:
-    """One row per row of `files` (path, text; other columns stay): license, origin, cosine, line_no, source_path.
+def scan(
+    files: DataFrame,
+    threshold: float = 0.7,
+    file_share: float = 0.5,
+    templates=TEMPLATES,
+    license_texts=LICENSE_TEXTS,
+    window: int = WINDOW,
+) -> DataFrame:
+    """One row per row of `files` (path, text; other columns stay): license, origin, cosine, line_no, lines, source_path.
 
-    `origin` is header (a notice in the file; the most similar one, then the first), inherited (from
-    the licence file `source_path` of the nearest directory above) or none. Of several licence files
-    in a directory the most similar counts, then the smallest path. Paths name files: repeated rows
-    with one path are scanned together. A null text has no words; a null path has no directory, is
-    not scanned and gets none. Columns with the added names are replaced.
+    `origin` is header (a notice in the file; one that names a licence before a mere reservation of
+    rights, then the most similar one, the first, the shortest; it has `lines` lines from `line_no` on),
+    inherited (from the licence file `source_path` of the nearest directory above) or none. Of several
+    licence files in a directory one that names a licence counts first, then the most similar, then the
+    smallest path. Paths name files: repeated rows with one path are scanned together. A null
+    text has no words; a null path has no directory, is not scanned and gets none. A file named like a
+    licence that resembles no template holds for nothing. Columns with the added names are replaced.
     """
-    added = ["license", "origin", "cosine", "line_no", "source_path"]
+    added = ["license", "origin", "cosine", "line_no", "lines", "source_path"]
     files = files.drop(*added)
     known = files.where("path IS NOT NULL").select("path", F.coalesce("text", F.lit("")).alias("text"))
-    found = stored(notices(known, threshold, templates), "notices")
-    order = F.struct(F.col("cosine"), (-F.col("line_no")).alias("t"))
-    own = found.groupBy("path").agg(
-        F.max_by(F.struct("license", "cosine", "line_no"), order).alias("own"), F.sum("line_words").alias("notice_words")
-    )
+    found = notices(known, threshold, templates, license_texts, window)
+    order = F.struct((F.col("license") != RESERVED).alias("names"), "cosine", (-F.col("line_no")).alias("t"), (-F.col("lines")).alias("s"))
+    own = found.groupBy("path").agg(F.max_by(F.struct("license", "cosine", "line_no", "lines", "unit_words"), order).alias("own"))
     own = stored(own, "own")
     own_side = F.broadcast(own) if fits_broadcast(own) else own
     sized = known.join(own_side, "path").select(
-        "path", "own", (F.col("notice_words") >= file_share * F.size(words("text"))).alias("mostly")
+        "path", "own", (F.col("own.unit_words") >= file_share * F.size(words("text"))).alias("mostly")
     )
     holders = sized.where(F.col("mostly") | F.col("path").rlike(LICENSE_NAME)).select(
         folder(F.col("path")).alias("above"), "path", "own.license", "own.cosine"
     )
-    first = F.min_by(F.struct("license", "path"), F.struct((-F.col("cosine")).alias("c"), "path")).alias("held")
+    first = F.min_by(F.struct("license", "path"), F.struct((F.col("license") == RESERVED).alias("r"), (-F.col("cosine")).alias("c"), "path")).alias("held")
     held = holders.withColumn("above", F.regexp_replace(F.regexp_replace("above", "/+", "/"), "^/", "")).groupBy("above").agg(first)
     folders = known.select(folder(F.col("path")).alias("dir")).distinct()
     nearest = stored(
@@ -164,18 +324,20 @@ def scan(files: DataFrame, threshold: float = 0.7, file_share: float = 0.5, temp
         "nearest",
     )
     nearest_side = F.broadcast(nearest) if fits_broadcast(nearest) else nearest
+    at, dir_, near, own_, from_ = (free_name(files, c) for c in ("_path", "_dir", "_near", "_own", "_from"))
     joined = (
-        files.withColumn("_dir", folder(F.col("path")))
-        .join(own_side.select(F.col("path").alias("_path"), F.col("own").alias("_own")), F.col("path") == F.col("_path"), "left")
-        .join(nearest_side.select(F.col("dir").alias("_near"), F.col("from").alias("_from")), F.col("_dir") == F.col("_near"), "left")
+        files.withColumn(dir_, folder(F.col("path")))
+        .join(own_side.select(F.col("path").alias(at), F.col("own").alias(own_)), F.col("path") == F.col(at), "left")
+        .join(nearest_side.select(F.col("dir").alias(near), F.col("from").alias(from_)), F.col(dir_) == F.col(near), "left")
     )
-    has = F.col("_own").isNotNull()
+    has = F.col(own_).isNotNull()
     return joined.withColumns(
         {
-            "license": F.coalesce("_own.license", "_from.license"),
-            "origin": F.when(has, "header").when(F.col("_from").isNotNull(), "inherited").otherwise("none"),
-            "cosine": F.col("_own.cosine"),
-            "line_no": F.col("_own.line_no"),
-            "source_path": F.when(~has, F.col("_from.path")),
+            "license": F.coalesce(f"{own_}.license", f"{from_}.license"),
+            "origin": F.when(has, "header").when(F.col(from_).isNotNull(), "inherited").otherwise("none"),
+            "cosine": F.col(f"{own_}.cosine"),
+            "line_no": F.col(f"{own_}.line_no"),
+            "lines": F.col(f"{own_}.lines"),
+            "source_path": F.when(~has, F.col(f"{from_}.path")),
         }
-    ).drop("_dir", "_path", "_near", "_own", "_from")
+    ).drop(dir_, at, near, own_, from_)

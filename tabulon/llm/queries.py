@@ -164,52 +164,59 @@ def op8(spark, sf):
     return found.withColumns(pii.span_counts("base_spans")).drop("text", "masked", "base_spans")
 
 
-#: Where a document would lie in a tree: by source and language, and by its id at one of three depths.
+#: Where a document would lie in a tree: by source and language, and by its id at one of three depths; every fifth is
+#: named like a licence.
 PLACE = """concat_ws('/', source, CASE WHEN doc_id % 4 > 0 THEN lang END,
-    CASE WHEN doc_id % 4 > 1 THEN concat('part', doc_id % 7) END, concat(doc_id, '.txt'))"""
+    CASE WHEN doc_id % 4 > 1 THEN concat('part', doc_id % 7) END,
+    concat(doc_id, CASE WHEN doc_id % 5 = 0 THEN '/COPYING' ELSE '.txt' END))"""
 LICENSE_SQL = f"""
-WITH files AS (SELECT doc_id, {PLACE} AS path, coalesce(text, '') AS text FROM documents),
-templates(template, license, notice) AS (VALUES {', '.join(
-    f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))}),
-tw AS (SELECT template, license, word, count(*) AS n FROM (
-    SELECT template, license, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS word FROM templates) GROUP BY ALL),
+WITH files AS (
+    SELECT doc_id, {PLACE} AS path, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts,
+        doc_id % 5 = 0 AS named FROM documents),
+templates(template, license, file_only, notice) AS (VALUES {', '.join(
+    f"({i}, '{name}', {i >= len(licenses.TEMPLATES)}, '{text}')"
+    for i, (name, text) in enumerate((*licenses.TEMPLATES, *licenses.LICENSE_TEXTS)))}),
+tw AS (SELECT template, license, file_only, word, count(*) AS n FROM (
+    SELECT * EXCLUDE notice, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS word FROM templates) GROUP BY ALL),
 df AS (SELECT word, count(DISTINCT doc_id) AS df FROM (
     SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM files) GROUP BY word),
 idf AS (
     SELECT word, ln((1 + (SELECT count(*) FROM files)) / (1 + coalesce(df, 0))) + 1 AS idf
     FROM (SELECT DISTINCT word FROM tw) LEFT JOIN df USING (word)),
 weights AS (
-    SELECT template, license, word, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY template)) AS share
+    SELECT template, license, file_only, word, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY template)) AS share
     FROM tw JOIN idf USING (word)),
-lines AS (
-    SELECT path, generate_subscripts(string_split(text, chr(10)), 1) AS line_no,
-        unnest(string_split(text, chr(10))) AS line FROM files),
-lw AS (SELECT path, line_no, word, count(*) AS n FROM (
-    SELECT path, line_no, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM lines) GROUP BY ALL),
+units AS (
+    SELECT path, named, line_no, lines, array_to_string(parts[line_no:line_no + lines - 1], chr(10)) AS unit
+    FROM files, unnest(range(1, len(parts) + 1)) AS a(line_no), unnest(range(1, {licenses.WINDOW + 1})) AS b(lines)
+    WHERE line_no + lines - 1 <= len(parts) AND regexp_matches(lower(parts[line_no]), '[a-z0-9]')
+        AND regexp_matches(lower(parts[line_no + lines - 1]), '[a-z0-9]')
+    UNION ALL SELECT path, named, 1, len(parts), text FROM files WHERE named AND len(parts) > {licenses.WINDOW}),
+uw AS (SELECT path, named, line_no, lines, word, count(*) AS n FROM (
+    SELECT * EXCLUDE unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS word FROM units) GROUP BY ALL),
 sizes AS (
-    SELECT path, line_no, sqrt(sum((n * coalesce(idf, (SELECT avg(idf) FROM idf))) ** 2)) AS norm, sum(n) AS line_words
-    FROM lw LEFT JOIN idf USING (word) GROUP BY ALL),
+    SELECT path, line_no, lines, sqrt(sum((n * coalesce(idf, (SELECT avg(idf) FROM idf))) ** 2)) AS norm,
+        sum(n) AS unit_words
+    FROM uw LEFT JOIN idf USING (word) GROUP BY ALL),
 near AS (
-    SELECT path, line_no, template, license, line_words, sum(n * idf * share) / any_value(norm) AS cosine
-    FROM lw JOIN weights USING (word) JOIN idf USING (word) JOIN sizes USING (path, line_no) GROUP BY ALL),
-notices AS (
-    SELECT * FROM near WHERE cosine >= 0.7
-    QUALIFY row_number() OVER (PARTITION BY path, line_no ORDER BY round(cosine, 12) DESC, template) = 1),
+    SELECT path, line_no, lines, template, license, unit_words, round(sum(n * idf * share) / any_value(norm), 12) AS cosine
+    FROM uw JOIN weights USING (word) JOIN idf USING (word) JOIN sizes USING (path, line_no, lines)
+    WHERE named OR NOT file_only GROUP BY ALL),
 own AS (
-    SELECT path, license, cosine, line_no, sum(line_words) OVER (PARTITION BY path) AS notice_words FROM notices
-    QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(cosine, 12) DESC, line_no) = 1),
+    SELECT * FROM near WHERE cosine >= 0.7
+    QUALIFY row_number() OVER (PARTITION BY path ORDER BY license = '{licenses.RESERVED}', cosine DESC, line_no, lines, template) = 1),
 holders AS (
     SELECT path, license, cosine, regexp_replace(path, '/[^/]*$', '') AS above FROM own JOIN files USING (path)
-    WHERE notice_words >= 0.2 * len(regexp_extract_all(lower(text), '[a-z0-9]+'))),
+    WHERE named OR unit_words >= 0.2 * len(regexp_extract_all(lower(text), '[a-z0-9]+'))),
 held AS (
     SELECT above, license, path AS source_path FROM holders
-    QUALIFY row_number() OVER (PARTITION BY above ORDER BY round(cosine, 12) DESC, path) = 1),
+    QUALIFY row_number() OVER (PARTITION BY above ORDER BY license = '{licenses.RESERVED}', cosine DESC, path) = 1),
 nearest AS (
     SELECT f.path, h.license, h.source_path FROM files f JOIN held h ON starts_with(f.path, concat(h.above, '/'))
     QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY len(h.above) DESC) = 1)
 SELECT f.doc_id, f.path, coalesce(o.license, n.license) AS license,
     CASE WHEN o.path IS NOT NULL THEN 'header' WHEN n.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-    round(o.cosine, 6) AS cosine, o.line_no::INTEGER AS line_no,
+    round(o.cosine, 6) AS cosine, o.line_no::INTEGER AS line_no, o.lines::INTEGER AS lines,
     CASE WHEN o.path IS NULL THEN n.source_path END AS source_path
 FROM files f LEFT JOIN own o USING (path) LEFT JOIN nearest n USING (path)
 """
@@ -220,7 +227,7 @@ def op2(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.expr(PLACE).alias("path"))
     found = licenses.scan(docs, file_share=0.2)
     return found.select(
-        "doc_id", "path", "license", "origin", F.round("cosine", 6).alias("cosine"), "line_no", "source_path"
+        "doc_id", "path", "license", "origin", F.round("cosine", 6).alias("cosine"), "line_no", "lines", "source_path"
     )
 
 

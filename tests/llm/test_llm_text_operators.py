@@ -1,7 +1,9 @@
 """Line dedup, packing, piece encoding and licence scans against plain versions of themselves."""
 
 import math
+import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -216,26 +218,88 @@ def test_files_inherit_from_the_nearest_directory(spark):
     }
 
 
+def plain_notices(files, window=licenses.WINDOW):
+    """(path, line_no, lines): greatest cosine of every unit of every file to its templates, without any test."""
+    texts = [t for _, t in (*licenses.TEMPLATES, *licenses.LICENSE_TEXTS)]
+    bag = lambda x: Counter(re.findall("[a-z0-9]+", x.lower()))
+    templates = [bag(x) for x in texts]
+    held = [bag(x) for _, x in files]
+    idf = {w: math.log((1 + len(files)) / (1 + sum(w in c for c in held))) + 1 for c in templates for w in c}
+    other = sum(idf.values()) / len(idf)
+    out = {}
+    for path, text in files:
+        lines = text.split("\n")
+        named = re.search(r"(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$", path, re.I)
+        spans = [(i, n) for i in range(len(lines)) for n in range(1, window + 1) if i + n <= len(lines)]
+        spans = [(i, n) for i, n in spans if bag(lines[i]) and bag(lines[i + n - 1])]
+        if named and len(lines) > window:
+            spans.append((0, len(lines)))
+        for i, n in spans:
+            unit = bag("\n".join(lines[i : i + n]))
+            own = math.sqrt(sum((k * idf.get(w, other)) ** 2 for w, k in unit.items()))
+            for template in templates if named else templates[: len(licenses.TEMPLATES)]:
+                norm = math.sqrt(sum((k * idf[w]) ** 2 for w, k in template.items()))
+                cosine = sum(k * template[w] * idf[w] ** 2 for w, k in unit.items()) / own / norm
+                if cosine >= 0.7:
+                    out[path, i + 1, n] = max(out.get((path, i + 1, n), 0), round(cosine, 9))
+    return out
+
+
 def test_the_word_test_loses_no_notice(spark):
-    """Every line's cosine to every template, without any test, against the scan."""
     lines = ["under the MIT License", "released under license", "version 2.0 of the license", "all rights", "reserved rights",
-             "by nc 4 0", "licensed", "the the the", "apache", "", "Licensed under CC BY 4.0!"]
+             "by nc 4 0", "licensed", "the the the", "apache", "", "Licensed under CC BY 4.0!", "redistribution and use in",
+             "source and binary forms", "-- --", "granted, free of charge, to any person", "permission is hereby"]
+    rng = random.Random(4)
     files = [(f"d/{i}", x) for i, x in enumerate(lines)]
-    total = len(files)
-    words = [Counter(re.findall("[a-z0-9]+", x.lower())) for x in lines]
-    vocabulary = {w for c in licenses.template_words() for w in c}
-    idf = {w: math.log((1 + total) / (1 + sum(w in c for c in words))) + 1 for w in vocabulary}
-    other = sum(idf.values()) / len(idf)
-    want = {}
-    for (path, _), line in zip(files, words):
-        for template in licenses.template_words():
-            norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in template.items()))
-            own = math.sqrt(sum((n * idf.get(w, other)) ** 2 for w, n in line.items()))
-            dot = sum(n * template[w] * idf[w] ** 2 for w, n in line.items() if w in template)
-            if own and dot / own / norm >= 0.7:
-                want[path] = max(want.get(path, 0), round(dot / own / norm, 9))
-    got = {r["path"]: round(r["cosine"], 9) for r in licenses.notices(files_of(spark, files)).collect()}
-    assert got == want and len(want) >= 3
+    files += [(f"{i}/{n}", "\n".join(rng.choices(lines, k=rng.randint(2, 14)))) for i in range(30) for n in ("x", "LICENSE")]
+    got = {(r["path"], r["line_no"], r["lines"]): round(r["cosine"], 9) for r in licenses.notices(files_of(spark, files)).collect()}
+    want = plain_notices(files)
+    assert got == want and len(want) >= 30 and max(n for _, _, n in want) > 2
+
+
+def wrapped(text, prefix="", width=60):
+    return "\n".join(prefix + x for x in textwrap.wrap(text, width))
+
+
+def test_headers_over_lines_and_licence_files(spark):
+    """Headers wrapped in comments, titles and whole texts are found, and what lies below them inherits."""
+    texts = dict(reversed(licenses.LICENSE_TEXTS))  # the first of each licence
+    whole = {name: text for name, text in licenses.LICENSE_TEXTS}  # the last of each licence
+    headers = {name: text for name, text in licenses.TEMPLATES}
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n"
+    rows = [
+        ("p/LICENSE", gpl + " Everyone is permitted to copy and distribute verbatim copies\n" + "of this document. " * 40),
+        ("p/src/a.c", "int main() {}"),
+        ("q/COPYING", "MIT License\n\nCopyright (c) 2021 Foo"),
+        ("q/b.py", "import os"),
+        ("r/licence.txt", "Copyright (c) 2020 Bar\n\n" + wrapped(whole["MIT"])),
+        ("s/LICENSE.md", "Copyright (c) 2020, Bar\nAll rights reserved.\n\n" + wrapped(whole["BSD-3-Clause"])),
+        ("t/LICENSE", "Copyright (c) 2020, Bar\n\n" + wrapped(whole["BSD-2-Clause"])),
+        ("u/LICENSE", "not a known one at all\n" * 30),
+        ("u/c.py", "MIT License"),  # a title counts in licence files only
+        ("v/d.py", "#!/usr/bin/python\n" + wrapped(headers["LGPL-3.0"], "# ") + "\nimport os\n" + "x = 1\n" * 40),
+        ("v/e.js", "/*\n" + wrapped(headers["MPL-2.0"], " * ") + "\n */\n" + "let x = 1\n" * 40),
+        ("v/f.go", "// one\n\n" + wrapped(headers["Apache-2.0"], "// ", 76) + "\npackage x\n" + "func y()\n" * 40),
+        ("w/NOTICE", "Copyright (c) 2021 Example Corporation. All rights reserved."),
+        ("x/LICENSE", wrapped(texts["Apache-2.0"], "   ", 30)),
+    ]
+    rows += [(f"z/{i}", f"the other files of any kind are {i}") for i in range(20)]
+    got = {r["path"]: r for r in licenses.scan(files_of(spark, rows)).collect()}
+    want = {
+        "p/LICENSE": "GPL-3.0", "p/src/a.c": "GPL-3.0", "q/COPYING": "MIT", "q/b.py": "MIT", "r/licence.txt": "MIT",
+        "s/LICENSE.md": "BSD-3-Clause", "t/LICENSE": "BSD-2-Clause", "u/LICENSE": None, "u/c.py": None, "v/d.py": "LGPL-3.0",
+        "v/e.js": "MPL-2.0", "v/f.go": "Apache-2.0", "w/NOTICE": "Proprietary", "x/LICENSE": "Apache-2.0",
+    }
+    assert {p: got[p]["license"] for p in want} == want
+    assert (got["p/LICENSE"]["line_no"], got["p/LICENSE"]["lines"]) == (1, 2)
+    assert got["q/b.py"]["source_path"] == "q/COPYING" and got["v/d.py"]["lines"] > 3
+    assert all(got[f"z/{i}"]["license"] is None for i in range(20))
+
+
+def test_license_scan_keeps_columns_called_like_its_own(spark):
+    names = "_path string, _own string, _dir string, _near string, _from string, lines int, path string, text string"
+    rows = licenses.scan(spark.createDataFrame([("a", "b", "c", "d", "e", 9, "x/LICENSE", "MIT License")], names)).collect()
+    assert [tuple(r)[:5] for r in rows] == [("a", "b", "c", "d", "e")] and (rows[0]["license"], rows[0]["lines"]) == ("MIT", 1)
 
 
 def test_license_scan_of_nothing_and_long_lines(spark):
