@@ -7,7 +7,7 @@ all files; the titles and texts of `LICENSE_TEXTS` only for files named like lic
 a-z and 0-9 of the lower-case text; a word of the templates weighs ln((1 + files) / (1 + files with
 it)) + 1, any other word their mean.
 
-Most windows are ruled out by a word test that cannot lose a notice: for every template the lightest
+Most windows are ruled out by a word test that cannot lose a notice: for every template the commonest
 words are left out as long as they could not reach the threshold by themselves, and a unit without
 any of the remaining words is no notice.
 
@@ -161,15 +161,16 @@ def document_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int,
     return files.count(), {r["word"]: r["count"] for r in found.collect()}
 
 
-def anchors(weights: list[dict[str, float]], threshold: float) -> list[str]:
-    """Words of which every line similar to a template has at least one."""
+def anchors(weights: list[dict[str, float]], idf: dict[str, float], threshold: float) -> list[str]:
+    """Words of which every unit similar to a template has at least one: the commonest are left out while that is safe."""
     out: set[str] = set()
     for weight in weights:
         total = sum(w * w for w in weight.values())
         rest = 0.0
-        for word, w in sorted(weight.items(), key=lambda x: (x[1], x[0])):
-            rest += w * w
-            if rest >= (threshold * threshold - 1e-9) * total:
+        for word, w in sorted(weight.items(), key=lambda x: (idf[x[0]], x[0])):
+            if rest + w * w < (threshold * threshold - 1e-9) * total:
+                rest += w * w
+            else:
                 out.add(word)
     return sorted(out)
 
@@ -237,7 +238,8 @@ def notices(
         )
     )
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
-    maybe = units(files, _any_of(anchors(weights[:n_headers], threshold)), _any_of(anchors(weights, threshold)), window)
+    tests = [_any_of(anchors(w, idf, threshold)) for w in (weights[:n_headers], weights)]
+    maybe = units(files, *tests, window)
     key = ["path", "line_no", "lines"]
     counts = (
         maybe.select(*key, "named", F.explode(words("text")).alias("word"))
