@@ -10,13 +10,15 @@ search ends by what it has found, not after a number of candidates.
 The largest inner product is the smallest distance once each vector gets one more component that
 brings it to the largest norm, and queries a zero.
 
-Rows and queries are dealt into blocks by a hash of the id; each pair of blocks is a task of bounded
-size that indexes its rows and answers its queries with the best k of the block.
+Rows are dealt into blocks of bounded size by a hash of the id. A block is indexed once, by one task, and
+every query passes through it in batches: a query leaves with the best k of the block, and the best k of
+all blocks are its result. So rows are moved once, and queries once for each block.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -49,7 +51,7 @@ class CollisionIndex:
     """Sorted projections of the rows of a block."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, projections: int, seed: int = 5):
-        self.ids, self.vectors, self.longest = ids, vectors, longest
+        self.ids, self.vectors, self.longest, self.verified = ids, vectors, longest, 0
         # Scaled by the longest vector, so that single precision neither overflows nor vanishes.
         self.rough = (vectors / (longest or 1.0)).astype(np.float32)
         rest = np.sqrt(np.maximum(longest**2 - np.square(vectors).sum(axis=1), 0))
@@ -84,6 +86,7 @@ class CollisionIndex:
             new = np.flatnonzero(waiting & (collisions >= least))
             if len(new):
                 waiting[new] = False
+                self.verified += len(new)
                 # Single precision rules out what cannot be among the best; the rest is computed in double.
                 rough = self.rough[new] @ rough_query
                 if len(new) > k:
@@ -103,15 +106,19 @@ class CollisionIndex:
         return list(zip(found_ids.tolist(), found_scores.tolist()))
 
 
+def block_count(rows: int, rows_per_block: int, fewest: int = 8192, tasks: int = 4) -> int:
+    """Blocks of at most about `rows_per_block` rows; a small table has up to `tasks` blocks of `fewest` rows or more."""
+    return max(1, math.ceil(rows / min(rows_per_block, max(fewest, rows / tasks))))
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    projections: int = 32,
-    share: float = 0.5,
+    projections: int = 160,
+    share: float = 0.85,
     recall: float = 0.97,
-    rows_per_block: int = 16_384,
-    queries_per_block: int = 1024,
+    rows_per_block: int = 65_536,
     id_column: str = "vec_id",
     column: str = "embedding",
 ) -> DataFrame:
@@ -120,7 +127,8 @@ def nearest(
     `vectors` and `queries` have an id and a vector. Rows with the query's id are not its neighbours;
     repeated rows are neighbours of their own. Null and zero vectors, vectors with null or non-finite
     components, vectors that have not the commonest length and rows with a null id take no part. A
-    query has fewer than k results only where there are fewer candidates.
+    query has fewer than k results only where there are fewer candidates. A task holds one block:
+    16 bytes for each projection and 12 for each component of its rows.
     """
     result = f"query_id long, {id_column} long, score double"
     pick = [F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")]
@@ -137,28 +145,31 @@ def nearest(
     rows, asked = stored(rows.where(usable), "rows"), stored(asked.where(usable), "queries")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     longest = rows.agg(F.max(norm)).first()[0] or 0.0
-    row_blocks = -(-count // rows_per_block) or 1
-    query_blocks = -(-asked.count() // queries_per_block) or 1
-
-    def block(n: int, salt: int):
-        return F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n))
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    indexed = rows.select("id", "v", block(row_blocks, 1).alias("r")).select("*", every(query_blocks).alias("q"))
-    posed = asked.select("id", "v", block(query_blocks, 2).alias("q")).select("*", every(row_blocks).alias("r"))
-
-    def answer(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(held) and len(wanted):
-            held = held.sort_values("id", kind="stable")
-            index = CollisionIndex(held["id"].to_numpy(), np.stack(held["v"]), longest, projections)
-            for query_id, v in zip(wanted["id"].tolist(), wanted["v"]):
-                out += [(query_id, i, s) for i, s in index.search(query_id, np.asarray(v), k, share, recall)]
-        return pd.DataFrame(out, columns=["query_id", id_column, "score"])
-
-    found = indexed.groupBy("r", "q").cogroup(posed.groupBy("r", "q")).applyInPandas(answer, result)
+    blocks = block_count(count, rows_per_block)
+
+    held = rows.select(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "v")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    posed = asked.select(every.alias("block"), F.lit(1).alias("asks"), "id", "v")
+    dealt = held.unionByName(posed).repartitionById(blocks, "block").sortWithinPartitions("block", "asks", "id")
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A partition's rows come before its queries."""
+        ids, parts, index = [], [], None
+        for batch in batches:
+            asks = (batch["asks"] == 1).to_numpy()
+            if not asks.all():
+                ids.append(batch["id"].to_numpy()[~asks])
+                parts.append(np.stack(batch["v"][~asks]))
+            if asks.any() and ids:
+                if index is None:
+                    index = CollisionIndex(np.concatenate(ids), np.concatenate(parts), longest, projections)
+                    parts.clear()
+                out = []
+                for query_id, v in zip(batch["id"][asks].tolist(), batch["v"][asks]):
+                    out += [(query_id, i, s) for i, s in index.search(query_id, np.asarray(v), k, share, recall)]
+                yield pd.DataFrame(out, columns=["query_id", id_column, "score"])
+
+    found = dealt.mapInPandas(answer, result)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), id_column)
     return (
         found.withColumn("rank", F.row_number().over(best))

@@ -1,5 +1,6 @@
 """Near duplicates of texts and vectors, components and nearest neighbours against brute force."""
 
+import inspect
 import math
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -216,7 +217,7 @@ def brute_neighbours(rows, queries, k):
 def test_neighbours_reach_the_recall(spark):
     good, rows = vector_rows()
     queries = [r for r in rows if r[0] % 2 == 1][::5] + rows[-7:]
-    got = ann.nearest(vectors_of(spark, rows), vectors_of(spark, queries), k=10, rows_per_block=200, queries_per_block=30)
+    got = ann.nearest(vectors_of(spark, rows), vectors_of(spark, queries), k=10, rows_per_block=200)
     found = defaultdict(list)
     for r in sorted(got.collect(), key=lambda r: (r["query_id"], r["rank"])):
         found[r["query_id"]].append((r["vec_id"], r["score"]))
@@ -252,6 +253,32 @@ def test_the_registered_search_has_a_recall_of_nine_tenths(spark, sf):
     assert sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_windows_leave_out_most_vectors(spark):
+    """With the default parameters at most four tenths of the vectors collide often enough to be scored."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    ids, matrix = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    default = {name: p.default for name, p in inspect.signature(ann.nearest).parameters.items()}
+    index = ann.CollisionIndex(ids, matrix, float(np.linalg.norm(matrix, axis=1).max()), default["projections"])
+    asked = np.flatnonzero(ids % 20 == 0)
+    for at in asked:
+        index.search(int(ids[at]), matrix[at], 20, default["share"], default["recall"])
+    assert index.verified <= 0.4 * len(ids) * len(asked)
+
+
+def test_blocks_are_bounded_and_few():
+    assert [ann.block_count(n, 65_536) for n in (0, 1, 8192, 8193, 51_282, 262_144, 10**7)] == [1, 1, 1, 2, 4, 4, 153]
+
+
+def test_many_blocks_give_what_one_gives(spark):
+    """Wide enough windows find every neighbour, in one block or in many."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(6).round(1).tolist()) for i in range(400)] + [(7, [1.0] * 6)]
+    asked = vectors_of(spark, rows[::9])
+    every = [ann.nearest(vectors_of(spark, rows), asked, k=5, recall=1 - 1e-9, rows_per_block=n) for n in (50, 1000)]
+    few, one = [sorted(tuple(r) for r in found.collect()) for found in every]
+    assert few == one and len(one) == 5 * len(rows[::9])
+
+
 def test_the_default_search_loses_few_neighbours(spark):
     path = "/root/testdata/sf0.1"
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
