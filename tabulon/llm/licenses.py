@@ -180,11 +180,38 @@ def _any_of(vocabulary: list[str]) -> str:
     return f"(^|[^a-z0-9])({'|'.join(vocabulary)})($|[^a-z0-9])"
 
 
-def units(files: DataFrame, header_test: str, file_test: str, window: int = WINDOW) -> DataFrame:
-    """(path, named, line_no, lines, text) of the windows and whole texts that pass the word tests.
+def line_sizes(parts: Column, idf: dict[str, float], other: float) -> Column:
+    """For every line: the norm `r` of its template words and a lower bound `q` of the squared norm of the others.
+
+    n words of which d are different have a sum of squared counts of n * n / d at least.
+    """
+    vocabulary = F.array(*[F.lit(w) for w in idf])
+    weight = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
+
+    def sizes(w: Column) -> Column:
+        def add(s: Column, word: Column) -> Column:
+            n = F.size(w) - F.size(F.array_remove(w, word))
+            return F.struct((s["r"] + F.pow(n * weight[word], 2)).alias("r"), (s["known"] + n).alias("known"))
+
+        def finish(s: Column) -> Column:
+            d = F.greatest(F.size(F.array_except(w, vocabulary)), F.lit(1))
+            return F.struct(F.sqrt(s["r"]).alias("r"), (F.pow((F.size(w) - s["known"]) * other, 2) / d).alias("q"))
+
+        return F.aggregate(F.array_intersect(w, vocabulary), F.struct(F.lit(0.0).alias("r"), F.lit(0).alias("known")), add, finish)
+
+    return F.transform(F.transform(parts, words), sizes)
+
+
+def units(
+    files: DataFrame, header_test: str, file_test: str, idf: dict[str, float], other: float, threshold: float,
+    window: int = WINDOW,
+) -> DataFrame:
+    """(path, named, line_no, lines, text) of the windows and whole texts that can be notices.
 
     Each line is put beside the next ones while its file is one row, so no file is gathered or sorted.
-    Whole texts of up to `window` lines are windows already.
+    Besides the word tests, sizes of the lines rule out windows: template words of a window have at most the
+    sum of its lines' norms, other words at least the sum of their squared norms. Whole texts of up to
+    `window` lines are windows already.
     """
 
     def passes(text) -> Column:
@@ -193,15 +220,19 @@ def units(files: DataFrame, header_test: str, file_test: str, window: int = WIND
 
     maybe = files.withColumn("named", F.col("path").rlike(LICENSE_NAME)).where(passes("text"))
     maybe = maybe.withColumn("parts", F.split("text", "\n", -1))
-    beside = F.arrays_zip(*[F.slice("parts", i + 1, F.size("parts")).alias(f"l{i}") for i in range(window)])
-    rows = maybe.select("path", "named", F.posexplode(beside).alias("at", "l")).select("path", "named", "at", "l.*")
+    sized = maybe.withColumn("sizes", line_sizes(F.col("parts"), idf, other))
+    beside = [F.slice(c, i + 1, F.size("parts")).alias(f"{x}{i}") for x, c in (("l", "parts"), ("s", "sizes")) for i in range(window)]
+    rows = sized.select("path", "named", F.posexplode(F.arrays_zip(*beside)).alias("at", "l")).select("path", "named", "at", "l.*")
     rows = rows.where(F.lower("l0").rlike(WORD)).withColumns({f"a{i}": passes(f"l{i}") for i in range(window)})
 
     def ending(i: int) -> Column:
         """The window that ends with the i-th next line, or null."""
         some = F.greatest(*[F.col(f"a{j}") for j in range(i + 1)]) if i else F.col("a0")
+        known, unknown = (sum((F.col(f"s{j}.{x}") for j in range(i + 1)), F.lit(0.0)) for x in "rq")
+        enough = (1 - threshold**2) * known * known >= threshold**2 * (1 - 1e-9) * unknown
         text = F.concat_ws("\n", *[f"l{j}" for j in range(i + 1)])
-        return F.when(some & F.lower(f"l{i}").rlike(WORD), F.struct(F.lit(i + 1).alias("lines"), text.alias("text")))
+        unit = F.struct(F.lit(i + 1).alias("lines"), text.alias("text"))
+        return F.when(some & enough & F.lower(f"l{i}").rlike(WORD), unit)
 
     rows = rows.where(F.greatest(*[F.col(f"a{i}") for i in range(window)]) if window > 1 else F.col("a0"))
     windows = rows.select(
@@ -239,7 +270,7 @@ def notices(
     )
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
     tests = [_any_of(anchors(w, idf, threshold)) for w in (weights[:n_headers], weights)]
-    maybe = units(files, *tests, window)
+    maybe = units(files, *tests, idf, other, threshold, window)
     key = ["path", "line_no", "lines"]
     counts = (
         maybe.select(*key, "named", F.explode(words("text")).alias("word"))
