@@ -176,12 +176,15 @@ def anchors(weights: list[dict[str, float]], idf: dict[str, float], threshold: f
 
 
 def _any_of(vocabulary: list[str]) -> str:
-    """A pattern for lower-case texts that have one of these words."""
-    return f"(^|[^a-z0-9])({'|'.join(vocabulary)})($|[^a-z0-9])"
+    """A pattern for lower-case texts that have one of these words, which are tried by their first letter."""
+    rests: dict[str, list[str]] = {}
+    for word in vocabulary:
+        rests.setdefault(word[0], []).append(word[1:])
+    return f"(?<![a-z0-9])(?:{'|'.join(f'{first}(?:{"|".join(rest)})' for first, rest in rests.items())})(?![a-z0-9])"
 
 
-def line_sizes(parts: Column, idf: dict[str, float], other: float) -> Column:
-    """For every line: the norm `r` of its template words and a lower bound `q` of the squared norm of the others.
+def line_size(line: Column, idf: dict[str, float], other: float) -> Column:
+    """The norm `r` of a line's template words and a lower bound `q` of the squared norm of its others.
 
     n words of which d are different have a sum of squared counts of n * n / d at least.
     """
@@ -199,55 +202,77 @@ def line_sizes(parts: Column, idf: dict[str, float], other: float) -> Column:
 
         return F.aggregate(F.array_intersect(w, vocabulary), F.struct(F.lit(0.0).alias("r"), F.lit(0).alias("known")), add, finish)
 
-    return F.transform(F.transform(parts, words), sizes)
+    return F.transform(F.array(words(line)), sizes)[0]
+
+
+def window_ends(near: Column, threshold: float) -> Column:
+    """Numbers of lines of the windows at the start of `near` (line, filled, anchor, size) that can be notices.
+
+    A window ends with a line that has words, has a line that passed the word test, and its sizes leave the
+    threshold in reach: its template words have at most the sum of its lines' norms, its other words at least
+    the sum of their squared norms.
+    """
+
+    def add(s: Column, line: Column) -> Column:
+        n, r, q = s["n"] + 1, s["r"] + line["size"]["r"], s["q"] + line["size"]["q"]
+        some = s["some"] | line["anchor"]
+        enough = (1 - threshold**2) * r * r >= threshold**2 * (1 - 1e-9) * q
+        ends = F.when(some & enough & line["filled"], F.concat(s["ends"], F.array(n))).otherwise(s["ends"])
+        return F.struct(n.alias("n"), r.alias("r"), q.alias("q"), some.alias("some"), ends.alias("ends"))
+
+    start = F.struct(
+        F.lit(0).alias("n"), F.lit(0.0).alias("r"), F.lit(0.0).alias("q"), F.lit(False).alias("some"),
+        F.array().cast("array<int>").alias("ends"),
+    )
+    return F.aggregate(near, start, add, lambda s: s["ends"])
 
 
 def units(
     files: DataFrame, header_test: str, file_test: str, idf: dict[str, float], other: float, threshold: float,
     window: int = WINDOW,
 ) -> DataFrame:
-    """(path, named, line_no, lines, text) of the windows and whole texts that can be notices.
+    """(path, named, file_words, line_no, lines, text) of the windows and whole texts that can be notices.
 
-    Each line is put beside the next ones while its file is one row, so no file is gathered or sorted.
-    Besides the word tests, sizes of the lines rule out windows: template words of a window have at most the
-    sum of its lines' norms, other words at least the sum of their squared norms. Whole texts of up to
-    `window` lines are windows already.
+    One pass over the files. Each line is measured once and looks at the next ones while its file is one
+    row, so no file is gathered or sorted; only starts of windows that can be notices leave it. `file_test`
+    has all words of `header_test`. Whole texts of up to `window` lines are windows already.
     """
 
     def passes(text) -> Column:
         low = F.lower(text)
-        return F.coalesce(low.rlike(header_test) | (F.col("named") & low.rlike(file_test)), F.lit(False))
+        return F.coalesce(F.when(F.col("named"), low.rlike(file_test)).otherwise(low.rlike(header_test)), F.lit(False))
+
+    def measured(line: Column) -> Column:
+        return F.struct(
+            line.alias("line"), F.lower(line).rlike(WORD).alias("filled"), passes(line).alias("anchor"),
+            line_size(line, idf, other).alias("size"),
+        )
+
+    def begin(line: Column, at: Column) -> Column:
+        near = F.slice("parts", at + 1, F.lit(window))
+        ends = F.when(line["filled"] & F.exists(near, lambda x: x["anchor"]), window_ends(near, threshold))
+        return F.struct((at + 1).alias("line_no"), ends.alias("ends"), F.transform(near, lambda x: x["line"]).alias("near"))
 
     maybe = files.withColumn("named", F.col("path").rlike(LICENSE_NAME)).where(passes("text"))
-    maybe = maybe.withColumn("parts", F.split("text", "\n", -1))
-    sized = maybe.withColumn("sizes", line_sizes(F.col("parts"), idf, other))
-    beside = [F.slice(c, i + 1, F.size("parts")).alias(f"{x}{i}") for x, c in (("l", "parts"), ("s", "sizes")) for i in range(window)]
-    rows = sized.select("path", "named", F.posexplode(F.arrays_zip(*beside)).alias("at", "l")).select("path", "named", "at", "l.*")
-    rows = rows.where(F.lower("l0").rlike(WORD)).withColumns({f"a{i}": passes(f"l{i}") for i in range(window)})
-
-    def ending(i: int) -> Column:
-        """The window that ends with the i-th next line, or null."""
-        some = F.greatest(*[F.col(f"a{j}") for j in range(i + 1)]) if i else F.col("a0")
-        known, unknown = (sum((F.col(f"s{j}.{x}") for j in range(i + 1)), F.lit(0.0)) for x in "rq")
-        enough = (1 - threshold**2) * known * known >= threshold**2 * (1 - 1e-9) * unknown
-        text = F.concat_ws("\n", *[f"l{j}" for j in range(i + 1)])
-        unit = F.struct(F.lit(i + 1).alias("lines"), text.alias("text"))
-        return F.when(some & enough & F.lower(f"l{i}").rlike(WORD), unit)
-
-    rows = rows.where(F.greatest(*[F.col(f"a{i}") for i in range(window)]) if window > 1 else F.col("a0"))
-    windows = rows.select(
-        "path", "named", (F.col("at") + 1).alias("line_no"), F.explode(F.array(*[ending(i) for i in range(window)])).alias("u")
-    ).where("u IS NOT NULL")
-    whole = maybe.where(F.col("named") & (F.size("parts") > window)).select(
-        "path", "named", F.lit(1).alias("line_no"), F.size("parts").alias("lines"), "text"
+    maybe = maybe.withColumn("parts", F.transform(F.split("text", "\n", -1), measured))
+    whole = F.struct(F.lit(1).alias("line_no"), F.array(F.size("parts")).alias("ends"), F.array("text").alias("near"))
+    starts = F.concat(
+        F.filter(F.transform("parts", begin), lambda x: F.size(x["ends"]) > 0),
+        F.when(F.col("named") & (F.size("parts") > window), F.array(whole)).otherwise(F.array()),
     )
-    return windows.select("path", "named", "line_no", "u.lines", "u.text").unionByName(whole)
+    rows = maybe.select("path", "named", F.size(words("text")).alias("file_words"), F.explode(starts).alias("s"))
+    rows = rows.select("path", "named", "file_words", "s.line_no", "s.near", F.explode("s.ends").alias("lines"))
+    text = F.array_join(F.slice("near", F.lit(1), F.col("lines")), "\n")
+    return rows.select("path", "named", "file_words", "line_no", "lines", text.alias("text"))
 
 
 def notices(
     files: DataFrame, threshold: float = 0.7, templates=TEMPLATES, license_texts=LICENSE_TEXTS, window: int = WINDOW
 ) -> DataFrame:
-    """(path, line_no, lines, license, cosine, unit_words) of every unit that is a notice; lines count from 1."""
+    """(path, line_no, lines, license, cosine, unit_words, file_words) of every unit that is a notice; lines count from 1.
+
+    `file_words` are the words of its file, of the shortest one if several have the path.
+    """
     spark = files.sparkSession
     templates, n_headers = (*templates, *license_texts), len(templates)
     counted = template_words(templates)
@@ -273,9 +298,9 @@ def notices(
     maybe = units(files, *tests, idf, other, threshold, window)
     key = ["path", "line_no", "lines"]
     counts = (
-        maybe.select(*key, "named", F.explode(words("text")).alias("word"))
+        maybe.select(*key, "named", "file_words", F.explode(words("text")).alias("word"))
         .groupBy(*key, "named", "word")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.min("file_words").alias("file_words"))
     )
     counts = stored(counts, "notice-words")
     size = (
@@ -284,6 +309,7 @@ def notices(
         .agg(
             F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"),
             F.sum("n").alias("unit_words"),
+            F.min("file_words").alias("file_words"),
         )
     )
     dots = (
@@ -294,9 +320,8 @@ def notices(
     )
     near = dots.join(size, key).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 12)).where(F.col("cosine") >= threshold)
     best = F.max_by(F.struct("license", "cosine"), F.struct("cosine", (-F.col("template")).alias("t"))).alias("best")
-    return near.groupBy(*key).agg(best, F.first("unit_words").alias("unit_words")).select(
-        *key, "best.license", "best.cosine", "unit_words"
-    )
+    sizes = [F.first(c).alias(c) for c in ("unit_words", "file_words")]
+    return near.groupBy(*key).agg(best, *sizes).select(*key, "best.license", "best.cosine", "unit_words", "file_words")
 
 
 def folder(path: Column) -> Column:
@@ -336,13 +361,11 @@ def scan(
     known = files.where("path IS NOT NULL").select("path", F.coalesce("text", F.lit("")).alias("text"))
     found = notices(known, threshold, templates, license_texts, window)
     order = F.struct((F.col("license") != RESERVED).alias("names"), "cosine", (-F.col("line_no")).alias("t"), (-F.col("lines")).alias("s"))
-    own = found.groupBy("path").agg(F.max_by(F.struct("license", "cosine", "line_no", "lines", "unit_words"), order).alias("own"))
-    own = stored(own, "own")
+    notice = F.struct("license", "cosine", "line_no", "lines", "unit_words", "file_words")
+    own = stored(found.groupBy("path").agg(F.max_by(notice, order).alias("own")), "own")
     own_side = F.broadcast(own) if fits_broadcast(own) else own
-    sized = known.join(own_side, "path").select(
-        "path", "own", (F.col("own.unit_words") >= file_share * F.size(words("text"))).alias("mostly")
-    )
-    holders = sized.where(F.col("mostly") | F.col("path").rlike(LICENSE_NAME)).select(
+    mostly = F.col("own.unit_words") >= file_share * F.col("own.file_words")
+    holders = own.where(mostly | F.col("path").rlike(LICENSE_NAME)).select(
         folder(F.col("path")).alias("above"), "path", "own.license", "own.cosine"
     )
     first = F.min_by(F.struct("license", "path"), F.struct((F.col("license") == RESERVED).alias("r"), (-F.col("cosine")).alias("c"), "path")).alias("held")
