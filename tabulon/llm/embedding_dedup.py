@@ -7,6 +7,8 @@ are computed exactly.
 
 1. Sign bits of further rotations, `band_bits` at a time, deal the vectors into buckets; the number
    of bands follows from the wished recall at the threshold, the bits from the number of vectors.
+   Rows of buckets carry the code: the share of differing bits estimates the angle of two vectors, so
+   nearly all pairs that met by chance are gone before any full vector is fetched.
 2. Tight groups: each vector is compared with the smallest vector of each of its buckets. Those
    within half the threshold angle of one form a group around it. Two vectors of a group are within
    the threshold angle of each other, so the links within groups are counted, not listed, and a group
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.llm.common import stored, unit_rows
 from tabulon.llm.components import components
@@ -31,6 +33,8 @@ from tabulon.operators.lookup import fits_broadcast
 
 #: Standard deviations added to an estimate; a pair at the threshold is overlooked once in 30,000 times.
 CONFIDENCE = 4.0
+#: Standard deviations added when only differing bits are counted, which are binomial and so have a heavier tail.
+BITS_CONFIDENCE = 5.0
 #: Members of a group that are compared at once.
 BLOCK = 1024
 #: Room for rounding in comparisons of angles; pairs within it are computed one by one.
@@ -74,8 +78,21 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+def _parts(width: int) -> list[str]:
+    """Names of the columns that hold a code as 64-bit integers."""
+    return [f"code{i}" for i in range(math.ceil(width / 64))]
+
+
+def may_reach(width: int, left: str, right: str, least: Column) -> Column:
+    """Whether two vectors may have a cosine of `least`, by the differing bits of the codes in two structs."""
+    apart = sum((F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in _parts(width)), F.lit(0))
+    share = F.acos(least) / math.pi
+    return apart <= 1 + width * share + BITS_CONFIDENCE * F.sqrt(width * share * (1 - share))
+
+
 def _prepared(vectors: DataFrame, width: int, rotation: np.ndarray) -> DataFrame:
-    """(row, unit, code, factor) of the usable vectors."""
+    """(row, unit, code, factor) of the usable vectors, and the code in parts."""
+    names = _parts(width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,13 +103,18 @@ def _prepared(vectors: DataFrame, width: int, rotation: np.ndarray) -> DataFrame
                 scaled /= np.abs(scaled).max(axis=1, keepdims=True)
                 units = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
                 codes, factors = encode(units, rotation)
-                yield pd.DataFrame({"row": batch["row"].to_numpy()[keep], "unit": list(units), "code": codes, "factor": factors})
+                filled = b"".join(c.ljust(8 * len(names), b"\0") for c in codes)
+                parts = np.frombuffer(filled, "<i8").reshape(len(codes), len(names))
+                found = {"row": batch["row"].to_numpy()[keep], "unit": list(units), "code": codes, "factor": factors}
+                yield pd.DataFrame(found | dict(zip(names, parts.T)))
 
-    return vectors.select("row", "embedding").mapInPandas(run, "row long, unit array<double>, code binary, factor double")
+    schema = ", ".join(["row long, unit array<double>, code binary, factor double", *(f"{c} long" for c in names)])
+    return vectors.select("row", "embedding").mapInPandas(run, schema)
 
 
 def _buckets(prepared: DataFrame, width: int, bits: int, bands: int) -> DataFrame:
-    """(band, row): the bucket of each vector in each band."""
+    """(band, row) and the code in parts: the bucket of each vector in each band."""
+    names = _parts(width)
     turns = rotations(width, math.ceil(bits * bands / width), seed=13)
     powers = 1 << np.arange(bits, dtype=np.int64)
 
@@ -101,9 +123,11 @@ def _buckets(prepared: DataFrame, width: int, bits: int, bands: int) -> DataFram
             units = np.stack(batch["unit"])
             signs = np.concatenate([units @ t > 0 for t in turns], axis=1)[:, : bits * bands]
             keys = signs.reshape(len(units), bands, bits) @ powers + (np.arange(bands, dtype=np.int64) << bits)
-            yield pd.DataFrame({"band": keys.ravel(), "row": np.repeat(batch["row"].to_numpy(), bands)})
+            carried = {c: np.repeat(batch[c].to_numpy(), bands) for c in ("row", *names)}
+            yield pd.DataFrame({"band": keys.ravel()} | carried)
 
-    return prepared.select("row", "unit").mapInPandas(run, "band long, row long")
+    schema = ", ".join(["band long, row long", *(f"{c} long" for c in names)])
+    return prepared.select("row", "unit", *names).mapInPandas(run, schema)
 
 
 def _exact(pairs: DataFrame, prepared: DataFrame, rotation: np.ndarray) -> DataFrame:
@@ -219,9 +243,13 @@ def near_duplicates(
     buckets = stored(_buckets(prepared, width, bits, bands), "buckets")
 
     # Tight groups around the smallest vectors of buckets.
-    shared = buckets.groupBy("band").agg(F.min("row").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    held = buckets.select("band", F.struct("row", *_parts(width)).alias("one"))
+    shared = held.groupBy("band").agg(F.min("one").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     tight = math.cos(angle / 2) + ROUNDING
-    tries = buckets.join(shared, "band").where("row <> b").select(F.col("row").alias("a"), "b").distinct()
+    tries = (
+        held.join(shared, "band").where("one.row <> first.row").where(may_reach(width, "one", "first", F.lit(tight)))
+        .select(F.col("one.row").alias("a"), F.col("first.row").alias("b")).distinct()
+    )
     close = _exact(tries.withColumn("least", F.lit(tight)), prepared, rotation).where(F.col("cosine") >= tight)
     centre = close.groupBy("a").agg(F.min(F.struct("b", "cosine")).alias("best"))
     members = stored(
@@ -235,17 +263,21 @@ def near_duplicates(
     sizes = stored(members.groupBy("group").agg(F.count("*").alias("size"), F.max("off").alias("radius")), "groups")
 
     # Pairs of groups that share a bucket, compared by their centres.
-    spots = stored(buckets.join(members.select("row", "group"), "row").select("band", "group").distinct(), "spots")
-    met = (
-        spots.join(spots.select("band", F.col("group").alias("other")), "band").where("group < other")
-        .select("group", "other").distinct()
-    )
     known = _small(sizes)
+    codes = prepared.select(F.col("row").alias("group"), F.struct(*_parts(width)).alias("bits"))
+    centres = _small(stored(codes.join(known.select("group", "radius"), "group"), "centres"))
+    spots = stored(
+        buckets.select("band", "row").join(_small(members.select("row", "group")), "row").select("band", "group").distinct()
+        .join(centres, "group"),
+        "spots",
+    )
+    seen = spots.select("band", F.col("group").alias("other"), F.col("radius").alias("other_radius"), F.col("bits").alias("other_bits"))
     other = known.select(F.col("group").alias("other"), F.col("size").alias("other_size"), F.col("radius").alias("other_radius"))
     reach = F.col("radius") + F.col("other_radius")
-    pairs = met.join(known, "group").join(other, "other").select(
-        F.col("group").alias("a"), F.col("other").alias("b"),
-        F.cos(F.least(F.lit(math.pi), F.lit(angle + ROUNDING) + reach)).alias("least"),
+    least = F.cos(F.least(F.lit(math.pi), F.lit(angle + ROUNDING) + reach))
+    pairs = (
+        spots.join(seen, "band").where("group < other").where(may_reach(width, "bits", "other_bits", least))
+        .select(F.col("group").alias("a"), F.col("other").alias("b"), least.alias("least")).distinct()
     )
     compared = stored(
         _exact(pairs, prepared, rotation).select(F.col("a").alias("group"), F.col("b").alias("other"), "cosine")
