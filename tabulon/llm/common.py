@@ -38,12 +38,13 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, id_column: str = "do
 
     A column of `docs` that is already called `label` gives way.
     """
+    at = free_name(docs, "_labelled_id")
     known = (
         labels.where(F.col(name).isin(0, 1) & F.col(id_column).isNotNull())
-        .groupBy(F.col(id_column).alias("_labelled_id"))
+        .groupBy(F.col(id_column).alias(at))
         .agg(F.max(F.col(name).cast("int")).alias("label"))
     )
-    return docs.drop("label").join(known, F.col(id_column) == F.col("_labelled_id")).drop("_labelled_id")
+    return docs.drop("label").join(known, F.col(id_column) == F.col(at)).drop(at)
 
 
 def portions(texts: Iterable[str | None], characters: int = 1_000_000) -> Iterator[list[str | None]]:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.operators.lookup import fits_broadcast
-from tabulon.llm.common import stored
+from tabulon.llm.common import free_name, stored
 
 BROADCAST_BYTES = 16 << 20
 
@@ -63,19 +63,20 @@ def drop_boilerplate(
     removed lines is added as `lines_dropped` (replacing a column of that name).
     """
     found = stored(boilerplate(docs, host, text, max_ratio, min_pages).select("host", "digest"), "boilerplate")
-    per_host = found.groupBy("host").agg(F.collect_set("digest").alias("_drop")).withColumnRenamed("host", "_host")
+    drop, at, left = (free_name(docs, c) for c in ("_drop", "_host", "_kept"))
+    per_host = found.groupBy("host").agg(F.collect_set("digest").alias(drop)).withColumnRenamed("host", at)
     if fits_broadcast(found, BROADCAST_BYTES):
         per_host = F.broadcast(per_host)
-    joined = docs.join(per_host, F.col(host).eqNullSafe(F.col("_host")), "left")
+    joined = docs.join(per_host, F.col(host).eqNullSafe(F.col(at)), "left")
     lines = lines_of(F.col(text))
-    kept = F.filter(lines, lambda x: ~F.array_contains("_drop", digest(x)))
-    stays = F.col("_drop").isNull() | F.col(text).isNull()
+    kept = F.filter(lines, lambda x: ~F.array_contains(drop, digest(x)))
+    stays = F.col(drop).isNull() | F.col(text).isNull()
     return (
-        joined.withColumn("_kept", F.when(stays, F.lit(None)).otherwise(kept))
+        joined.withColumn(left, F.when(stays, F.lit(None)).otherwise(kept))
         .withColumn(
             "lines_dropped",
-            F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long"),
+            F.when(F.col(left).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long"),
         )
-        .withColumn(text, F.when(F.col("lines_dropped") == 0, F.col(text)).otherwise(F.array_join("_kept", "\n")))
-        .drop("_kept", "_drop", "_host")
+        .withColumn(text, F.when(F.col("lines_dropped") == 0, F.col(text)).otherwise(F.array_join(left, "\n")))
+        .drop(left, drop, at)
     )

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabulon.llm.common import lean, mix32, slices, stored
+from tabulon.llm.common import free_name, lean, mix32, slices, stored
 from tabulon.llm.components import components
 from tabulon.operators.lookup import fits_broadcast
 
@@ -292,17 +292,18 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, re
     Of repeated rows (equal id and text) of a group, one stays.
     """
     found = stored(near_duplicates(docs, threshold, n, recall), "near-duplicates")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key")).distinct()
+    near_id, near_key, near_text = (free_name(docs, c) for c in ("_near_id", "_near_key", "_near_text"))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(near_id), F.col("text_key").alias(near_key)).distinct()
     gone = stored(gone, "gone")
     gone = F.broadcast(gone) if fits_broadcast(gone) else gone
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (F.col("_near_text") == F.col("_near_key"))
-    left = docs.withColumn("_near_text", key).join(gone, same, "left_anti")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(near_id)) & (F.col(near_text) == F.col(near_key))
+    left = docs.withColumn(near_text, key).join(gone, same, "left_anti")
     repeated = (
         found.where("kept AND n_links > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
-        .select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key"))
+        .select(F.col("doc_id").alias(near_id), F.col("text_key").alias(near_key))
     )
     if not repeated.isEmpty():
-        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_near_text"])
+        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", near_text])
         left = left.join(repeated, same, "left_anti").unionByName(once)
-    return left.drop("_near_text")
+    return left.drop(near_text)

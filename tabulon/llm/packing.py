@@ -12,6 +12,7 @@ on open bins, whatever the corpus size.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,13 +36,31 @@ def _byte_letters() -> list[str]:
     return [chr(256 + rest.index(b)) if b in rest else chr(b) for b in range(256)]
 
 
+# How a vocabulary file says that it lower-cases and cuts texts into the units of `WordTokenizer`.
+LOWER_CASE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_words(tokenizer) -> bool:
+    """Whether a loaded vocabulary cuts texts the way `WordTokenizer` does."""
+    stated = json.loads(tokenizer.to_str())
+    steps = (stated["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        (stated["normalizer"] or {}).get("normalizers") == LOWER_CASE
+        and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+        and steps[0]["pattern"] == {"Regex": WORD_UNITS}
+        and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+        and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+    )
+
+
 class WordTokenizer:
     """Ids of whole texts as 32-bit little-endian bytes, equal to encoding them in one call.
 
     The vocabulary's pre-tokeniser cuts a text at blanks and into runs of letters, digits and runs of
     symbols; the ids of a text are those of its units, so words and units are remembered. Texts with
-    characters whose letter case, normal form or class may depend on more than themselves, and texts
-    with special tokens, are encoded whole.
+    characters whose letter case, normal form or class may depend on more than themselves, texts
+    with special tokens, and all texts if the vocabulary cuts them in another way, are encoded whole.
     """
 
     special = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
@@ -51,6 +70,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = cuts_words(self.tokenizer)
         self.letters = _byte_letters()
         self.of_unit = Memory(self._unit)
         self.of_word = Memory(lambda word: b"".join(map(self.of_unit.__getitem__, self.units.findall(word))))
@@ -62,7 +82,7 @@ class WordTokenizer:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.special.search(text) or "<|" in text:
+        if not self.by_words or self.special.search(text) or "<|" in text:
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.of_word.__getitem__, text.lower().split()))
 

@@ -7,8 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import ann, embedding_dedup, ngram_join
+from tabulon.llm.common import labelled
 from tabulon.llm.components import components
 from tabulon.llm.queries import QUERIES
 
@@ -294,3 +296,36 @@ def test_the_default_search_loses_few_neighbours(spark):
         hits, total = hits + len(got[int(ids[at])] & want), total + len(want)
     print("recall", hits / total)
     assert hits >= 0.98 * total
+
+
+def test_near_duplicates_keep_columns_called_like_their_own(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 1, 2, 3), (2, text, 1, 2, 3), (2, text, 1, 2, 3), (3, "other words", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _near_id int, _near_key int, _near_text int")
+    assert sorted(tuple(r) for r in ngram_join.drop_near_duplicates(docs).collect()) == [rows[0], rows[3]]
+
+
+def test_labels_join_beside_a_column_called_like_theirs(spark):
+    docs = spark.createDataFrame([(1, 7), (2, 8)], "doc_id long, _labelled_id int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert [tuple(r) for r in labelled(docs, labels, "quality").collect()] == [(1, 7, 1)]
+
+
+@pytest.mark.parametrize("width", [3, 64, 100])
+def test_differing_bits_rule_out_strays_and_no_link(spark, width):
+    rng = np.random.default_rng(width)
+    a = rng.standard_normal((3000, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = a + rng.standard_normal(a.shape) * 0.45 / math.sqrt(width)
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = np.einsum("ij,ij->i", a, b)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((a, b)))]
+    table = spark.createDataFrame(rows, "row long, embedding array<double>")
+    bits = F.struct(*embedding_dedup._parts(width))
+    coded = embedding_dedup._prepared(table, width, embedding_dedup.rotations(width, 1)[0]).select("row", bits.alias("x"))
+    other = coded.select((F.col("row") - 3000).alias("row"), F.col("x").alias("y"))
+    passed = embedding_dedup.may_reach(width, "x", "y", F.lit(0.9))
+    linked = {r[0] for r in coded.join(other, "row").where(passed).select("row").collect()}
+    assert set(np.flatnonzero(cosine >= 0.9)) <= linked
+    strays = coded.where("row < 3000").join(other.select((F.col("row") + 1).alias("row"), "y"), "row").where(passed).count()
+    assert width < 64 or strays < 150

@@ -10,8 +10,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from tabulon.llm import licenses, line_dedup, packing, sentencepiece
+from tabulon.llm.common import packed
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, size int, host string"
 
@@ -306,3 +308,20 @@ def test_license_scan_of_nothing_and_long_lines(spark):
     assert licenses.scan(files_of(spark, [])).collect() == []
     rows = licenses.scan(files_of(spark, [("a", "license " * 50_000), ("b", "x" * 200_000)])).collect()
     assert {r["origin"] for r in rows} == {"none"}
+
+
+def test_line_dedup_keeps_columns_called_like_its_own(spark):
+    rows = [(i, f"same line\nown {i}", "h", 1, 2, 3) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _drop int, _host int, _kept int")
+    found = line_dedup.drop_boilerplate(docs).collect()
+    assert {(r["text"], r["_drop"], r["_host"], r["_kept"]) for r in found} == {(f"own {i}", 1, 2, 3) for i in range(10)}
+
+
+@pytest.mark.parametrize("name, words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_ids_of_any_vocabulary_equal_whole_texts(name, words):
+    path = public_tokenizers.path(name)
+    whole = Tokenizer.from_file(path)
+    coded = packing.WordTokenizer(path)
+    assert coded.by_words == words
+    for text in ("Hello  World, it's 2024!", " two\n\nlines\t", "Ünïcode 字 x", ""):
+        assert coded.encode(text) == packed(whole.encode(text, add_special_tokens=False).ids)
