@@ -20,11 +20,14 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose quality score is one half or more; nothing else about them changes."""
+    """Keeps the documents whose quality score is one half or more; nothing else about them changes.
+
+    A null text is scored like an empty one, repeated rows are scored alike. Columns other than those of
+    documents are dropped, here and in the stages that follow.
+    """
     ship_package(spark)
-    measured = quality.with_statistics(docs.select("doc_id", "text")).drop("text")
-    rows = train_rows(measured, table(spark, sf_dir, "labels"), "quality", 3, 1).select("label", "statistics")
-    model = quality.fit(stored(rows, "labelled"))
+    rows = train_rows(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), "quality", 3, 1)
+    model = quality.fit(stored(quality.with_statistics(rows).select("label", "statistics"), "labelled"))
     return quality.with_scores(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
@@ -47,7 +50,10 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: one row per piece of a document, with its place."""
+    """Token sequences: one row per piece of a document, with its place.
+
+    A null text is packed like an empty one, as its end token; each of repeated rows is packed.
+    """
     ship_package(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
