@@ -60,6 +60,17 @@ class CollisionIndex:
         self.order = np.argsort(placed, axis=1)
         self.sorted = np.take_along_axis(placed, self.order, axis=1)
 
+    def positions(self, values: np.ndarray) -> np.ndarray:
+        """Where each value, one for every projection, belongs in its sorted array: all are halved together."""
+        count = self.sorted.shape[1]
+        each = np.arange(len(self.sorted))
+        low, high = np.zeros(values.shape, np.int64), np.full(values.shape, count)
+        for _ in range(count.bit_length()):
+            middle = (low + high) >> 1
+            below = (low < high) & (self.sorted[each, np.minimum(middle, count - 1)] < values)
+            low, high = np.where(below, middle + 1, low), np.where(below, high, middle)
+        return low
+
     def search(self, query_id: int, query: np.ndarray, k: int, share: float, recall: float) -> list[tuple[int, float]]:
         """The best k found: (id, inner product), the largest first, ties to the smaller id."""
         count = len(self.directions)
@@ -72,16 +83,15 @@ class CollisionIndex:
         rough_query = (query / (norm or 1.0)).astype(np.float32)
         margin = 4e-7 * (len(query) + 4)  # more than the rounding of two single-precision products of unit vectors
         waiting = self.ids != query_id
-        low = [int(x.searchsorted(p)) for x, p in zip(self.sorted, places)]
-        high = list(low)
+        low = high = self.positions(places)
         found_ids, found_scores = np.zeros(0, np.int64), np.zeros(0)
         width = FIRST * ratio * size
         while True:
+            new_low, new_high = self.positions(np.stack((places - width, places + width)))
             reached = []
-            for j, (row, order, place) in enumerate(zip(self.sorted, self.order, places)):
-                new_low, new_high = row.searchsorted((place - width, place + width))
-                reached += (order[new_low : low[j]], order[high[j] : new_high])
-                low[j], high[j] = new_low, new_high
+            for order, a, b, c, d in zip(self.order, new_low.tolist(), low.tolist(), high.tolist(), new_high.tolist()):
+                reached += (order[a:b], order[c:d])
+            low, high = new_low, new_high
             collisions += np.bincount(np.concatenate(reached), minlength=len(collisions))
             new = np.flatnonzero(waiting & (collisions >= least))
             if len(new):
