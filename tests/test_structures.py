@@ -25,6 +25,7 @@ from tabulon.operators.dependencies import closure, run_order
 from tabulon.operators.features import rank_features
 from tabulon.operators.selection import FeatureSelector, FeatureSelectorModel
 from tabulon.operators.side_by_side import side_by_side
+from tabulon.plans.catalog import QUERIES
 from tabulon.plans.queries_tables import turn_slots, typed_workbook
 from tabulon.plans.run import Options, run
 from tabulon.sources import store, workbooks
@@ -377,3 +378,15 @@ def test_features_with_one_value_are_ranked_last(spark):
     rows = spark.range(50).select(F.lit(3.0).alias("same"), (F.col("id") * 2.0).alias("good"), (F.col("id") % 7).alias("other"), F.col("id").cast("double").alias("y"))
     ranked = [(r["column"], r["score"]) for r in rank_features(rows, "y", 3).orderBy("rank").collect()]
     assert ranked[0] == ("good", pytest.approx(1.0)) and ranked[-1] == ("same", None)
+
+
+def test_a_stream_reads_a_table_of_many_files_and_an_empty_one(spark, sf, tmp_path):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    turns.repartition(3).write.parquet(str(tmp_path / "many/conversations.parquet"))
+    turns.limit(0).write.parquet(str(tmp_path / "none/conversations.parquet"))
+    # A neighbour whose name is alike is another table.
+    turns.withColumn("conv_id", -F.col("conv_id") - 1).write.parquet(str(tmp_path / "many/conversations.parquet2"))
+    got = QUERIES["slot_fold_stream"](spark, str(tmp_path / "many"))
+    assert sorted(got.collect(), key=str) == sorted(QUERIES["slot_fold"](spark, sf).select(*got.columns).collect(), key=str)
+    empty = QUERIES["slot_fold_stream"](spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and empty.dtypes == got.dtypes
