@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -390,3 +390,20 @@ def test_a_stream_reads_a_table_of_many_files_and_an_empty_one(spark, sf, tmp_pa
     assert sorted(got.collect(), key=str) == sorted(QUERIES["slot_fold"](spark, sf).select(*got.columns).collect(), key=str)
     empty = QUERIES["slot_fold_stream"](spark, str(tmp_path / "none"))
     assert empty.count() == 0 and empty.dtypes == got.dtypes
+
+
+def test_candidates_read_partitions_of_bounded_size(spark):
+    """The given number of partitions is the least; more rows make more of them, not larger ones."""
+    seen = []
+
+    class Counts:
+        def fit(self, train):
+            seen.append(train.rdd.getNumPartitions())
+            raise ValueError("counted")
+
+    rows = spark.range(800_000).selectExpr("id", "id % 7 AS x", "double(id) AS label")
+    ready = VectorAssembler(inputCols=["id", "x"], outputCol="features").transform(rows)
+    results = M.train_all(ready, ready.limit(10), {"counts": Counts()}, "regression", partitions=1)[1]
+    assert results.first()["reason"] == "counted" and seen == [math.ceil(800_000 * 6 / M.PART_VALUES)] and seen[0] > 1
+    M.train_all(ready.limit(10), ready.limit(10), {"counts": Counts()}, "regression", partitions=2)
+    assert seen[1:] == [2]
