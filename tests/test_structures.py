@@ -4,6 +4,7 @@ import io
 import math
 import os
 import random
+import threading
 import time
 
 import numpy as np
@@ -407,3 +408,34 @@ def test_candidates_read_partitions_of_bounded_size(spark):
     assert results.first()["reason"] == "counted" and seen == [math.ceil(800_000 * 6 / M.PART_VALUES)] and seen[0] > 1
     M.train_all(ready.limit(10), ready.limit(10), {"counts": Counts()}, "regression", partitions=2)
     assert seen[1:] == [2]
+
+
+def test_workers_hold_few_workbooks_at_a_time(spark):
+    psutil, peak, done = pytest.importorskip("psutil"), [0], threading.Event()
+
+    def make(batches):
+        rng = random.Random(3)
+        for batch in batches:
+            for i in batch["id"].tolist():
+                frame = pd.DataFrame({"n": range(10), "t": [rng.randbytes(100_000).hex() for _ in range(10)]})
+                yield pd.DataFrame({"path": [f"book-{i}"], "content": [typed_workbook(frame)]})
+
+    def watch():
+        while not done.wait(0.05):
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "java" not in p.name():
+                        peak[0] = max(peak[0], p.memory_info().rss / 1e6)
+                except psutil.Error:
+                    pass
+
+    books = spark.range(0, 200, 1, 1).mapInPandas(make, "path string, content binary")
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = workbooks.parse_workbooks(books).agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.min(F.length("t")).alias("t")).first()
+    finally:
+        done.set()
+        watcher.join()
+    assert tuple(got) == (2000, 200 * 45, 200_000)
+    assert peak[0] < 300, f"{peak[0]:.0f} MB in one worker"
