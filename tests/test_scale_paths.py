@@ -5,8 +5,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window as W, functions as F
 
-from tabulon.operators.features import category_index, text_features
-from tabulon.operators.lookup import fits_broadcast, lookup
+from tabulon.operators.features import category_index, term_counts, text_features
+from tabulon.operators.lookup import fits_broadcast, lookup, lookup_counted
 from tabulon.operators.metrics import ranking_metrics
 from tabulon.operators.ordering import positions, previous_row, running_totals
 from tabulon.operators.quantiles import quantile_table
@@ -123,3 +123,24 @@ def test_text_features_against_brute_force(spark):
     assert {(r["id"], r["term"], r["tf"], r["df"]) for r in got.collect()} == {
         (1, "a", 2, 1), (1, "b", 1, 2), (1, "c", 1, 2), (2, "b", 1, 2), (2, "c", 1, 2),
     }
+
+
+def test_text_features_shuffle_no_counted_rows(spark, load):
+    """Rows are counted where they are; a key in several rows is summed; rare terms are joined as common ones are."""
+    def plan(d):
+        return term_counts(d, "id", "t")._jdf.queryExecution().executedPlan().toString()
+
+    docs = spark.createDataFrame([(1, "a b  a\nC"), (2, "b c"), (3, ""), (4, None), (None, "x")], "id long, t string")
+    assert "Exchange" not in plan(docs)
+    twice = docs.union(docs.where("id = 1 or id is null")).union(spark.createDataFrame([(2, "C d")], docs.schema))
+    got = {(r["id"], r["term"], r["tf"]) for r in term_counts(twice, "id", "t").collect()}
+    assert got == {(1, "a", 4), (1, "b", 2), (1, "c", 2), (2, "b", 1), (2, "c", 2), (2, "d", 1), (None, "x", 2)}
+
+    terms = term_counts(load("documents"), "doc_id", "text").persist()
+    frequency = terms.groupBy("term").agg(F.count("*").alias("df")).persist()
+    want = rows(terms.join(frequency, "term").select("doc_id", "term", "tf", "df"), "doc_id", "term", "tf", "df")
+    for limit in (0, 2000, 1 << 26):
+        out = lookup_counted(terms, frequency, "term", "df", limit)
+        assert rows(out, "doc_id", "term", "tf", "df") == want
+    some = lookup_counted(terms, frequency, "term", "df", 2000)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in some and "BroadcastHashJoin" in some
