@@ -7,6 +7,10 @@ computed. All windows widen together (virtual rehashing) until they are as wide
 at the distance of the present k-th best to reach the threshold with probability `recall`. So the
 search ends by what it has found, not after a number of candidates.
 
+Collisions are counted for 64 vectors at a time. Every sorted array has marks, and for each mark the set of the vectors
+before it as bits. A window, widened to the next marks, is the difference of two such sets, and the sets of all
+projections are added bit by bit (carry-save), so a window costs the words of a set however many places it covers.
+
 The largest inner product is the smallest distance once each vector gets one more component that
 brings it to the largest norm, and queries a zero.
 
@@ -29,6 +33,10 @@ from tabulon.llm.common import stored
 
 #: How much windows widen at a time, and where they start as a share of the width at the largest norm.
 WIDEN, FIRST = 1.5, 0.5
+#: Bits that the marks of one projection take, about, and marks it has at least if there are as many rows.
+MARK_BITS, LEAST_MARKS = 1 << 22, 128
+#: Words of the sets that are added together; queries are searched together up to that, so that it stays in a cache.
+TOGETHER = 1 << 19
 
 
 @cache
@@ -47,8 +55,39 @@ def needed_width(projections: int, share: float, recall: float) -> float:
     return high
 
 
+def bit_sums(sets: np.ndarray) -> list[np.ndarray]:
+    """Of how many `sets` (bits, along the first axis) each element is a member: the bits of the numbers, lowest first."""
+    out = []
+    while len(sets):
+        carries = []
+        while len(sets) > 1:
+            third = len(sets) // 3
+            if third:
+                one, two, three = sets[:third], sets[third : 2 * third], sets[2 * third : 3 * third]
+                odd = one ^ two
+                carries.append(one & two | odd & three)
+                sets = np.concatenate((odd ^ three, sets[3 * third :]))
+            else:
+                carries.append(sets[:1] & sets[1:])
+                sets = sets[:1] ^ sets[1:]
+        out.append(sets[0])
+        sets = np.concatenate(carries) if carries else sets[:0]
+    return out
+
+
+def at_least(sums: list[np.ndarray], least: int) -> np.ndarray:
+    """The elements whose number, in bits as from `bit_sums`, is `least` or more."""
+    more, same = np.zeros_like(sums[0]), ~np.zeros_like(sums[0])
+    for i in reversed(range(len(sums))):
+        if least >> i & 1:
+            same = same & sums[i]
+        else:
+            more, same = more | same & sums[i], same & ~sums[i]
+    return more | same
+
+
 class CollisionIndex:
-    """Sorted projections of the rows of a block."""
+    """Sorted projections of the rows of a block: their marks, and the rows before each mark as bits."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, projections: int, seed: int = 5):
         self.ids, self.vectors, self.longest, self.verified = ids, vectors, longest, 0
@@ -56,64 +95,88 @@ class CollisionIndex:
         self.rough = (vectors / (longest or 1.0)).astype(np.float32)
         rest = np.sqrt(np.maximum(longest**2 - np.square(vectors).sum(axis=1), 0))
         self.directions = np.random.default_rng(seed).standard_normal((projections, vectors.shape[1] + 1))
+        count = len(ids)
+        step = max(1, math.ceil(count / max(LEAST_MARKS, MARK_BITS // count)))
+        group, last = np.arange(count) // step, np.minimum(np.arange(step - 1, count + step - 1, step), count - 1)
+        self.words = math.ceil(count / 64)
+        self.before = np.zeros((projections, len(last) + 1, self.words), "<u8")
+        self.lowest, self.highest = np.empty((2, projections, len(last)))
         placed = self.directions[:, :-1] @ vectors.T + self.directions[:, -1:] * rest
-        self.order = np.argsort(placed, axis=1)
-        self.sorted = np.take_along_axis(placed, self.order, axis=1)
-
-    def positions(self, values: np.ndarray) -> np.ndarray:
-        """Where each value, one for every projection, belongs in its sorted array: all are halved together."""
-        count = self.sorted.shape[1]
-        each = np.arange(len(self.sorted))
-        low, high = np.zeros(values.shape, np.int64), np.full(values.shape, count)
-        for _ in range(count.bit_length()):
-            middle = (low + high) >> 1
-            below = (low < high) & (self.sorted[each, np.minimum(middle, count - 1)] < values)
-            low, high = np.where(below, middle + 1, low), np.where(below, high, middle)
-        return low
+        for i, values in enumerate(placed):
+            order = np.argsort(values)
+            self.lowest[i], self.highest[i] = values[order[::step]], values[order[last]]
+            np.bitwise_or.at(self.before[i], (group + 1, order >> 6), np.uint64(1) << (order & 63).astype(np.uint64))
+            np.bitwise_or.accumulate(self.before[i], axis=0, out=self.before[i])
+
+    def bits(self, members: np.ndarray) -> np.ndarray:
+        """A set of rows as words."""
+        out = np.zeros(8 * self.words, np.uint8)
+        packed = np.packbits(members, bitorder="little")
+        out[: len(packed)] = packed
+        return out.view("<u8")
+
+    def reached(self, places: np.ndarray, widths: np.ndarray, least: int) -> np.ndarray:
+        """For each query (a column of `places`) the rows in at least `least` of its windows, as words."""
+        low = np.stack([np.searchsorted(ends, v) for ends, v in zip(self.highest, places - widths)])
+        high = np.stack([np.searchsorted(starts, v) for starts, v in zip(self.lowest, places + widths)])
+        # Nothing is outside an infinite window.
+        low[:, np.isinf(widths)], high[:, np.isinf(widths)] = 0, self.before.shape[1] - 1
+        each = np.arange(len(places))[:, None]
+        return at_least(bit_sums(self.before[each, high] ^ self.before[each, low]), least)
 
     def search(self, query_id: int, query: np.ndarray, k: int, share: float, recall: float) -> list[tuple[int, float]]:
         """The best k found: (id, inner product), the largest first, ties to the smaller id."""
+        return self.search_all([query_id], query[None], k, share, recall)[0]
+
+    def search_all(
+        self, query_ids: list[int], queries: np.ndarray, k: int, share: float, recall: float
+    ) -> list[list[tuple[int, float]]]:
+        """`search` of every query; as many as suit a cache widen their windows together."""
+        most = max(1, TOGETHER // (len(self.directions) * self.words))
+        parts = [slice(i, i + most) for i in range(0, len(query_ids), most)]
+        return [found for p in parts for found in self._search(query_ids[p], queries[p], k, share, recall)]
+
+    def _search(self, query_ids, queries, k, share, recall):
         count = len(self.directions)
         least = math.ceil(share * count)
         ratio = needed_width(count, share, recall)
-        places = self.directions[:, :-1] @ query
-        size = math.sqrt(self.longest**2 + float(query @ query))
-        collisions = np.zeros(len(self.ids), np.int64)
-        norm = float(np.linalg.norm(query))
-        rough_query = (query / (norm or 1.0)).astype(np.float32)
-        margin = 4e-7 * (len(query) + 4)  # more than the rounding of two single-precision products of unit vectors
-        waiting = self.ids != query_id
-        low = high = self.positions(places)
-        found_ids, found_scores = np.zeros(0, np.int64), np.zeros(0)
-        width = FIRST * ratio * size
-        while True:
-            new_low, new_high = self.positions(np.stack((places - width, places + width)))
-            reached = []
-            for order, a, b, c, d in zip(self.order, new_low.tolist(), low.tolist(), high.tolist(), new_high.tolist()):
-                reached += (order[a:b], order[c:d])
-            low, high = new_low, new_high
-            collisions += np.bincount(np.concatenate(reached), minlength=len(collisions))
-            new = np.flatnonzero(waiting & (collisions >= least))
-            if len(new):
-                waiting[new] = False
-                self.verified += len(new)
-                # Single precision rules out what cannot be among the best; the rest is computed in double.
-                rough = self.rough[new] @ rough_query
-                if len(new) > k:
-                    new = new[rough >= np.partition(rough, -k)[-k] - margin]
-                found_ids = np.concatenate((found_ids, self.ids[new]))
-                found_scores = np.concatenate((found_scores, [float(v @ query) for v in self.vectors[new]]))
-                best = np.lexsort((found_ids, -found_scores))[:k]
-                found_ids, found_scores = found_ids[best], found_scores[best]
-            if not waiting.any():
-                break
-            wide = math.inf
-            if len(found_ids) == k:
-                wide = ratio * math.sqrt(max(size**2 - 2 * float(found_scores[-1]), 0.0))
-                if width >= wide:
-                    break
-            width = min(width * WIDEN, max(wide, width * 1.01))
-        return list(zip(found_ids.tolist(), found_scores.tolist()))
+        places = self.directions[:, :-1] @ queries.T
+        norms = [float(np.linalg.norm(q)) for q in queries]
+        rough_queries = [(q / (n or 1.0)).astype(np.float32) for q, n in zip(queries, norms)]
+        margin = 4e-7 * (queries.shape[1] + 4)  # more than the rounding of two single-precision products of unit vectors
+        sizes = [math.sqrt(self.longest**2 + float(q @ q)) for q in queries]
+        widths = FIRST * ratio * np.array(sizes)
+        waiting = np.stack([self.bits(self.ids != i) for i in query_ids])
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        active = list(range(len(queries)))
+        while active:
+            reached = self.reached(places[:, active], widths[active], least) & waiting[active]
+            waiting[active] ^= reached
+            going = []
+            for at, bits in zip(active, reached):
+                found_ids, found_scores = found[at]
+                new = np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+                if len(new):
+                    self.verified += len(new)
+                    # Single precision rules out what cannot be among the best; the rest is computed in double.
+                    rough = self.rough[new] @ rough_queries[at]
+                    if len(new) > k:
+                        new = new[rough >= np.partition(rough, -k)[-k] - margin]
+                    found_ids = np.concatenate((found_ids, self.ids[new]))
+                    found_scores = np.concatenate((found_scores, [float(v @ queries[at]) for v in self.vectors[new]]))
+                    best = np.lexsort((found_ids, -found_scores))[:k]
+                    found[at] = found_ids, found_scores = found_ids[best], found_scores[best]
+                if not waiting[at].any():
+                    continue
+                wide, width = math.inf, float(widths[at])
+                if len(found_ids) == k:
+                    wide = ratio * math.sqrt(max(sizes[at] ** 2 - 2 * float(found_scores[-1]), 0.0))
+                    if width >= wide:
+                        continue
+                widths[at] = min(width * WIDEN, max(wide, width * 1.01))
+                going.append(at)
+            active = going
+        return [list(zip(ids.tolist(), scores.tolist())) for ids, scores in found]
 
 
 def block_count(rows: int, rows_per_block: int, fewest: int = 8192, tasks: int = 4) -> int:
@@ -138,7 +201,7 @@ def nearest(
     repeated rows are neighbours of their own. Null and zero vectors, vectors with null or non-finite
     components, vectors that have not the commonest length and rows with a null id take no part. A
     query has fewer than k results only where there are fewer candidates. A task holds one block:
-    16 bytes for each projection and 12 for each component of its rows.
+    for each projection 16 bytes a row or, in a small block, up to half a MB, and 12 bytes for each component of its rows.
     """
     result = f"query_id long, {id_column} long, score double"
     pick = [F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")]
@@ -174,9 +237,9 @@ def nearest(
                 if index is None:
                     index = CollisionIndex(np.concatenate(ids), np.concatenate(parts), longest, projections)
                     parts.clear()
-                out = []
-                for query_id, v in zip(batch["id"][asks].tolist(), batch["v"][asks]):
-                    out += [(query_id, i, s) for i, s in index.search(query_id, np.asarray(v), k, share, recall)]
+                query_ids = batch["id"][asks].tolist()
+                answers = index.search_all(query_ids, np.stack(batch["v"][asks]), k, share, recall)
+                out = [(query_id, i, s) for query_id, found in zip(query_ids, answers) for i, s in found]
                 yield pd.DataFrame(out, columns=["query_id", id_column, "score"])
 
     found = dealt.mapInPandas(answer, result)

@@ -267,6 +267,52 @@ def test_windows_leave_out_most_vectors(spark):
     assert index.verified <= 0.4 * len(ids) * len(asked)
 
 
+@pytest.mark.parametrize("sets", [1, 2, 3, 5, 64, 160])
+def test_memberships_are_counted_in_bits(sets):
+    member = np.random.default_rng(sets).random((sets, 3, 128)) < 0.8
+    words = np.packbits(member, axis=-1, bitorder="little").view("<u8")
+    sums, want = ann.bit_sums(words), member.sum(axis=0)
+    unpack = lambda x: np.unpackbits(x.view(np.uint8), axis=-1, bitorder="little")
+    assert len(sums) == sets.bit_length() and (sum(unpack(x).astype(int) << i for i, x in enumerate(sums)) == want).all()
+    for least in range(1, sets + 1):
+        assert (unpack(ann.at_least(sums, least)) == (want >= least)).all()
+
+
+@pytest.mark.parametrize("rows, exact", [(1, True), (130, True), (2000, True), (9000, False)])
+def test_words_of_windows_hold_what_plain_counting_finds(rows, exact):
+    """Rows in enough windows are found 64 at a time: with a mark for each row they and no others, else few more."""
+    rng = np.random.default_rng(rows)
+    vectors = rng.standard_normal((rows, 12))
+    vectors[rows // 2 :: 7] = vectors[0]
+    longest = float(np.linalg.norm(vectors, axis=1).max())
+    index = ann.CollisionIndex(np.arange(rows), vectors, longest, 40)
+    rest = np.sqrt(np.maximum(longest**2 - np.square(vectors).sum(axis=1), 0))
+    placed = index.directions @ np.c_[vectors, rest].T
+    places, widths = index.directions[:, :-1] @ vectors[:5].T, np.array([0.5, 2.0, 4.0, 8.0, math.inf])[: min(rows, 5)]
+    got = np.unpackbits(index.reached(places, widths, 34).view(np.uint8), axis=1, bitorder="little")
+    for words, place, width in zip(got, places.T, widths):
+        want = (np.abs(placed - place[:, None]) < width).sum(axis=0) >= 34
+        assert not words[rows:].any() and words[:rows][want].all()
+        assert words.sum() <= want.sum() + (0 if exact else 0.02 * rows)
+    assert index.before.shape[2] == math.ceil(rows / 64)
+
+
+def test_marks_take_no_more_than_sixteen_bytes_for_a_projected_row():
+    vectors = np.random.default_rng(2).standard_normal((65_536, 4))
+    index = ann.CollisionIndex(np.arange(65_536), vectors, 9.0, 6)
+    assert index.before.nbytes <= 16.2 * 6 * 65_536
+    asked = list(range(0, 65_536, 9000))
+    together = index.search_all(asked, vectors[asked], 5, 0.85, 0.97)
+    assert together == [index.search(i, vectors[i], 5, 0.85, 0.97) for i in asked]
+
+
+def test_a_search_of_too_long_vectors_ends():
+    vectors = np.array([[1e200, 0.0], [0.0, 1e200], [1.0, 1.0]])
+    with np.errstate(all="ignore"):
+        found = ann.CollisionIndex(np.arange(3), vectors, math.inf, 20).search(0, vectors[0], 5, 0.85, 0.97)
+    assert sorted(i for i, _ in found) == [1, 2]
+
+
 def test_blocks_are_bounded_and_few():
     assert [ann.block_count(n, 65_536) for n in (0, 1, 8192, 8193, 51_282, 262_144, 10**7)] == [1, 1, 1, 2, 4, 4, 153]
 
