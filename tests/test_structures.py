@@ -410,6 +410,30 @@ def test_candidates_read_partitions_of_bounded_size(spark):
     assert seen[1:] == [2]
 
 
+def test_large_pieces_are_dealt_out_and_small_ones_stay(spark, tmp_path, monkeypatch):
+    """What a candidate's task reads is bounded where no number of partitions is given, and in a whole run."""
+    seen = []
+
+    class Counts:
+        def fit(self, train):
+            seen.append(train.rdd.getNumPartitions())
+            raise ValueError("counted")
+
+    rows = spark.range(0, 60_000, 1, 3).selectExpr("id % 1009 AS x", "id * 7 % 1013 / 3 AS y", "double(id % 977) AS label")
+    ready = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(rows)
+    monkeypatch.setattr(M, "PART_VALUES", 150_000)
+    for df in (ready, ready.coalesce(1), ready.where("x < 0")):
+        M.train_all(df, ready.limit(10), {"counts": Counts()}, "regression")
+    assert seen[:2] == [3, math.ceil(60_000 * 6 / 150_000)] and len(seen) == 3
+
+    rows.coalesce(1).write.parquet(str(tmp_path / "rows.parquet"))
+    info = {"data_path": "rows.parquet", "task_type": "regression", "target_column": "label", "agents_to_call": ["ModelTrainingAgent"]}
+    monkeypatch.setattr(M, "regression_models", lambda: {"counts": Counts()})
+    for partitions in (1, None):
+        run(spark, info, str(tmp_path / f"out-{partitions}"), str(tmp_path), partitions=partitions)
+    assert len(seen) == 5 and min(seen[3:]) >= 60_000 * 0.7 * 5 // 150_000 + 1 > 1
+
+
 def test_workers_hold_few_workbooks_at_a_time(spark):
     psutil, peak, done = pytest.importorskip("psutil"), [0], threading.Event()
 
